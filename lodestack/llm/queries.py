@@ -1,15 +1,42 @@
-"""Registered queries of the training-data operators."""
+"""Registered queries of the training-data operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+from . import fertility, mixing, nbsvm, ngram_join, packing, sharding
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .ngram_join import jaccard_pairs
+    return ngram_join.jaccard_pairs(_docs(spark, sf_dir))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return nbsvm.score_quality(docs, nbsvm.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op5_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.fertility_report(_docs(spark, sf_dir))
+
+
+def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_docs(spark, sf_dir))
+
+
+def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_docs(spark, sf_dir))
+
 
-    return jaccard_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.external_shuffle(_docs(spark, sf_dir))
 
 
-QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_quality_classifier, op5_tokeniser_fertility, op6_sum_of_squares_packing, op8_pfair_mixing, op10_external_shuffle)}
 ORACLES: dict[str, str] = {}
