@@ -25,12 +25,17 @@ U = np.uint64
 TOKENS_A_BUCKET = 4_000_000
 DOCS_A_BUCKET = 12_000
 PAIRS_A_BUCKET = 6_000
+POSTINGS_A_BUCKET = 400_000
+#: Rows whose n-grams one worker holds at a time, and partner slots it expands at a time.
+ROWS_AT_ONCE = 2_000
+SLOTS_AT_ONCE = 1_000_000
 #: Cost of verifying one candidate against scanning one posting.
 VERIFY_COST = 20.0
 
 _BLOCK = "bucket int, ids binary, sizes binary, counts binary, toks binary"
-_BLOCK2 = "bucket int, ids binary, sizes binary, counts binary, toks binary, dfs binary"
-_DOC = "doc_id long, n int, m int, sig string, mh long, prefix array<long>, toks binary"
+_BLOCK2 = "bucket int, ids binary, sizes binary, counts binary, toks binary, dfs binary, firsts binary"
+_DOC = "doc_id long, n int, m int, sig string, mh long, prefix array<long>, firsts array<long>, toks binary"
+_PAIR = "a long, b long, shared long, need int, na int, nb int, h long"
 
 
 def _need(n: np.ndarray | int, t: float):
@@ -46,7 +51,7 @@ def _by_bucket(bucket: np.ndarray, n: int):
 
 def _scatter(n: int, buckets: int):
     def run(batches):
-        for b in batches:
+        for b in (x.slice(i, ROWS_AT_ONCE) for x in batches for i in range(0, x.num_rows, ROWS_AT_ONCE)):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             toks, counts = C.ngram_sets(b.column(1), n)
             if not len(toks):
@@ -79,32 +84,40 @@ def _joined(col, dtype):
 
 
 def _count(doc_buckets: int):
-    """Of one token bucket: document frequencies; the tokens of at least two documents go back to their documents."""
+    """Of one token bucket: document frequencies; the tokens of at least two documents go back to their documents.
+
+    A frequency goes as the eighth of an octave that it lies in. With each token goes the hash of one of its documents,
+    the same for all: tokens of one group of copies mostly agree in it, which puts a pair's tokens into few buckets.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket")[0].as_py()
         ids, sizes = _joined(t.column("ids"), np.int64), _joined(t.column("sizes"), np.uint32)
         counts = _joined(t.column("counts"), np.uint32).astype(np.int64)
         toks = np.concatenate([C.unpack(x.as_py(), 5) for x in t.column("toks")])
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
         order = np.argsort(toks)
         s = toks[order]
         at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        run_len = np.diff(np.append(at, len(s)))
-        df = np.empty(len(s), np.uint32)
-        df[order] = np.repeat(run_len, run_len)
-        del order, s
-        keep = df >= 2
-        doc = np.repeat(np.arange(len(ids)), counts)[keep]
-        toks, df = toks[keep] | (U(bucket) << U(40)), df[keep]
-        own = (C.mix(ids.view(U)) % U(doc_buckets)).astype(np.int64)
+        del s
+        run_len = np.diff(np.append(at, len(toks)))
+        hashed = C.mix(ids.view(U))
+        first = np.minimum.reduceat(hashed[doc[order]], at) if len(at) else hashed[:0]
+        df, who = np.empty(len(toks), np.uint8), np.empty(len(toks), np.uint32)
+        df[order] = np.repeat(np.where(run_len > 1, np.minimum(np.rint(8 * np.log2(run_len)), 255), 0).astype(np.uint8), run_len)
+        who[order] = np.repeat((first >> U(32)).astype(np.uint32), run_len)
+        del order
+        keep = df > 0
+        doc, toks, df, who = doc[keep], toks[keep] | (U(bucket) << U(40)), df[keep], who[keep]
+        own = (hashed % U(doc_buckets)).astype(np.int64)
         order, ends = _by_bucket(own[doc], doc_buckets)
-        doc, toks, df = doc[order], toks[order], df[order]
+        doc, toks, df, who = doc[order], toks[order], df[order], who[order]
         out, a = [], 0
         for k, e in enumerate(ends):
             if e > a:
                 d = doc[a:e]
                 at = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-                out.append((k, ids[d[at]].tobytes(), sizes[d[at]].tobytes(), np.diff(np.append(at, len(d))).astype(np.uint32).tobytes(), C.pack(toks[a:e], 8), df[a:e].tobytes()))
+                out.append((k, ids[d[at]].tobytes(), sizes[d[at]].tobytes(), np.diff(np.append(at, len(d))).astype(np.uint32).tobytes(), C.pack(toks[a:e], 8), df[a:e].tobytes(), who[a:e].tobytes()))
             a = e
         return pa.Table.from_batches([_batch(out, _BLOCK2)])
 
@@ -117,7 +130,7 @@ def choose_m(df: np.ndarray, k1: int) -> int:
     With k = k1 + m - 1 indexed tokens, S = sum of (df - 1) postings are scanned; at most S / m documents can share
     m of them, and each is verified at VERIFY_COST.
     """
-    s = np.cumsum(df.astype(np.float64) - 1)[k1 - 1 :]
+    s = np.cumsum(df - 1.0)[k1 - 1 :]
     m = np.arange(1, len(s) + 1)
     return int(np.argmin(s + VERIFY_COST * s / m)) + 1
 
@@ -130,7 +143,7 @@ def _assemble(t: float):
 
         ids, sizes = _joined(tb.column("ids"), np.int64), _joined(tb.column("sizes"), np.uint32).astype(np.int64)
         counts = _joined(tb.column("counts"), np.uint32).astype(np.int64)
-        toks, dfs = _joined(tb.column("toks"), U), _joined(tb.column("dfs"), np.uint32)
+        toks, dfs, firsts = _joined(tb.column("toks"), U), _joined(tb.column("dfs"), np.uint8), _joined(tb.column("firsts"), np.uint32)
         uniq, inv = np.unique(ids, return_inverse=True)
         n = np.zeros(len(uniq), np.int64)
         n[inv] = sizes
@@ -138,9 +151,9 @@ def _assemble(t: float):
         fits = r >= _need(n, t)
         doc = np.repeat(inv, counts)
         keep = fits[doc]
-        doc, toks, dfs = doc[keep], toks[keep], dfs[keep]
+        doc, toks, dfs, firsts = doc[keep], toks[keep], dfs[keep], firsts[keep]
         order = np.lexsort((toks, dfs, doc))
-        doc, toks, dfs = doc[order], toks[order], dfs[order]
+        doc, toks, dfs, firsts = doc[order], toks[order], np.exp2(dfs[order] / 8.0), firsts[order].astype(np.int64)
         ends = np.cumsum(np.bincount(doc, minlength=len(uniq)))
         out = []
         for i in np.flatnonzero(fits):
@@ -150,12 +163,59 @@ def _assemble(t: float):
             m = choose_m(f, k1)
             raw = own.tobytes()
             sig = hashlib.blake2b(np.sort(own).tobytes(), digest_size=16).hexdigest() if r[i] == size else None
-            out.append((int(uniq[i]), size, m, sig, int(C.mix(own).min().astype(np.int64)), own[: k1 + m - 1].view(np.int64), raw))
+            out.append((int(uniq[i]), size, m, sig, int(C.mix(own).min().astype(np.int64)), own[: k1 + m - 1].view(np.int64), firsts[a : a + k1 + m - 1], raw))
         return pa.Table.from_batches([_batch(out, _DOC)])
 
     return run
 
 
+def _pairs(t: float):
+    """Of one bucket of postings: how many prefix tokens each pair of documents shares in it."""
+
+    def run(tb: pa.Table) -> pa.Table:
+        ids, doc = np.unique(tb.column("doc_id").to_numpy(), return_inverse=True)
+        facts = np.zeros((4, len(ids)), np.int64)
+        for k, c in enumerate(("n", "m", "mh")):
+            facts[k, doc] = tb.column(c).to_numpy()
+        n, m, mh = facts[:3]
+        tok = np.unique(tb.column("tok").to_numpy(), return_inverse=True)[1]
+        order = np.lexsort((doc, tok))
+        doc, tok = doc[order], tok[order]
+        end = np.cumsum(np.bincount(tok))[tok]
+        at = np.argsort(doc, kind="stable")  # postings by document; each meets the later ones of its token
+        at = at[end[at] - at > 1]
+        slots = end[at] - at - 1
+        out = []
+        total = np.cumsum(slots)
+        i = 0
+        while i < len(at):
+            base = total[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(total, base + SLOTS_AT_ONCE, "right")))
+            j = int(np.searchsorted(doc[at], doc[at[j - 1]], "right")) if j < len(at) else j  # whole documents
+            counts: dict = {}
+            for s in range(i, j, 4096) if total[j - 1] - base > 4 * SLOTS_AT_ONCE else (i,):
+                e = min(j, s + 4096) if total[j - 1] - base > 4 * SLOTS_AT_ONCE else j
+                own = slots[s:e]
+                first = np.cumsum(own) - own
+                partner = doc[np.arange(int(own.sum())) + np.repeat(at[s:e] + 1 - first, own)]
+                key, c = np.unique(np.repeat(doc[at[s:e]], own) * len(ids) + partner, return_counts=True)
+                counts[s] = (key, c)
+            key = np.concatenate([x[0] for x in counts.values()])
+            c = np.concatenate([x[1] for x in counts.values()])
+            if len(counts) > 1:
+                key, inv = np.unique(key, return_inverse=True)
+                c = np.bincount(inv, c).astype(np.int64)
+            a, b = key // len(ids), key % len(ids)
+            fits = np.minimum(n[a], n[b]) >= t * np.maximum(n[a], n[b]) - 1e-9
+            out.append((a[fits], b[fits], c[fits]))
+            i = j
+        a, b, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        h = C.mix(C.mix(mh[a].view(U)) + mh[b].view(U)).view(np.int64)
+        return pa.table({"a": ids[a], "b": ids[b], "shared": c.astype(np.int64), "need": np.minimum(m[a], m[b]).astype(np.int32), "na": n[a].astype(np.int32), "nb": n[b].astype(np.int32), "h": h})
+
+    return run
+
+
 def _verify(t: float, spanning: bool):
     """Exact overlaps of one bucket's candidate pairs; with ``spanning`` only edges that connect something new."""
 
@@ -230,11 +290,12 @@ def _join(docs: DataFrame, n: int, t: float, id_col: str, text_col: str, spannin
     copies = table.where("sig is not null").select("doc_id", "sig", "n").join(reps, ["sig", "n"]).select("doc_id", "rep")
     copies = C.materialize(copies)
     extra = C.maybe_broadcast(copies.where("doc_id != rep").select("doc_id"))
-    post = table.select("doc_id", "n", "m", "mh", "prefix").join(extra, "doc_id", "left_anti").select(F.explode("prefix").alias("tok"), F.struct("doc_id", "n", "m", "mh").alias("x"))
-    left, right = post.withColumnRenamed("x", "p"), post.withColumnRenamed("x", "q")
-    near = left.join(right, "tok").where(F.expr(f"p.doc_id < q.doc_id and least(p.n, q.n) >= {t!r} * greatest(p.n, q.n) - 1e-9"))
-    cand = near.groupBy(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).agg(F.count("*").alias("shared"), *(F.first(f"{s}.{c}").alias(f"{c}{o}") for s, o in (("p", "a"), ("q", "b")) for c in ("n", "m", "mh"))).where("shared >= least(ma, mb)")
-    cand = C.materialize(cand.select("a", "b", "na", "nb", F.xxhash64("mha", "mhb").alias("h")))
+    own = table.select("doc_id", "n", "m", "mh", "prefix", "firsts").join(extra, "doc_id", "left_anti")
+    k = C.parts(own.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0], POSTINGS_A_BUCKET)
+    post = own.select("doc_id", "n", "m", "mh", F.explode(F.arrays_zip("prefix", "firsts")).alias("x")).select(F.pmod("x.firsts", F.lit(k)).cast("int").alias("bucket"), F.col("x.prefix").alias("tok"), "doc_id", "n", "m", "mh")
+    near = post.groupBy("bucket").applyInArrow(_pairs(t), _PAIR)
+    cand = near.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *(F.first(c).alias(c) for c in ("need", "na", "nb", "h"))).where("shared >= need")
+    cand = C.materialize(cand.select("a", "b", "na", "nb", "h"))
     k = C.parts(cand.count(), PAIRS_A_BUCKET)
     cand = cand.withColumn("k", F.pmod("h", F.lit(k)).cast("int"))
     ship = cand.select(F.col("k").alias("at"), F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(table.select("doc_id", "toks"), "doc_id")
