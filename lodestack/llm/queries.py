@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import fertility, mixing, nbsvm, ngram_join, packing, sharding
+from . import fertility, licenses, mixing, nbsvm, ngram_join, packing, sharding, url_reputation
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_reputation.host_reputation(pages, url_reputation.outcomes_from_labels(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_pairs(_docs(spark, sf_dir))
 
@@ -34,9 +39,13 @@ def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_docs(spark, sf_dir))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_detections(_docs(spark, sf_dir))
+
+
 def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.external_shuffle(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_quality_classifier, op5_tokeniser_fertility, op6_sum_of_squares_packing, op8_pfair_mixing, op10_external_shuffle)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_host_reputation, op3_ngram_jaccard_join, op4_quality_classifier, op5_tokeniser_fertility, op6_sum_of_squares_packing, op8_pfair_mixing, op9_license_scan, op10_external_shuffle)}
+ORACLES: dict[str, str] = {"op2_host_reputation": url_reputation.ORACLE_SQL}
