@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 U = np.uint64
-TOKENS_A_BUCKET = 4_000_000
+TOKENS_A_BUCKET = 3_000_000
 DOCS_A_BUCKET = 12_000
 PAIRS_A_BUCKET = 6_000
 POSTINGS_A_BUCKET = 400_000
@@ -33,7 +33,7 @@ SLOTS_AT_ONCE = 1_000_000
 VERIFY_COST = 20.0
 
 _BLOCK = "bucket int, ids binary, sizes binary, counts binary, toks binary"
-_BLOCK2 = "bucket int, ids binary, sizes binary, counts binary, toks binary, dfs binary, firsts binary"
+_BLOCK2 = "bucket int, token_bucket int, ids binary, sizes binary, counts binary, toks binary, dfs binary, firsts binary"
 _DOC = "doc_id long, n int, m int, sig string, mh long, prefix array<long>, firsts array<long>, toks binary"
 _PAIR = "a long, b long, shared long, need int, na int, nb int, h long"
 
@@ -83,6 +83,10 @@ def _joined(col, dtype):
     return np.concatenate([np.frombuffer(x.as_buffer(), dtype) for x in col]) if len(col) else np.zeros(0, dtype)
 
 
+def _unpacked(col, width: int = 5):
+    return C.unpack(b"".join(x.as_buffer() for x in col), width)
+
+
 def _count(doc_buckets: int):
     """Of one token bucket: document frequencies; the tokens of at least two documents go back to their documents.
 
@@ -94,7 +98,8 @@ def _count(doc_buckets: int):
         bucket = t.column("bucket")[0].as_py()
         ids, sizes = _joined(t.column("ids"), np.int64), _joined(t.column("sizes"), np.uint32)
         counts = _joined(t.column("counts"), np.uint32).astype(np.int64)
-        toks = np.concatenate([C.unpack(x.as_py(), 5) for x in t.column("toks")])
+        toks = _unpacked(t.column("toks"))
+        del t
         doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
         order = np.argsort(toks)
         s = toks[order]
@@ -105,10 +110,10 @@ def _count(doc_buckets: int):
         first = np.minimum.reduceat(hashed[doc[order]], at) if len(at) else hashed[:0]
         df, who = np.empty(len(toks), np.uint8), np.empty(len(toks), np.uint32)
         df[order] = np.repeat(np.where(run_len > 1, np.minimum(np.rint(8 * np.log2(run_len)), 255), 0).astype(np.uint8), run_len)
-        who[order] = np.repeat((first >> U(32)).astype(np.uint32), run_len)
+        who[order] = np.repeat((first >> U(40)).astype(np.uint32), run_len)
         del order
         keep = df > 0
-        doc, toks, df, who = doc[keep], toks[keep] | (U(bucket) << U(40)), df[keep], who[keep]
+        doc, toks, df, who = doc[keep], toks[keep], df[keep], who[keep]
         own = (hashed % U(doc_buckets)).astype(np.int64)
         order, ends = _by_bucket(own[doc], doc_buckets)
         doc, toks, df, who = doc[order], toks[order], df[order], who[order]
@@ -117,7 +122,7 @@ def _count(doc_buckets: int):
             if e > a:
                 d = doc[a:e]
                 at = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-                out.append((k, ids[d[at]].tobytes(), sizes[d[at]].tobytes(), np.diff(np.append(at, len(d))).astype(np.uint32).tobytes(), C.pack(toks[a:e], 8), df[a:e].tobytes(), who[a:e].tobytes()))
+                out.append((k, bucket, ids[d[at]].tobytes(), sizes[d[at]].tobytes(), np.diff(np.append(at, len(d))).astype(np.uint32).tobytes(), C.pack(toks[a:e], 5), df[a:e].tobytes(), C.pack(who[a:e].astype(U), 3)))
             a = e
         return pa.Table.from_batches([_batch(out, _BLOCK2)])
 
@@ -143,7 +148,8 @@ def _assemble(t: float):
 
         ids, sizes = _joined(tb.column("ids"), np.int64), _joined(tb.column("sizes"), np.uint32).astype(np.int64)
         counts = _joined(tb.column("counts"), np.uint32).astype(np.int64)
-        toks, dfs, firsts = _joined(tb.column("toks"), U), _joined(tb.column("dfs"), np.uint8), _joined(tb.column("firsts"), np.uint32)
+        toks, dfs, firsts = _unpacked(tb.column("toks")), _joined(tb.column("dfs"), np.uint8), _unpacked(tb.column("firsts"), 3)
+        toks |= np.repeat(tb.column("token_bucket").to_numpy().astype(U) << U(40), [len(x.as_buffer()) // 5 for x in tb.column("toks")])
         uniq, inv = np.unique(ids, return_inverse=True)
         n = np.zeros(len(uniq), np.int64)
         n[inv] = sizes
@@ -298,7 +304,8 @@ def _join(docs: DataFrame, n: int, t: float, id_col: str, text_col: str, spannin
     cand = C.materialize(cand.select("a", "b", "na", "nb", "h"))
     k = C.parts(cand.count(), PAIRS_A_BUCKET)
     cand = cand.withColumn("k", F.pmod("h", F.lit(k)).cast("int"))
-    ship = cand.select(F.col("k").alias("at"), F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(table.select("doc_id", "toks"), "doc_id")
+    ship = cand.select(F.col("k").alias("at"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ship = table.select("doc_id", "toks").join(C.maybe_broadcast(ship), "doc_id")
     pairs = cand.select("k", "a", "b", "na", "nb").groupBy("k").cogroup(ship.select("at", "doc_id", "toks").groupBy("at")).applyInArrow(_verify(t, spanning), "a long, b long, jaccard double")
     return copies, pairs
 
