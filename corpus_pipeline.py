@@ -1,11 +1,71 @@
-"""Corpus pipeline: quality classifier, quality rules, near duplicates, source mixing, packing."""
+"""Corpus pipeline: quality classifier, quality rules, near duplicates, source mixing, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all the rows that the one before it kept. All but the last return
+the columns of documents.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestack.llm import common, fertility, mixing, nbsvm, ngram_join, packing
+from lodestack.session import ship
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier accepts; it is trained on the labelled ones among ``docs``.
+
+    Null and empty texts score the model's bias; with labels of one class only, or none, all rows stay.
+    """
+    ship(spark)
+    labels = spark.read.parquet(os.path.join(sf_dir, "labels.parquet"))
+    return nbsvm.filter_quality(docs, nbsvm.train(docs, labels))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose tokeniser fertility lies within the bands of their language and length, which come from ``docs``."""
+    ship(spark)
+    return fertility.filter_fertility(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest id; rows without id or words stay."""
+    ship(spark)
+    return ngram_join.drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, in the order of the mix of sources."""
+    ship(spark)
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token windows, filled in the order of the stored rows: the place in the files is the place in the mix."""
+    ship(spark)
+    order = (F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    try:
+        docs.select(*order)
+    except AnalysisException:  # rows that don't come straight from files are taken in the order of their ids
+        order = ()
+    return packing.pack_documents(docs, order=order)
+
+
+STAGES = [("quality classifier", quality_classifier), ("quality rules", quality_rules), ("near duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
+
+#: Trained models, tokenisers and greedy placement have no equivalent in SQL; tests/llm has brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet in the shared folder and read again by the next."""
+    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.materialize(docs)
     return docs

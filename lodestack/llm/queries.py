@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import fertility, licenses, mixing, nbsvm, ngram_join, packing, sharding, url_reputation
+from . import fertility, html_content, licenses, media, mixing, nbsvm, ngram_join, packing, sharding, url_reputation
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no media: every conversation is rendered as a motion-JPEG file, with a shot a turn."""
+    ship(spark)
+    return media.detect_clips(media.render_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_reputation.host_reputation(pages, url_reputation.outcomes_from_labels(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -35,6 +41,12 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir))
 
 
+def op7_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_content.extract_content(pages, html_content.train_on(pages))
+
+
 def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_docs(spark, sf_dir))
 
@@ -47,5 +59,5 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.external_shuffle(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_host_reputation, op3_ngram_jaccard_join, op4_quality_classifier, op5_tokeniser_fertility, op6_sum_of_squares_packing, op8_pfair_mixing, op9_license_scan, op10_external_shuffle)}
+QUERIES = {f.__name__: f for f in (op1_avi_clips, op2_host_reputation, op3_ngram_jaccard_join, op4_quality_classifier, op5_tokeniser_fertility, op6_sum_of_squares_packing, op7_html_content, op8_pfair_mixing, op9_license_scan, op10_external_shuffle)}
 ORACLES: dict[str, str] = {"op2_host_reputation": url_reputation.ORACLE_SQL}
