@@ -32,7 +32,7 @@ def representation(df: DataFrame, column: str, reference: dict[str, float] | Non
         c = c.withColumn("w", F.lit(None).cast("double"))
     seen = F.col("w").isNotNull()
     t = c.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("k"), F.max(F.struct("n", F.col("value"))).alias("top0"), F.sum(F.when(seen, F.col("n"))).alias("obs"), F.sum("w").alias("wsum"), F.count("w").alias("kr"), F.collect_list(F.struct("value", "n", "w")).alias("cells"))
-    t = t.withColumn("top", F.array_sort(F.filter("cells", lambda x: x["n"] == F.col("top0.n")))[0]["value"])
+    t = t.withColumn("top", F.get(F.array_sort(F.filter("cells", lambda x: x["n"] == F.col("top0.n"))), 0)["value"])
     expected = lambda x: x["w"] / F.col("wsum") * F.col("obs")
     cells = F.filter("cells", lambda x: x["w"].isNotNull())
     fit = (F.col("kr") > 1) & F.forall(cells, lambda x: expected(x) >= 5)

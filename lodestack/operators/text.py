@@ -75,9 +75,9 @@ def mentions(reports: DataFrame, key: str, text: str) -> DataFrame:
     t = F.col("__low")
     d = reports.select(key, F.lower(F.col(text)).alias("__low")).select(key, "__low", F.explode(F.filter(forms, lambda x: t.contains(x["form"]))).alias("f"))
     ps = F.split("__low", F.concat(F.lit(r"\b"), F.col("f.form"), F.lit(r"\b")))
-    d = d.withColumn("ps", ps).where(F.size("ps") > 1).select(key, "__low", "f.finding", "f.form", "ps", F.explode(F.sequence(F.lit(1), F.size("ps") - 1)).alias("k"))
-    d = d.withColumn("prefix", F.array_join(F.slice("ps", F.lit(1), F.col("k")), "\u0003")).withColumn("prefix", F.replace("prefix", F.lit("\u0003"), F.col("form")))
-    d = d.select(key, "finding", F.right("prefix", F.lit(SCOPE)).alias("before"), F.right("prefix", F.lit(GRADE_SCOPE)).alias("near"), F.substr("__low", F.length("prefix") + F.length("form") + 1, F.lit(AFTER)).alias("after"))
+    d = d.withColumn("__ps", ps).where(F.size("__ps") > 1).select(key, "__low", "f.finding", "f.form", "__ps", F.explode(F.sequence(F.lit(1), F.size("__ps") - 1)).alias("__k"))
+    d = d.withColumn("__prefix", F.array_join(F.slice("__ps", F.lit(1), F.col("__k")), "\u0003")).withColumn("__prefix", F.replace("__prefix", F.lit("\u0003"), F.col("form")))
+    d = d.select(key, "finding", F.right("__prefix", F.lit(SCOPE)).alias("before"), F.right("__prefix", F.lit(GRADE_SCOPE)).alias("near"), F.substr("__low", F.length("__prefix") + F.length("form") + 1, F.lit(AFTER)).alias("after"))
     d = d.withColumn("verdict", classify(F.col("before"), F.col("after")))
     return d.select(key, "finding", "verdict", F.when(F.col("verdict") == 1, severity_of(F.col("near"))).alias("grade"))
 

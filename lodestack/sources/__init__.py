@@ -1 +1 @@
-
+"""Sources: file listings, image and report files, manifests."""
