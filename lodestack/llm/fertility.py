@@ -30,18 +30,20 @@ def measure(texts: pa.Array, path: str) -> dict[str, np.ndarray]:
     """n_tokens and the three measures of each text; entropy is in units of log2(n_tokens), so 1 if all tokens differ."""
     import pyarrow.compute as pc
 
-    vocab = vocabulary(path)
-    n, row, ids = encode(texts, vocab)
+    vocab, k = vocabulary(path), len(texts)
+    n, fall, h = np.zeros(k, np.int64), np.zeros(k), np.zeros(k)
+    for rows, own, row, ids in encode(texts, vocab):
+        n[rows] = own
+        fall[rows] = np.bincount(row, vocab.fallback[ids], len(rows))
+        key = row.astype(np.int64) * vocab.size + ids
+        key.sort()
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        c = np.diff(np.append(at, len(key)))
+        h[rows] = np.bincount(key[at] // vocab.size, c * np.log2(c), len(rows))
     some = np.maximum(n, 1)
-    fall = np.bincount(row, vocab.fallback[ids], len(texts)) / some
-    key = row.astype(np.int64) * vocab.size + ids
-    key.sort()
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    c = np.diff(np.append(at, len(key)))
     log = np.log2(some)
-    h = log - np.bincount(key[at] // vocab.size, c * np.log2(c), len(texts)) / some
     chars = pc.utf8_length(texts.fill_null("")).to_numpy(zero_copy_only=False)
-    return {"n_tokens": n, "chars_per_token": chars / some, "fallback_share": fall, "entropy": np.where(n > 1, h / np.maximum(log, 1e-9), 1.0)}
+    return {"n_tokens": n, "chars_per_token": chars / some, "fallback_share": fall / some, "entropy": np.where(n > 1, (log - h / some) / np.maximum(log, 1e-9), 1.0)}
 
 
 def _octave(n: np.ndarray) -> np.ndarray:

@@ -64,49 +64,75 @@ def _gather(ids: np.ndarray, start: np.ndarray, n: np.ndarray, rows: np.ndarray)
     return ids[at]
 
 
-def encode(texts: pa.Array, vocab: Vocabulary, want_ids: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """Number of tokens of each text; with ``want_ids`` also the text and id of every token (in no certain order)."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+#: Rows whose words are encoded together, and rows whose tokens are held at a time.
+ROWS_OF_WORDS = 5_000
+ROWS_OF_TOKENS = 250
+
+
+def encode(texts: pa.Array, vocab: Vocabulary):
+    """Tokens of successive groups of rows: (rows, number of tokens of each, index into rows and id of every token).
+
+    Each row comes once; the tokens of a group are in no certain order. Null and empty texts have no tokens.
+    """
+    for first in range(0, len(texts), ROWS_OF_WORDS):
+        for rows, n, row, ids in _encode(texts.slice(first, ROWS_OF_WORDS), vocab, True):
+            yield rows + first, n, row, ids
+
+
+def count(texts: pa.Array, vocab: Vocabulary) -> np.ndarray:
+    """Number of tokens of each text."""
     total = np.zeros(len(texts), np.int64)
-    odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))).to_numpy(zero_copy_only=False)
-    plain = np.flatnonzero(~odd & (pc.binary_length(texts).to_numpy() > 0))
-    rows, ids = [], []
+    for first in range(0, len(texts), ROWS_OF_WORDS):
+        for rows, n, _, _ in _encode(texts.slice(first, ROWS_OF_WORDS), vocab, False):
+            total[rows + first] = n
+    return total
 
-    def take(own_rows: np.ndarray, own_ids: np.ndarray) -> None:
-        rows.append(own_rows.astype(np.int32))
-        ids.append(own_ids)
 
-    if odd.any():
-        at = np.flatnonzero(odd)
+def _encode(texts: pa.Array, vocab: Vocabulary, want_ids: bool):
+    texts = texts.cast(pa.large_string()).fill_null("")
+    odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))).to_numpy(zero_copy_only=False)
+    some = pc.binary_length(texts).to_numpy() > 0
+    none = np.zeros(0, np.int32)
+    if not some.all():
+        at = np.flatnonzero(~some)
+        yield at, np.zeros(len(at), np.int64), none, none
+    strange = np.flatnonzero(odd & some)
+    for k in range(0, len(strange), ROWS_OF_TOKENS):
+        at = strange[k : k + ROWS_OF_TOKENS]
         flat, n = _flat(vocab.encode(texts.take(pa.array(at)).to_pylist()))
-        total[at] = n
-        if want_ids:
-            take(np.repeat(at, n), flat)
-    if len(plain):
-        split = pc.split_pattern(texts.take(pa.array(plain)), " ")
-        off = np.asarray(split.offsets)
-        words = split.values.dictionary_encode()
-        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        doc = np.repeat(plain, np.diff(off))
-        unique = words.dictionary.to_pylist()
-        if vocab.space:
-            first = off[:-1]
-            flat, n = _flat(vocab.encode([unique[c] for c in codes[first]]))
-            total[plain] += n
-            if want_ids:
-                take(np.repeat(plain, n), flat)
-            rest = np.ones(len(codes), bool)
-            rest[first] = False
-            codes, doc = codes[rest], doc[rest]
-            unique = [vocab.space + w for w in unique]
-        flat, n = _flat(vocab.encode(unique))
-        own = n[codes]
-        total += np.bincount(doc, own, len(texts)).astype(np.int64)
-        if want_ids:
-            take(np.repeat(doc, own), _gather(flat, np.cumsum(n) - n, n, codes))
-    if not want_ids:
-        return total, None, None
-    return total, np.concatenate(rows) if rows else np.zeros(0, np.int32), np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        yield at, n, np.repeat(np.arange(len(at), dtype=np.int32), n), flat
+    plain = np.flatnonzero(~odd & some)
+    if not len(plain):
+        return
+    split = pc.split_pattern(texts.take(pa.array(plain)), " ")
+    off = np.asarray(split.offsets)
+    words = split.values.dictionary_encode()
+    del split
+    codes = words.indices.to_numpy(zero_copy_only=False)
+    unique = words.dictionary.to_pylist()
+    del words
+    lead_ids, lead_n = none, np.zeros(len(plain), np.int64)
+    if vocab.space:
+        lead_ids, lead_n = _flat(vocab.encode([unique[c] for c in codes[off[:-1]]]))
+        unique = [vocab.space + w for w in unique]
+    ids, n = _flat(vocab.encode(unique))
+    start, lead_off = np.cumsum(n) - n, np.concatenate(([0], np.cumsum(lead_n)))
+    skip = 1 if vocab.space else 0
+    for k in range(0, len(plain), ROWS_OF_TOKENS):
+        e = min(k + ROWS_OF_TOKENS, len(plain))
+        own = codes[off[k] : off[e]]
+        doc = np.repeat(np.arange(e - k, dtype=np.int32), np.diff(off[k : e + 1]))
+        if skip:
+            rest = np.ones(len(own), bool)
+            rest[off[k:e] - off[k]] = False
+            own, doc = own[rest], doc[rest]
+        each = n[own]
+        total = np.bincount(doc, each, e - k).astype(np.int64) + lead_n[k:e]
+        if not want_ids:
+            yield plain[k:e], total, none, none
+            continue
+        row = np.concatenate((np.repeat(np.arange(e - k, dtype=np.int32), lead_n[k:e]), np.repeat(doc, each)))
+        yield plain[k:e], total, row, np.concatenate((lead_ids[lead_off[k] : lead_off[e]], _gather(ids, start, n, own)))
 
 
 def count_tokens(paths: str):
@@ -115,7 +141,7 @@ def count_tokens(paths: str):
     def run(batches):
         vocab = vocabulary(paths)
         for b in batches:
-            n, _, _ = encode(b.column(0), vocab, False)
+            n = count(b.column(0), vocab)
             yield pa.record_batch([pa.array(n), *b.columns[1:]], names=["n_tokens", *b.schema.names[1:]])
 
     return run
