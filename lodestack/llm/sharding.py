@@ -17,6 +17,8 @@ from . import common as C
 
 #: Serialised bytes of the records in one bucket; a task holds a few copies of it.
 BUCKET_BYTES = 16 << 20
+#: Rows that go back to the JVM at a time.
+ROWS_OUT = 2_000
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -40,13 +42,22 @@ def external_shuffle(docs: DataFrame, *, seed: int = 17, bucket_bytes: int = BUC
     d = d.withColumn("__h", F.xxhash64(F.lit(seed), *hashed)).withColumn("__b", F.pmod(F.xxhash64("__h", F.lit(seed)), F.lit(n)).cast("int"))
     schema = T.StructType([*d.schema.fields[:-2], T.StructField(shard_col, T.IntegerType()), T.StructField(position_col, T.LongType())])
 
-    def permute(t: pa.Table) -> pa.Table:
-        bucket = t.column("__b")[0].as_py()
-        order = np.argsort(t.column("__h").to_numpy(), kind="stable")[fisher_yates(t.num_rows, seed, bucket)]
-        t = t.drop_columns(["__h", "__b"]).take(pa.array(order))
-        return t.append_column(shard_col, pa.array(np.full(t.num_rows, bucket, np.int32))).append_column(position_col, pa.array(np.arange(t.num_rows, dtype=np.int64)))
+    def permute(batches):
+        batches = list(batches)  # a partition is a bucket, of a size that fits in memory
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches)
+        del batches
+        which = t.column("__b").to_numpy()
+        for bucket in np.unique(which).tolist():
+            at = np.flatnonzero(which == bucket)
+            at = at[np.argsort(t.column("__h").to_numpy()[at], kind="stable")][fisher_yates(len(at), seed, bucket)]
+            for i in range(0, len(at), ROWS_OUT):
+                own = t.drop_columns(["__h", "__b"]).take(pa.array(at[i : i + ROWS_OUT])).combine_chunks()
+                own = own.append_column(shard_col, pa.array(np.full(own.num_rows, bucket, np.int32))).append_column(position_col, pa.array(np.arange(i, i + own.num_rows, dtype=np.int64)))
+                yield from own.to_batches()
 
-    return d.repartition(n, "__b").groupBy("__b").applyInArrow(permute, schema)
+    return d.repartitionById(n, F.col("__b")).mapInArrow(permute, schema)
 
 
 def write_shards(docs: DataFrame, path: str, *, seed: int = 17, shard_col: str = "shard", **kw) -> None:
