@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 U = np.uint64
-TOKENS_A_BUCKET = 3_000_000
+TOKENS_A_BUCKET = 2_500_000
 DOCS_A_BUCKET = 12_000
 PAIRS_A_BUCKET = 6_000
 POSTINGS_A_BUCKET = 400_000
