@@ -29,6 +29,10 @@ _CLASS[127] = 0
 _CLASS[C.WORD == 1] = 1
 
 
+#: Rows whose features are held at a time.
+ROWS_AT_ONCE = 1_000
+
+
 def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature numbers of each row, end to end, and each row's count."""
     out, counts = [], np.zeros(len(texts), np.int64)
@@ -91,6 +95,10 @@ class Model:
         self.wr, self.r2, self.bias, self.bits = (w * r).astype(np.float32), (r * r).astype(np.float32), float(bias), bits
 
     def score(self, texts: pa.Array) -> np.ndarray:
+        parts = [self._score(texts.slice(i, ROWS_AT_ONCE)) for i in range(0, len(texts), ROWS_AT_ONCE)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _score(self, texts: pa.Array) -> np.ndarray:
         f, n = features(texts, self.bits)
         row = np.repeat(np.arange(len(n)), n)
         s, q = np.bincount(row, self.wr[f], len(n)), np.bincount(row, self.r2[f], len(n))
@@ -102,7 +110,7 @@ def _counts(sampled: bool, bits: int):
 
     def run(batches):
         total = np.zeros((2, 1 << bits), np.int64)
-        for b in batches:
+        for b in (x.slice(i, ROWS_AT_ONCE) for x in batches for i in range(0, x.num_rows, ROWS_AT_ONCE)):
             f, n = features(b.column("text"), bits)
             y = b.column("y").to_numpy()
             row = np.repeat(y, n)
