@@ -38,9 +38,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Estimates above this are checked against the number of rows, at ROW_BYTES each.
+TRUSTED_BYTES = 1 << 40
+ROW_BYTES = 16 << 10
+
+
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; it sizes partitions and never changes a result."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate; it sizes partitions and never changes a result.
+
+    Plans without statistics, and joins, can be estimated far too large; those are counted.
+    """
+    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return n if n <= TRUSTED_BYTES else min(n, max(1, df.count()) * ROW_BYTES)
 
 
 def maybe_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -3,7 +3,8 @@
 Tokens are runs of letters and digits or of other visible characters, case kept; features are distinct hashed tokens
 and pairs of neighbouring tokens. The log-count ratio r of a feature compares, over all labelled documents, the
 smoothed shares of good and bad documents that contain it. Documents become r at their features, scaled to unit
-length; the hinge loss is minimised by dual coordinate descent over a bounded, seeded sample of labelled documents.
+length (after DAMPING is added to the squared length, so that a short text of a few telling features isn't judged as
+surely as a long one); the hinge loss is minimised by dual coordinate descent over a bounded, seeded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ SLICES = 64
 #: Documents below this margin are rejected.
 THRESHOLD = 0.0
 SEED = 41
+DAMPING = 100.0
 
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[:33] = 0
@@ -54,29 +56,30 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(out) if out else np.zeros(0, np.int32)), counts
 
 
-def log_ratio(good: np.ndarray, bad: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+#: Features of fewer labelled documents carry no evidence and get ratio 0.
+MIN_DOCS = 2
+
+
+def log_ratio(good: np.ndarray, bad: np.ndarray, alpha: float = 1.0, min_docs: int = MIN_DOCS) -> np.ndarray:
     p, q = good + alpha, bad + alpha
-    return (np.log(p / p.sum()) - np.log(q / q.sum())).astype(np.float64)
+    return np.where(good + bad >= min_docs, np.log(p / p.sum()) - np.log(q / q.sum()), 0.0)
 
 
 def fit_hinge(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, c: float = 1.0, epochs: int = 12, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the L1-loss SVM with balanced class costs: (weights over features, bias)."""
+    """Dual coordinate descent for the L1-loss SVM, one cost for both classes: (weights over features, bias)."""
     w, bias, rng = np.zeros(len(r)), 0.0, np.random.default_rng(seed)
     x = []
     for f in rows:
         v = r[f]
-        norm = np.sqrt(np.dot(v, v))
-        x.append(v / norm if norm > 0 else v)
+        x.append(v / np.sqrt(np.dot(v, v) + DAMPING))
     q = np.array([np.dot(v, v) + 1.0 for v in x])
-    pos = max(1, int((y > 0).sum()))
-    upper = np.where(y > 0, c * len(y) / (2 * pos), c * len(y) / (2 * max(1, len(y) - pos)))
     a = np.zeros(len(y))
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(y)):
             f, v = rows[i], x[i]
             g = y[i] * (np.dot(w[f], v) + bias) - 1
-            new = min(max(a[i] - g / q[i], 0.0), upper[i])
+            new = min(max(a[i] - g / q[i], 0.0), c)
             if new != a[i]:
                 step = (new - a[i]) * y[i]
                 w[f] += step * v
@@ -102,7 +105,7 @@ class Model:
         f, n = features(texts, self.bits)
         row = np.repeat(np.arange(len(n)), n)
         s, q = np.bincount(row, self.wr[f], len(n)), np.bincount(row, self.r2[f], len(n))
-        return np.where(q > 0, s / np.sqrt(np.maximum(q, 1e-12)), 0.0) + self.bias
+        return s / np.sqrt(q + DAMPING) + self.bias
 
 
 def _counts(sampled: bool, bits: int):

@@ -4,7 +4,7 @@ Each level shrinks towards the one above: host to registered domain to suffix to
 parent mean m, counts (s good of n) give the posterior Beta(k m + s, k (1 - m) + n - s). The strength k of a level is
 fitted to all its groups by the moments of the beta-binomial: with N = sum n, p = sum s / N, G groups and
 S = sum n (s/n - p)^2, the intraclass correlation is
-rho = (S / (p (1 - p)) - (G - 1)) / (N - sum n^2 / N - (G - 1)), kept within [0.001, 0.999], and k = 1 / rho - 1.
+rho = (S / (p (1 - p)) - (G - 1)) / (N - sum n^2 / N - (G - 1)), kept within [0.001, 0.5] so that a prior weighs one outcome at least, and k = 1 / rho - 1.
 A page passes if the lower bound of its host's posterior, mean - z sd, reaches the threshold.
 """
 
@@ -44,7 +44,7 @@ def _strength(groups: DataFrame) -> DataFrame:
     p = F.col("good") / F.col("big")
     spread = (F.col("s2n") - F.col("good") * p) / (p * (1 - p))
     den = F.col("big") - F.col("n2") / F.col("big") - (F.col("g") - 1)
-    rho = F.when((F.col("big") > 0) & (F.col("good") > 0) & (F.col("good") < F.col("big")) & (den > 0), F.greatest(F.lit(0.001), F.least(F.lit(0.999), (spread - (F.col("g") - 1)) / den))).otherwise(0.001)
+    rho = F.when((F.col("big") > 0) & (F.col("good") > 0) & (F.col("good") < F.col("big")) & (den > 0), F.greatest(F.lit(0.001), F.least(F.lit(0.5), (spread - (F.col("g") - 1)) / den))).otherwise(0.001)
     return t.select((1 / rho - 1).alias("k"))
 
 
@@ -103,7 +103,7 @@ def _domain_sql(h: str, s: str) -> str:
 
 def _strength_sql(table: str) -> str:
     rho = "(((s2n - good * good / big) / ((good / big) * (1 - good / big))) - (g - 1)) / (big - n2 / big - (g - 1))"
-    return f"""(SELECT 1 / (CASE WHEN big > 0 AND good > 0 AND good < big AND big - n2 / big - (g - 1) > 0 THEN greatest(0.001::double, least(0.999::double, {rho})) ELSE 0.001::double END) - 1
+    return f"""(SELECT 1 / (CASE WHEN big > 0 AND good > 0 AND good < big AND big - n2 / big - (g - 1) > 0 THEN greatest(0.001::double, least(0.5::double, {rho})) ELSE 0.001::double END) - 1
       FROM (SELECT sum(n)::double AS big, sum(s)::double AS good, count(*)::double AS g, sum(n::double * n) AS n2, sum(s::double * s / n) AS s2n FROM {table}))"""
 
 
