@@ -267,7 +267,10 @@ def train_on(pages: DataFrame, *, train_pages: int = TRAIN_PAGES, seed: int = 7,
     every element is content with probability one half.
     """
     d = pages.select(F.col(html_col).cast("string").alias("h"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("o")).where(F.col("h").rlike("(?i)<(?:article|main)[\\s>]"))
-    rows = d.orderBy("o", "h").limit(train_pages).collect()
+    # the smallest hashes first, so that no task sends more than hashes to the driver
+    cut = d.select("o").orderBy("o").limit(train_pages).agg(F.max("o")).first()[0]
+    rows = [] if cut is None else d.where(F.col("o") <= cut).limit(2 * train_pages).collect()
+    rows = sorted(rows, key=lambda r: (r["o"], r["h"]))[:train_pages]
     return train([parse(r["h"]) for r in rows])
 
 
