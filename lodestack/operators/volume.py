@@ -73,6 +73,21 @@ def hausdorff95(pred: DataFrame, target: DataFrame, key: str, axes: tuple[str, .
     return j.select(key, F.round(F.when((F.col("p") == 1) & (F.col("t") == 1), F.greatest("h1", "h2")).otherwise(float("inf")), 6).alias("hd95"))
 
 
+def evaluate(voxels: DataFrame, key: str, axes: tuple[str, ...], pred: str, target: str, spacing: tuple[float, ...] | None = None) -> DataFrame:
+    """One row a subject: dice, iou and hd95 of each nested region of two label columns, as <measure>_<region>.
+
+    Two empty masks are at distance 0, one empty mask at infinity.
+    """
+    p, t = regions(F.col(pred)), regions(F.col(target))
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("region"), p[r].alias("p"), t[r].alias("t")) for r in REGIONS)))
+    v = voxels.select(F.col(key).cast("string").alias("__id"), *axes, each.alias("m")).select(F.concat_ws("|", "__id", "m.region").alias("__k"), "__id", F.col("m.region").alias("region"), *axes, F.col("m.p").alias("p"), F.col("m.t").alias("t"))
+    h = hausdorff95(v.where("p").select("__k", *axes), v.where("t").select("__k", *axes), "__k", axes, spacing)
+    o = overlap(v, "__k", "p", "t").join(h, "__k", "left").withColumn("hd95", F.coalesce("hd95", F.lit(0.0)))
+    o = o.select(F.regexp_extract("__k", r"^(.*)\|", 1).alias(key), F.regexp_extract("__k", r"\|([^|]*)$", 1).alias("region"), "dice", "iou", "hd95")
+    wide = o.groupBy(key).pivot("region", list(REGIONS)).agg(*(F.first(m).alias(m) for m in ("dice", "iou", "hd95")))
+    return wide.select(F.col(key).cast(voxels.schema[key].dataType).alias(key), *(F.col(f"{r}_{m}").alias(f"{m}_{r.lower()}") for r in REGIONS for m in ("dice", "iou", "hd95")))
+
+
 def finite_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     """Means with infinite values left out."""
     return df.agg(*(F.avg(F.when(F.abs(c) < float("inf"), F.col(c))).alias(c) for c in columns))

@@ -114,3 +114,20 @@ def histogram_values(t: Tables) -> DataFrame:
 def finite_means(t: Tables) -> DataFrame:
     m = _voxels(t).groupBy("vec_id").agg(F.count_if(F.col("label") > 0).alias("c")).select(F.when(F.col("vec_id") % 4 == 0, float("inf")).otherwise(F.col("c")).alias("n"))
     return volume.finite_mean(m, ["n"]).select(F.round("n", 6).alias("n"))
+
+
+_EV = f"""WITH {_X}, rg AS (SELECT * FROM (VALUES ('TC', [1, 4]), ('WT', [1, 2, 4]), ('ET', [4])) AS rg(region, ks)),
+a0 AS (SELECT vec_id, region, z, y FROM w, rg WHERE list_contains(ks, label) AND vec_id < 19), b0 AS (SELECT vec_id - 1 AS vec_id, region, z, y FROM w, rg WHERE list_contains(ks, label) AND vec_id BETWEEN 1 AND 19),
+a AS (SELECT * FROM a0 m WHERE (SELECT count(*) FROM a0 o WHERE o.vec_id = m.vec_id AND o.region = m.region AND abs(o.z - m.z) + abs(o.y - m.y) = 1) < 4),
+b AS (SELECT * FROM b0 m WHERE (SELECT count(*) FROM b0 o WHERE o.vec_id = m.vec_id AND o.region = m.region AND abs(o.z - m.z) + abs(o.y - m.y) = 1) < 4),
+d AS (SELECT a.vec_id, region, a.z AS az, a.y AS ay, b.z AS bz, b.y AS by_, sqrt(((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y))::double) AS d FROM a JOIN b USING (vec_id, region)),
+h1 AS (SELECT vec_id, region, quantile_cont(d, 0.95) AS h FROM (SELECT vec_id, region, min(d) AS d FROM d GROUP BY vec_id, region, az, ay) GROUP BY ALL), h2 AS (SELECT vec_id, region, quantile_cont(d, 0.95) AS h FROM (SELECT vec_id, region, min(d) AS d FROM d GROUP BY vec_id, region, bz, by_) GROUP BY ALL),
+k AS (SELECT DISTINCT vec_id, region FROM w, rg WHERE vec_id < 19), na AS (SELECT vec_id, region, count(*) AS n FROM a0 GROUP BY ALL), nb AS (SELECT vec_id, region, count(*) AS n FROM b0 GROUP BY ALL), ni AS (SELECT vec_id, region, count(*) AS n FROM a0 JOIN b0 USING (vec_id, region, z, y) GROUP BY ALL),
+m AS (SELECT vec_id, region, coalesce(na.n, 0) AS a, coalesce(nb.n, 0) AS b, coalesce(ni.n, 0) AS i, h1.h AS h1, h2.h AS h2 FROM k LEFT JOIN na USING (vec_id, region) LEFT JOIN nb USING (vec_id, region) LEFT JOIN ni USING (vec_id, region) LEFT JOIN h1 USING (vec_id, region) LEFT JOIN h2 USING (vec_id, region)),
+e AS (SELECT vec_id, region, round(CASE WHEN a + b = 0 THEN 1.0::double ELSE 2 * i / (a + b)::double END, 6) AS dice, round(CASE WHEN a + b - i = 0 THEN 1.0::double ELSE i / (a + b - i)::double END, 6) AS iou, CASE WHEN a + b = 0 THEN 0.0::double WHEN h1 IS NULL THEN 'infinity'::double ELSE round(greatest(h1, h2), 6) END AS hd95 FROM m)
+SELECT vec_id, """ + ", ".join(f"max({m}) FILTER (region = '{r}') AS {m}_{r.lower()}" for r in ("TC", "WT", "ET") for m in ("dice", "iou", "hd95")) + " FROM e GROUP BY 1"
+
+
+@query(_EV)
+def evaluate_subjects(t: Tables) -> DataFrame:
+    return volume.evaluate(_pairs(t).where("vec_id < 19"), "vec_id", ("z", "y"), "label", "other")
