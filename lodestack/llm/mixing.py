@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -108,8 +109,9 @@ def mix_sources(docs: DataFrame, *, weights: dict[str | None, float] | None = No
         yield _slots(rows, names)
 
     plan = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(write, "__s string, block long, slot long, phase int")
-    # a window over (source, bucket) numbers the rows; ties of the hash are rows of one id
-    order = Window.partitionBy("__s", "__b").orderBy("__h", id_col)
+    # a window over (source, bucket) numbers the rows; rows of one id follow their content, so that a task that is run
+    # again numbers them alike
+    order = Window.partitionBy("__s", "__b").orderBy("__h", id_col, F.xxhash64(*(F.to_json(F.struct(f"`{f.name}`")) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`") for f in docs.select(*need).schema)))
     d = d.withColumn("__i", F.row_number().over(order) - 1)
     n_slots = sum(blocks)
     small = F.broadcast(sizes) if len(names) * C.parts(sum(total.values()), ROWS_A_BUCKET) <= C.BROADCAST_ROWS else sizes
