@@ -67,9 +67,10 @@ def schedule(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int,
 def _numbered(docs: DataFrame, id_col: str, source_col: str, seed: int) -> tuple[DataFrame, DataFrame]:
     """(docs with __s, __b, __h; rows and first number of each (__s, __b))."""
     src = F.col(source_col).cast("string")
-    d = docs.withColumn("__s", F.when(src.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), src))).withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_col)))
+    d = docs.withColumn("__s", F.when(src.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), src))).withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
     buckets = C.parts(docs.count(), ROWS_A_BUCKET)
-    d = d.withColumn("__b", F.pmod(F.xxhash64(F.col("__h"), F.lit(1)), F.lit(buckets)))
+    # ranges of the hash, so that the order by bucket and hash is the order by hash
+    d = d.withColumn("__b", F.floor(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)))
     sizes = d.groupBy("__s", "__b").agg(F.count("*").alias("__n"))
     first = F.sum("__n").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     return d, C.materialize(sizes.withColumn("__first", F.coalesce(first, F.lit(0))))
@@ -141,3 +142,20 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     part = F.least(F.lit(n - 1), F.floor(F.col("slot") * kw.get("block_docs", BLOCK_DOCS) * n / F.col("__top"))).cast("int")
     m = m.repartitionById(n, part).sortWithinPartitions("slot", "place")
     return m.select(*(F.col(f"`{c}`") for c in d.columns)).withColumnsRenamed({v: k for k, v in hide.items()})
+
+
+#: mix_sources with its default parameters over documents; the schedule is a recursion over slots.
+ORACLE_SQL = f"""
+WITH RECURSIVE k AS (SELECT CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS key, count(*) AS n FROM documents GROUP BY 1),
+k2 AS (SELECT row_number() OVER (ORDER BY key) - 1 AS i, key, (n + {BLOCK_DOCS - 1}) // {BLOCK_DOCS} AS b, greatest(1, round_even(pow(n, {TEMPERATURE}::double) / sum(pow(n, {TEMPERATURE}::double)) OVER () * {_SCALE}, 0))::bigint AS w FROM k),
+cfg AS (SELECT list(b ORDER BY i) AS b, list(w ORDER BY i) AS w, range(count(*)) AS ids, sum(b) AS slots FROM k2),
+sched AS (
+  SELECT -1::bigint AS slot, 0 AS phase, 0::bigint AS since, list_transform(b, lambda x: 0::bigint) AS used, list_transform(b, lambda x: 0::bigint) AS base, -1::bigint AS pick, -1::bigint AS block, 0 AS next_phase FROM cfg
+  UNION ALL
+  SELECT slot, next_phase AS phase, CASE WHEN ends THEN slot + 1 ELSE since END AS since, now AS used, CASE WHEN ends THEN now ELSE base END AS base, pick, used[pick + 1] AS block, CASE WHEN ends THEN next_phase + 1 ELSE next_phase END AS next_phase FROM (
+    SELECT *, list_transform(ids, lambda s: used[s + 1] + (s = pick)::bigint) AS now, used[pick + 1] + 1 = b[pick + 1] AS ends FROM (
+      SELECT *, list_min(list_transform(list_filter(ids, lambda s: used[s + 1] < b[s + 1] AND ((used[s + 1] - base[s + 1]) * total) // w[s + 1] <= slot - since), lambda s: (((used[s + 1] - base[s + 1] + 1) * total + w[s + 1] - 1) // w[s + 1]) * 100000 + s)) % 100000 AS pick FROM (
+        SELECT sched.slot + 1 AS slot, since, used, base, next_phase, cfg.*, list_sum(list_transform(ids, lambda s: CASE WHEN used[s + 1] < b[s + 1] THEN w[s + 1] ELSE 0 END))::bigint AS total FROM sched, cfg WHERE sched.slot + 1 < slots)))),
+d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS key, row_number() OVER (PARTITION BY source ORDER BY md5('23:' || coalesce(doc_id::varchar, '')), doc_id) - 1 AS i FROM documents)
+SELECT doc_id, source, slot, phase, block, (d.i % {BLOCK_DOCS})::int AS place FROM d JOIN k2 USING (key) JOIN sched ON pick = k2.i AND block = d.i // {BLOCK_DOCS}
+"""

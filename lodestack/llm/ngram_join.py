@@ -392,3 +392,13 @@ def drop_near_duplicates(docs: DataFrame, *, n: int = 3, threshold: float = 0.5,
     gone = near_duplicates(docs, n=n, threshold=threshold, id_col=id_col, text_col=text_col).where("doc_id != root").select(F.col("doc_id").alias("__gone"))
     gone = C.maybe_broadcast(C.materialize(gone))
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+
+
+#: jaccard_pairs with its default parameters over documents.
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(min(text)), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT doc_a, doc_b, round(k / (x.n + y.n - k)::double, 6) AS jaccard FROM p JOIN n x ON doc_a = x.doc_id JOIN n y ON doc_b = y.doc_id WHERE k / (x.n + y.n - k)::double >= 0.5
+"""

@@ -228,11 +228,11 @@ def test_license_detections(spark):
     assert licenses.license_detections(frame(spark, [])).count() == 0
 
 
-def test_reputation_equals_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", ["op2_host_reputation", "op3_ngram_jaccard_join", "op8_pfair_mixing"])
+def test_query_equals_sql(spark, sf_dir, name):
     from lodestack.llm.queries import ORACLES, QUERIES
 
-    got = rows_of(QUERIES["op2_host_reputation"](spark, sf_dir))
-    assert got == rows_of_sql(ORACLES["op2_host_reputation"], sf_dir)
+    assert rows_of(QUERIES[name](spark, sf_dir)) == rows_of_sql(ORACLES[name], sf_dir)
 
 
 def test_reputation_edges(spark):
