@@ -11,8 +11,17 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+#: Rows of a batch between the JVM and Python: texts are long, and both sides hold a batch more than once.
+ARROW_ROWS = 3_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once an application, so that Python workers need no installation."""
+    """Send this package to the executors once an application, so that Python workers need no installation.
+
+    Arrow batches are set to ARROW_ROWS rows unless the session has a setting of its own.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
