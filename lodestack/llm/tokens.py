@@ -21,6 +21,7 @@ class Vocabulary:
     """encode(words) -> token ids of each; space: what stands before a word that isn't the first; fallback: by id."""
 
     def __init__(self, path: str):
+        self.known: dict[str, list[int]] = {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -46,6 +47,22 @@ class Vocabulary:
             raise ValueError(f"unknown kind of vocabulary: {path}")
 
 
+#: Words whose tokens a worker remembers, first come; the most frequent come first.
+REMEMBERED = 50_000
+
+
+def _recall(vocab: Vocabulary, words: list[str]) -> list[list[int]]:
+    """vocab.encode(words), for words that batches share."""
+    known = vocab.known
+    out = [known.get(w) for w in words]
+    new = [i for i, x in enumerate(out) if x is None]
+    for i, x in zip(new, vocab.encode([words[i] for i in new])):
+        out[i] = x
+        if len(known) < REMEMBERED and len(words[i]) <= 32:
+            known[words[i]] = x
+    return out
+
+
 @functools.lru_cache(4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -113,9 +130,9 @@ def _encode(texts: pa.Array, vocab: Vocabulary, want_ids: bool):
     del words
     lead_ids, lead_n = none, np.zeros(len(plain), np.int64)
     if vocab.space:
-        lead_ids, lead_n = _flat(vocab.encode([unique[c] for c in codes[off[:-1]]]))
+        lead_ids, lead_n = _flat(_recall(vocab, [unique[c] for c in codes[off[:-1]]]))
         unique = [vocab.space + w for w in unique]
-    ids, n = _flat(vocab.encode(unique))
+    ids, n = _flat(_recall(vocab, unique))
     start, lead_off = np.cumsum(n) - n, np.concatenate(([0], np.cumsum(lead_n)))
     skip = 1 if vocab.space else 0
     for k in range(0, len(plain), ROWS_OF_TOKENS):
