@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 from pathlib import Path
 from typing import Any, get_type_hints
@@ -27,8 +28,9 @@ class Paths:
     releases: str
 
     def mkdirs(self) -> None:
-        for p in (self.interim, self.processed, self.outputs, self.releases):
-            Path(p).mkdir(parents=True, exist_ok=True)
+        for name, at in vars(self).items():
+            if name != "raw":
+                Path(at).mkdir(parents=True, exist_ok=True)
 
 
 @dataclass
@@ -50,7 +52,7 @@ class QC:
 
 @dataclass
 class Preprocess:
-    target_spacing: list[float] = field(default_factory=lambda: [1.0, 1.0, 1.0])
+    target_spacing: list[float] = field(default_factory=lambda: [1.0] * 3)
     target_orientation: str = "RAS"
     intensity_norm: str = "zscore"
     clip_percentiles: list[float] = field(default_factory=lambda: [0.5, 99.5])
@@ -61,10 +63,10 @@ class Preprocess:
 
 @dataclass
 class Split:
+    seed: int = 42
+    test: float = 0.15
     train: float = 0.7
     val: float = 0.15
-    test: float = 0.15
-    seed: int = 42
     stratify_by: str | None = None
     group_by: str | None = "patient_id"
 
@@ -77,9 +79,9 @@ class Split:
 class Config:
     name: str
     paths: Paths
-    seed: int = 42
-    log_level: str = "INFO"
     json_logs: bool = False
+    log_level: str = "INFO"
+    seed: int = 42
     qc: QC = field(default_factory=QC)
     preprocess: Preprocess = field(default_factory=Preprocess)
     split: Split = field(default_factory=Split)
@@ -125,18 +127,17 @@ def override(tree: dict, dotted: str) -> None:
     tree[last] = value
 
 
-def load(path: str | Path, overrides: list[str] | None = None, base: str | Path | None = None) -> Config:
+def load(path: str | Path, overrides: Sequence[str] = (), base: str | Path | None = None) -> Config:
     """base.yaml beside the file is the base unless another is given."""
     import yaml
 
-    path = Path(path)
-    if not path.exists():
+    if not (path := Path(path)).exists():
         raise FileNotFoundError(f"no such config: {path}")
     if base is None and path.name != "base.yaml" and (path.parent / "base.yaml").exists():
         base = path.parent / "base.yaml"
     tree = (yaml.safe_load(Path(base).read_text("utf-8")) or {}) if base else {}
     tree = merge(tree, yaml.safe_load(path.read_text("utf-8")) or {})
-    for o in overrides or []:
+    for o in overrides:
         override(tree, o)
     return build(Config, tree)
 

@@ -36,7 +36,7 @@ def grade(score: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     """Bytes with one decimal in the largest unit below 1024, up to PB."""
-    out, units = None, ("B", "KB", "MB", "GB", "TB")
+    out, units = None, "B KB MB GB TB".split()
     x = n.cast("double")
     for k, u in enumerate(units):
         cond, text = F.abs(x) < float(1024 ** (k + 1)), F.format_string(f"%.1f {u}", F.bround(x / float(1024**k), 1))
@@ -67,7 +67,7 @@ def voxel_volume(spacing: Column) -> Column:
 
 def file_modality(name: Column) -> Column:
     """Modality of an image file's name, by its suffix; null if it has none."""
-    m = F.lower(F.regexp_extract(name, r"(?i)_(t1ce|t1|t2|flair|seg)\.nii(\.gz)?$", 1))
+    m = F.lower(F.regexp_extract(name, r"(?i)_(flair|seg|t1ce|t1|t2)\.nii(\.gz)?$", 1))
     return F.when(m != "", m)
 
 

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import AGE_EDGES
+
 DOMINANCE = 0.50
 DISPARITY = 2.0
-REFERENCE = {"sex": {"M": 0.5, "F": 0.5}, "age_band": {"<40": 0.20, "40-59": 0.30, "60-79": 0.35, "80+": 0.15}}
+REFERENCE = {"age_band": dict(zip((e[2] for e in AGE_EDGES), (0.20, 0.30, 0.35, 0.15))), "sex": dict.fromkeys("FM", 0.5)}
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -7,7 +7,7 @@ rules of a run are evaluated in one scan.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import voxel_volume
 
 SEVERITIES = ("ERROR", "WARN", "INFO")
-FINDING_COLUMNS = ("patient_id", "modality", "check", "severity", "message", "filepath")
+FINDING_COLUMNS = tuple("patient_id modality check severity message filepath".split())
 FINDING_SCHEMA = ", ".join(f"{c} string" for c in FINDING_COLUMNS)
 
 
@@ -218,9 +218,9 @@ def by_check(findings: DataFrame) -> DataFrame:
     return findings.groupBy("check").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "check")
 
 
-PHI_TAGS = ("PatientName", "PatientBirthDate", "PatientAddress", "PatientTelephoneNumbers", "OtherPatientIDs", "OtherPatientNames", "ReferringPhysicianName", "PerformingPhysicianName", "OperatorsName", "InstitutionAddress", "AccessionNumber")
+PHI_TAGS = ("AccessionNumber", "InstitutionAddress", "OperatorsName", "OtherPatientIDs", "OtherPatientNames", "PatientAddress", "PatientBirthDate", "PatientName", "PatientTelephoneNumbers", "PerformingPhysicianName", "ReferringPhysicianName")
 #: Populated on purpose in shifted or surrogate form, so not audited.
-PHI_EXEMPT = ("StudyDate", "StudyTime", "SeriesDate", "AcquisitionDate", "ContentDate", "PatientID")
+PHI_EXEMPT = ("AcquisitionDate", "ContentDate", "PatientID", "SeriesDate", "StudyDate", "StudyTime")
 
 
 def audit_phi(tags: dict[str, Column]) -> Column:
@@ -243,19 +243,3 @@ def deidentify(df: DataFrame, keep_uids: bool = True, tags: Sequence[str] = PHI_
 
 def severity_table(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count("*").alias("n"))
-
-
-@dataclass
-class QCReport:
-    """Scalars of one run, as collected for a report."""
-
-    n_records: int = 0
-    n_subjects: int = 0
-    n_errors: int = 0
-    n_warnings: int = 0
-    failed: list[str] = field(default_factory=list)
-    by_check: dict[str, int] = field(default_factory=dict)
-
-    @property
-    def pass_rate(self) -> float:
-        return 1 - len(self.failed) / self.n_subjects if self.n_subjects else 0.0

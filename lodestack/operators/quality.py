@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import grade
 
-WEIGHTS = {"integrity": 0.30, "metadata": 0.15, "spacing": 0.15, "noise": 0.15, "contrast": 0.15, "continuity": 0.10}
-REQUIRED_METADATA = ("patient_id", "age", "sex", "institution", "scanner", "voxel_spacing", "shape")
+WEIGHTS = {"continuity": 0.10, "contrast": 0.15, "integrity": 0.30, "metadata": 0.15, "noise": 0.15, "spacing": 0.15}
+REQUIRED_METADATA = ("age", "institution", "patient_id", "scanner", "sex", "shape", "voxel_spacing")
 EPS = 1e-8
 
 

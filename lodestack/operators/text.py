@@ -23,7 +23,7 @@ UNCERTAIN = ("can not be excluded", "cannot be excluded", "cannot exclude", "com
 TERMINATION = ("although", "aside from", "but", "except", "however", "otherwise", "though", "which", "yet")
 SEVERITY = {1: ("minimal", "tiny", "trace"), 2: ("mild", "slight", "small"), 3: ("moderate",), 4: ("extensive", "large", "marked", "severe", "substantial"), 5: ("massive",)}
 CUES = ("advise", "attention", "consider", "correlate", "follow up", "follow-up", "further evaluation", "recommend", "suggest")
-HEADERS = ("EXAMINATION", "INDICATION", "HISTORY", "TECHNIQUE", "COMPARISON", "FINDINGS", "IMPRESSION", "CONCLUSION", "NOTIFICATION", "WET READ")
+HEADERS = ("COMPARISON", "CONCLUSION", "EXAMINATION", "FINDINGS", "HISTORY", "IMPRESSION", "INDICATION", "NOTIFICATION", "TECHNIQUE", "WET READ")
 SCOPE, AFTER, GRADE_SCOPE = 45, 30, 40
 _A, _B = "\u0001", "\u0002"
 

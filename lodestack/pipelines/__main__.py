@@ -10,7 +10,7 @@ from ..session import build, ship
 from ..sinks import logs
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(args=None) -> int:
     p = argparse.ArgumentParser(prog="lodestack.pipelines")
     p.add_argument("pipeline", choices=("mri", "radiographs", "ct"))
     p.add_argument("--config", required=True)
@@ -18,7 +18,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--stage", default="all")
     p.add_argument("--cohort")
     p.add_argument("--version", default="v1.0.0")
-    a = p.parse_args(argv)
+    a = p.parse_args(args)
     from . import ct, mri, radiographs
 
     try:

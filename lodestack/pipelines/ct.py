@@ -55,7 +55,7 @@ def run(spark: SparkSession, cfg: Config, cohort_name: str = cohort.STRICT.name,
     chosen = cohort.members(s, spec)
     if not trail[-1]["n_after"]:
         return {"error": "the cohort is empty", "attrition": trail}
-    rep, dis = bias.audit(chosen, ("sex", "age_band", "institution", "scanner", "contrast"), ("quality_score", "tumour_volume_mm3"), ("institution", "sex", "scanner", "age_band"))
+    rep, dis = bias.audit(chosen, ("age_band", "contrast", "institution", "scanner", "sex"), ("quality_score", "tumour_volume_mm3"), ("age_band", "institution", "scanner", "sex"))
     audits = (bias.with_p_value(rep) if rep is not None else []) + (bias.with_p_value(dis) if dis is not None else [])
     inside = chosen.select("patient_id").distinct().withColumn("__in", F.lit(True))
     shift = [r.asDict() for r in cohort.shift(s.join(inside, "patient_id", "left").withColumn("__m", F.coalesce("__in", F.lit(False))), "__m", ("sex", "institution")).orderBy("attribute", "value").collect()]
@@ -71,6 +71,6 @@ def run(spark: SparkSession, cfg: Config, cohort_name: str = cohort.STRICT.name,
     except FileExistsError:  # the card then tells of the release that stands
         doc = releases.read(Path(cfg.paths.releases) / version / "manifest.json") | {"skipped": True}
     grades = [r.asDict() for r in quality.grade_counts(chosen, "quality_score").collect()]
-    text = card.build(cfg.name, version, spec.description or spec.name, doc["dataset_hash"], trail[-1]["n_after"], doc["n_subjects"], spec.to_dict(), trail, grades, audits, {k: len(v) for k, v in doc["splits"].items()}, shift)
+    text = card.build(cfg.name, version, spec.description or spec.name, doc["dataset_hash"], trail[-1]["n_after"], doc["n_subjects"], spec.to_dict(), trail, grades, audits, {k: len(v) for k, v in doc["splits"].items()}, shift=shift)
     card.write(text, f"{cfg.paths.outputs}/DATASET_CARD.md")
     return {"attrition": trail, "bias": audits, "shift": shift, "release": doc}

@@ -12,7 +12,7 @@ from ..operators import qc, split
 from ..sinks import releases, reports, volumes
 from ..sources import files, imaging, manifest
 
-STAGES = ("ingest", "qc", "preprocess", "split", "all")
+STAGES = tuple("ingest qc preprocess split all".split())
 
 
 def qc_config(cfg: Config) -> qc.QCConfig:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -13,17 +13,17 @@ from ..operators import fusion, qc, release, split, text
 from ..sinks import releases, reports
 from ..sources import dicom, files, manifest
 
-FINDINGS = ("pneumonia", "edema", "cardiomegaly", "pleural_effusion")
+FINDINGS = tuple("pneumonia edema cardiomegaly pleural_effusion".split())
 
 
-def run(spark: SparkSession, cfg: Config, views: Sequence[str] = ("PA", "AP"), version: str = "v1.0.0") -> dict:
+def run(spark: SparkSession, cfg: Config, views: Iterable[str] = ("PA", "AP"), version: str = "v1.0.0") -> dict:
     raw = cfg.paths.raw
     if not Path(raw).is_dir():
         raise FileNotFoundError(raw)
     cfg.paths.mkdirs()
     images = dicom.parse(files.scan(spark, raw, ("*.dcm",)), str(Path(raw).resolve()))
     images.write.mode("overwrite").parquet(f"{cfg.paths.interim}/headers.parquet")
-    images = fusion.filter_views(spark.read.parquet(f"{cfg.paths.interim}/headers.parquet"), "view_position", views)
+    images = fusion.filter_views(spark.read.parquet(f"{cfg.paths.interim}/headers.parquet"), "view_position", list(views))
     phi = qc.phi_summary(images).first().asDict()
     reports.write_phi(images, f"{cfg.paths.outputs}/PHI_AUDIT.csv", mode="overwrite")
     parsed = text.parse_reports(files.read_reports(spark, raw), "study_id", "text")

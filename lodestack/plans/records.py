@@ -56,7 +56,7 @@ def views_filter(t: Tables) -> DataFrame:
 
 @query("""
 SELECT doc_id, CASE WHEN m = '' THEN NULL ELSE lower(m) END AS modality FROM (
-  SELECT doc_id, regexp_extract(f, '(?i)_(t1ce|t1|t2|flair|seg)\\.nii(\\.gz)?$', 1) AS m FROM (
+  SELECT doc_id, regexp_extract(f, '(?i)_(flair|seg|t1ce|t1|t2)\\.nii(\\.gz)?$', 1) AS m FROM (
     SELECT doc_id, 'sub' || doc_id || CASE doc_id % 7 WHEN 0 THEN '_t1.nii' WHEN 1 THEN '_T1CE.nii.gz' WHEN 2 THEN '_t2.nii.gz' WHEN 3 THEN '_flair.NII' WHEN 4 THEN '_seg.nii.gz' WHEN 5 THEN '.nii' ELSE '_t1ce.txt' END AS f FROM documents))""")
 def parse_modality(t: Tables) -> DataFrame:
     ends = ("_t1.nii", "_T1CE.nii.gz", "_t2.nii.gz", "_flair.NII", "_seg.nii.gz", ".nii", "_t1ce.txt")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
+import datetime as dt
+import os
 from pathlib import Path
 
-SECTIONS = ("Purpose", "Provenance", "Cohort definition", "Attrition", "Quality control", "Bias and limitations", "Recommended uses", "NOT recommended", "Ethics", "Maintenance")
+SECTIONS = tuple("Purpose/Provenance/Cohort definition/Attrition/Quality control/Bias and limitations/Recommended uses/NOT recommended/Ethics/Maintenance".split("/"))
 ROWS = 25
 
 
@@ -22,7 +23,7 @@ def bullets(items: list[str], none: str = "- none found") -> str:
     return "\n".join(f"- {x}" for x in items) or none
 
 
-def build(dataset: str, version: str, description: str, dataset_hash: str, n_studies: int, n_subjects: int, cohort: dict, attrition: list[dict], grades: list[dict], bias: list[dict], splits: dict[str, int], shift: list[dict] | None = None, source: str = "", licence: str = "as the source data") -> str:
+def build(dataset: str, version: str, description: str, dataset_hash: str, n_studies: int, n_subjects: int, cohort: dict, attrition: list[dict], grades: list[dict], bias: list[dict], splits: dict[str, int], licence: str = "as the source data", source: str = "", shift: list[dict] | None = None) -> str:
     """All ten sections; ``bias`` rows have severity and message, ``grades`` rows grade, n and mean_score."""
     scored = sum(g["n"] for g in grades)
     mean = round(sum(g["n"] * g["mean_score"] for g in grades) / scored, 1) if scored else 0.0
@@ -38,12 +39,12 @@ def build(dataset: str, version: str, description: str, dataset_hash: str, n_stu
         "Ethics": "Identifiers are removed; linking rows to persons is not permitted.",
         "Maintenance": "Releases don't change; corrections come as new versions.\n\n" + table([{"split": k, "n_subjects": v} for k, v in splits.items()]),
     }
-    head = f"# {dataset} ({version})\n\n{datetime.now(UTC):%Y-%m-%d %H:%M UTC}: {n_studies} studies of {n_subjects} subjects.\n"
+    head = f"# {dataset} ({version})\n\n{dt.datetime.now(dt.UTC):%Y-%m-%d %H:%M UTC}: {n_studies} studies of {n_subjects} subjects.\n"
     return head + "".join(f"\n## {s}\n\n{body[s]}\n" for s in SECTIONS)
 
 
 def write(card: str, path: str | Path) -> Path:
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(card, "utf-8")
-    return path
+    at = Path(path)
+    os.makedirs(at.parent, exist_ok=True)
+    at.write_text(card, "utf-8")
+    return at

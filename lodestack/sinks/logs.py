@@ -23,7 +23,7 @@ class JsonFormatter(logging.Formatter):
 
 class HumanFormatter(logging.Formatter):
     def format(self, r: logging.LogRecord) -> str:
-        tail = " ".join(f"{k}={v}" for k, v in _extras(r).items())
+        tail = " ".join("=".join((k, str(v))) for k, v in _extras(r).items())
         return f"{self.formatTime(r)} {r.levelname:7} {r.name} {r.getMessage()}" + (f" [{tail}]" if tail else "") + (f"\n{self.formatException(r.exc_info)}" if r.exc_info else "")
 
 
@@ -31,8 +31,8 @@ class SafeExtra(logging.LoggerAdapter):
     """Extras named like a record's own field get an underscore at the end."""
 
     def process(self, msg, kwargs):
-        kwargs["extra"] = {k + "_" if k in _OWN else k: v for k, v in (kwargs.get("extra") or {}).items()}
-        return msg, kwargs
+        safe = {k + "_" if k in _OWN else k: v for k, v in (kwargs.get("extra") or {}).items()}
+        return msg, kwargs | {"extra": safe}
 
 
 def get_logger(name: str) -> SafeExtra:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import Config, dump
 from ..operators import release as R
 
-INDEX = ("dataset", "version", "created_at", "dataset_hash", "n_files", "n_subjects", "parent_version")
+INDEX = tuple("dataset version created_at dataset_hash n_files n_subjects parent_version".split())
 FILE = "array<struct<path:string,sha256:string,size_bytes:bigint,patient_id:string,modality:string>>"
 SCHEMA = (
     f"dataset string, version string, schema_version string, created_at string, dataset_hash string, n_files long, n_subjects long, total_bytes long, files {FILE}, splits map<string,array<string>>, class_balance map<string,bigint>, modality_counts map<string,bigint>, qc_summary map<string,string>, config_snapshot map<string,string>, lineage array<struct<stage:string,description:string,timestamp:string,inputs:array<string>,outputs:array<string>,params:map<string,string>>>, parent_version string, environment map<string,string>"
@@ -28,12 +28,12 @@ def node(stage: str, description: str, inputs: list[str] | None = None, outputs:
 
 def revision() -> str:
     try:
-        return subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, timeout=5, check=True).stdout.strip()
+        return subprocess.run(["git", "describe", "--always", "--abbrev=40"], text=True, check=True, timeout=5, capture_output=True).stdout.strip()
     except (OSError, subprocess.SubprocessError):
         return "unknown"
 
 
-def assemble(dataset: str, version: str, records: DataFrame, cfg: Config | None = None, splits: DataFrame | None = None, lineage: list[dict] | None = None, parent_version: str | None = None, qc_summary: dict | None = None) -> dict:
+def assemble(dataset: str, version: str, records: DataFrame, cfg: Config | None = None, splits: DataFrame | None = None, lineage: list[dict] | None = None, qc_summary: dict | None = None, parent_version: str | None = None) -> dict:
     """A release of manifest records. The list of its files is part of the document, so it comes to the driver."""
     entries = R.file_entries(records, "filepath", "sha256", "file_size_bytes", "patient_id", "modality")
     total = R.totals(records, "sha256", "file_size_bytes", "patient_id").crossJoin(R.dataset_hash(entries)).first()

@@ -23,9 +23,9 @@ def write_findings(findings: DataFrame, path: str, mode: str = "errorifexists")
 def html_table(rows: list[dict], severity: str | None = None) -> str:
     if not rows:
         return "<p>No findings.</p>"
-    head = "".join(f"<th>{escape(str(c))}</th>" for c in rows[0])
+    head = "".join("<th>" + escape(name) + "</th>" for name in map(str, rows[0]))
     body = "".join("<tr" + (f' class="{escape(str(r[severity]))}"' if severity else "") + ">" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r.values()) + "</tr>" for r in rows)
-    return f"<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
+    return "<table>" + f"<tr>{head}</tr>" + body + "</table>"
 
 
 def write_html(findings: DataFrame, records: DataFrame, path: str, name: str = "dataset", rows: int = ROWS_SHOWN) -> str:

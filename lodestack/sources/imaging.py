@@ -11,7 +11,7 @@ from ..functions.scalar import file_modality, voxel_volume
 from . import files, nifti
 from .manifest import conform
 
-MODALITIES = ("t1", "t1ce", "t2", "flair")
+MODALITIES = tuple("t1 t1ce t2 flair".split())
 
 
 def scan_mri(spark: SparkSession, root: str) -> DataFrame:

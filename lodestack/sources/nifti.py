@@ -125,11 +125,11 @@ def resample(data: np.ndarray, affine: np.ndarray, spacing: tuple[float, ...], t
             w = (at - lo).reshape([-1 if a == k else 1 for a in range(out.ndim)]).astype(np.float32)
             out = out.take(lo, k) * (1 - w) + out.take(np.minimum(lo + 1, n - 1), k) * w
     new = affine.copy()
-    new[:3, :3] = affine[:3, :3] @ np.diag(want / now)
+    new[:3, :3] *= want / now
     return (np.rint(out).astype(np.uint8) if labels else out), new
 
 
-def normalise(data: np.ndarray, method: str = "zscore", clip: tuple[float, float] = (0.5, 99.5)) -> np.ndarray:
+def normalise(data: np.ndarray, method: str = "zscore", clip=(0.5, 99.5)) -> np.ndarray:
     """Scale by statistics of the foreground (> 0) after clipping to its percentiles."""
     if method not in ("none", "zscore", "minmax"):
         raise ValueError(f"unknown method: {method!r}")

@@ -65,7 +65,7 @@ def mri_root(tmp_path_factory):
     root = tmp_path_factory.mktemp("mri")
     rng = np.random.default_rng(2)
     for i in range(8):
-        for m in ("t1", "t1ce", "t2", "flair"):
+        for m in imaging.MODALITIES:
             if (i, m) == (2, "flair"):
                 continue
             x, a = phantom(rng, codes="LAS" if i == 3 else "RAS")
@@ -75,14 +75,14 @@ def mri_root(tmp_path_factory):
         if i != 5:
             mask[5:9, 5:9, 5:9] = 4
         put(f"{root}/raw/sub{i}/sub{i}_seg.nii.gz", nifti.write(mask, np.eye(4)))
-    for m in ("t1", "t1ce", "t2", "flair"):
+    for m in imaging.MODALITIES:
         with open(f"{root}/raw/sub0/sub0_{m}.nii.gz", "rb") as f:
             put(f"{root}/raw/sub9/sub9_{m}.nii.gz", f.read())
     return str(root)
 
 
 def test_mri_pipeline(spark, mri_root):
-    cfg = make_config(mri_root, qc={"expected_modalities": ["t1", "t1ce", "t2", "flair"]})
+    cfg = make_config(mri_root, qc={"expected_modalities": list(imaging.MODALITIES)})
     out = mri.run(spark, cfg)
     found = {(r["patient_id"], r["check"], r["severity"]) for r in spark.read.parquet(f"{cfg.paths.interim}/findings.parquet").collect()}
     for want in (("sub1", "corrupt_volume", "ERROR"), ("sub2", "missing_modalities", "ERROR"), ("sub3", "orientation", "WARN"), ("sub4", "empty_volume", "ERROR"), ("sub5", "empty_mask", "ERROR"), ("sub9", "duplicate_content", "ERROR"), ("sub9", "missing_mask", "WARN"), ("sub0", "duplicate_content", "INFO")):
@@ -100,7 +100,7 @@ def test_mri_pipeline(spark, mri_root):
     assert mri.run(spark, cfg, "ingest") == {"n_records": 8 * 4 - 1 + 4}
     assert os.path.exists(f"{cfg.paths.outputs}/QC_REPORT.html")
     t = imaging.channel_table(manifest.read(spark, f"{cfg.paths.interim}/manifest_processed.parquet"), "train")
-    assert t.columns == ["patient_id", "t1", "t1ce", "t2", "flair", "mask_path"]
+    assert t.columns == ["patient_id", *imaging.MODALITIES, "mask_path"]
     with pytest.raises(FileNotFoundError):
         mri.run(spark, make_config(mri_root + "/none"))
     assert releases.read_table(spark, f"{cfg.paths.releases}/v1.0.0/manifest.json").first()["dataset_hash"] == doc["dataset_hash"]
