@@ -18,7 +18,7 @@ VOCABULARIES = {"piece": f"{DEFAULT_DIR}/piece_bpe_32k.model", "multi": f"{DEFAU
 #: Interquartile ranges that a band extends beyond the quartiles, past the outer fence of a box plot (3).
 SPREAD = 4.0
 #: Least half-width that spread adds, by measure, so that a group of equal documents doesn't reject its neighbours.
-FLOOR = {"chars_per_token": 0.25, "fallback_share": 0.01, "entropy": 0.02}
+FLOOR = {"chars_per_token": 0.25, "fallback_share": 0.05, "entropy": 0.02}
 #: Documents of fewer tokens have no stable measures and are kept.
 MIN_TOKENS = 32
 #: Groups of fewer rated documents have no band, and their documents are kept.
