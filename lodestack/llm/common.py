@@ -30,14 +30,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_made: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder, which outlives lost executors."""
+    """Cut the lineage with a Parquet table in the shared folder, which outlives lost executors.
+
+    Frames that an operator returns may still read it; ``sweep`` deletes all of them when their results are stored.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestack-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that this process has materialized; how many there were."""
+    jvm, n = spark.sparkContext._jvm, len(_made)
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 #: Estimates above this are checked against the number of rows, at ROW_BYTES each.
 TRUSTED_BYTES = 1 << 40
 ROW_BYTES = 16 << 10

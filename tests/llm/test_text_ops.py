@@ -259,3 +259,17 @@ def test_filters_hold_planted_cases(spark, sf_dir):
     pairs = {(a, b) for a, b, _ in J.jaccard_pairs(frame(spark, rows)).collect()}
     assert all((min(r["doc_id"], 10_000 + r["doc_id"]), 10_000 + r["doc_id"]) in pairs for r in docs)
     assert not any(a >= 20_000 for a, _ in pairs)
+
+
+def test_materialized_tables_are_swept(spark):
+    import os
+
+    C.sweep(spark)
+    d = C.materialize(spark.range(5))
+    path = d.inputFiles()[0].removeprefix("file://")
+    assert d.count() == 5 and os.path.exists(path)
+    assert C.sweep(spark) == 1 and not os.path.exists(path) and C.sweep(spark) == 0
+
+
+def test_plan_bytes_of_plans_without_statistics(spark):
+    assert C.plan_bytes(spark.createDataFrame([(1,)], "a int").union(spark.range(2).selectExpr("cast(id as int)"))) <= 3 * C.ROW_BYTES
