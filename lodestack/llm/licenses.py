@@ -33,6 +33,14 @@ def _engine(rules: tuple[Rule, ...]):
     return a, by_word, [re.compile(r.pattern, re.IGNORECASE) for r in rules]
 
 
+def _plain(text: str) -> str:
+    """The text as keywords are written: lower case, one blank for each run of white space, which is that of \\s.
+
+    Expressions that ignore case also take dotted and dotless i and long s for the letters.
+    """
+    return " ".join(text.lower().split()).replace("i\u0307", "i").replace("\u0131", "i").replace("\u017f", "s")
+
+
 def resolve(found: Iterable[tuple[int, int, int]], rules: tuple[Rule, ...]) -> list[tuple[int, int, int]]:
     """Suppress contained detections of (rule, start, end); sorted by place."""
     kept: list[tuple[int, int, int]] = []
@@ -48,7 +56,7 @@ def scan(text: str | None, rules: tuple[Rule, ...] = tuple(RULES), prefilter: bo
         return []
     automaton, by_word, compiled = _engine(rules)
     if prefilter:
-        hits = {w for _, w in automaton.iter(text.lower())}
+        hits = {w for _, w in automaton.iter(_plain(text))}
         todo = sorted(i for w in hits for i in by_word[w])
     else:
         todo = range(len(rules))

@@ -206,6 +206,50 @@ def test_rules_and_prefilter():
     assert {"MIT", "Apache-2.0"} <= got[15] and got[16] == {"MIT"}
 
 
+def matching(pattern, rng):
+    """A random text that the expression matches, white space and case as the expression allows."""
+
+    def one(kind, x):
+        kind = str(kind)
+        if kind == "LITERAL":
+            c = chr(x)
+            return str(rng.choice([c, c, c.upper(), *{"i": "İı", "s": "ſ", "k": "\u212a"}.get(c.lower(), "")]))
+        if kind == "IN":
+            return one(*x[int(rng.integers(0, len(x)))]) if str(x[0][0]) != "NEGATE" else "x"
+        if kind == "CATEGORY":
+            return {"SPACE": str(rng.choice([" ", "\n", "\r\n", "  ", "\t", "\u00a0", "\n  "])), "DIGIT": str(rng.integers(0, 10))}.get(str(x).split("_", 1)[1], "x")
+        if kind == "RANGE":
+            return chr(int(rng.integers(x[0], x[1] + 1)))
+        if kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            return "".join(every(x[2]) for _ in range(int(rng.integers(x[0], min(int(x[1]), x[0] + 2) + 1))))
+        if kind == "BRANCH":
+            return every(x[1][int(rng.integers(0, len(x[1])))])
+        if kind == "SUBPATTERN":
+            return every(x[3])
+        return {"ANY": " ", "AT": "", "ASSERT_NOT": ""}[kind]
+
+    def every(p):
+        return "".join(one(k, x) for k, x in p)
+
+    parsed = re._parser.parse(pattern, re.IGNORECASE)
+    texts = (every(parsed) for _ in range(1000))
+    return next(t for t in texts if re.fullmatch(pattern, t, re.IGNORECASE))
+
+
+def test_prefilter_over_white_space():
+    """Keywords broken over lines, or with several blanks, open their rules, as running all expressions finds."""
+    t = "This file is distributed\nunder the GNU General\nPublic   License, version 3"
+    assert [RULES[r].license for r, _, _ in licenses.scan(t)] == ["GPL-3.0"] == [RULES[r].license for r, _, _ in licenses.scan(t, prefilter=False)]
+    assert licenses.scan(" \n ") == []
+    rng = np.random.default_rng(9)
+    for r in RULES:
+        if r.license != "Copyright":
+            for broken in ("\n", "  ", None):
+                t = matching(r.pattern, rng)
+                t = t if broken is None else re.sub(r"\s+", broken, t)
+                assert licenses.scan(t) == licenses.scan(t, prefilter=False), (r, t)
+
+
 def test_suppression_against_brute_force():
     rng = np.random.default_rng(4)
     rules = tuple(RULES)
