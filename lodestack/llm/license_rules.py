@@ -1,6 +1,7 @@
 """Ordered signature rules for licence notices, written by hand.
 
-Names: licence id, expression for its name, keyword that every match of the name contains in lower case.
+Names: licence id, expression for its name, keyword that every match of the name contains in lower case, or several of
+which it contains one.
 Urls: licence id, expression for the address, keyword. Clauses: licence id, expression for wording of the licence text
 or its notices, keyword. Tags come from the ids. Expressions ignore case; a blank stands for any white space.
 """
@@ -17,7 +18,7 @@ class Rule(NamedTuple):
     kind: str
     priority: int
     pattern: str
-    keyword: str
+    keywords: tuple[str, ...]
 
 
 V = r"(?:,? ?\(?(?:version|v\.?|ver\.?) ?|[- ]v?)"
@@ -251,8 +252,8 @@ CLAUSES = [
     ("Proprietary", r"\bunauthori[sz]ed (?:copying|reproduction|distribution)\b.{0,60}?\bprohibited\b", "prohibited"),
     ("Proprietary", r"\bmay not be (?:copied|reproduced|redistributed)\b.{0,80}?\bpermission\b", "may not be"),
     ("Non-Commercial", r"\bfor (?:non-?commercial|personal)(?: and non-?commercial)? use only\b", "use only"),
-    ("Copyright", r"(?:\bcopyright(?: \(c\)| ©)?|©|\(c\)) ?(?:19|20)\d\d(?:[-–, ]+(?:19|20)?\d\d)*", "copyright"),
-    ("Copyright", r"(?:©|\(c\)) ?(?:19|20)\d\d(?:[-–, ]+(?:19|20)?\d\d)* \w+", "(c)"),
+    ("Copyright", r"(?:\bcopyright(?: \(c\)| ©)?|©|\(c\)) ?(?:19|20)\d\d(?:[-–, ]+(?:19|20)?\d\d)*", ("copyright", "©", "(c)")),
+    ("Copyright", r"(?:©|\(c\)) ?(?:19|20)\d\d(?:[-–, ]+(?:19|20)?\d\d)* \w+", ("©", "(c)")),
 ]
 
 #: A licence named in a sentence that grants it.
@@ -266,18 +267,22 @@ def _blank(p: str) -> str:
     return p.replace(" ?", r"\s?").replace(" ", r"\s+")
 
 
+def _keys(k: str | tuple[str, ...]) -> tuple[str, ...]:
+    return (k,) if isinstance(k, str) else k
+
+
 def build_rules() -> list[Rule]:
     """All rules; kinds from tag (most reliable) to title. Later rules of a kind give way to earlier ones."""
     out = []
     for i, x in enumerate(sorted({n for n, _, _ in NAMES} | {u for u, _, _ in URLS})):
-        out.append(Rule(f"tag-{i:03}", x, "tag", 100, _blank(r"SPDX-License-Identifier: ?\(?" + re.escape(x).replace(r"\-", "-") + r"(?:-only|-or-later|\+)?(?![\w.-]*\w)"), "spdx-license-identifier"))
-    out += [Rule(f"clause-{i:03}", n, "clause", 90, _blank(p), k) for i, (n, p, k) in enumerate(CLAUSES)]
-    out += [Rule(f"grant-{i:03}", n, "grant", 80, _blank(GRANT + p), k) for i, (n, p, k) in enumerate(NAMES)]
-    out += [Rule(f"url-{i:03}", n, "url", 70, _blank(r"(?:https?://)?(?:www\.)?" + p), k) for i, (n, p, k) in enumerate(URLS)]
+        out.append(Rule(f"tag-{i:03}", x, "tag", 100, _blank(r"SPDX-License-Identifier: ?\(?" + re.escape(x).replace(r"\-", "-") + r"(?:-only|-or-later|\+)?(?![\w.-]*\w)"), ("spdx-license-identifier",)))
+    out += [Rule(f"clause-{i:03}", n, "clause", 90, _blank(p), _keys(k)) for i, (n, p, k) in enumerate(CLAUSES)]
+    out += [Rule(f"grant-{i:03}", n, "grant", 80, _blank(GRANT + p), _keys(k)) for i, (n, p, k) in enumerate(NAMES)]
+    out += [Rule(f"url-{i:03}", n, "url", 70, _blank(r"(?:https?://)?(?:www\.)?" + p), _keys(k)) for i, (n, p, k) in enumerate(URLS)]
     for lang, lead in (("de", GERMAN), ("fr", FRENCH), ("es", SPANISH)):
         for i, (n, p, k) in enumerate((("Apache-2.0", r"apache(?:-lizenz)?,? ?(?:version )?2\.0", "apache"), ("MIT", r"MIT(?:-lizenz)?\b", "mit"), ("GPL-3.0", r"(?:gnu )?GPL ?v?3", "gpl"), ("GPL-2.0", r"(?:gnu )?GPL ?v?2", "gpl"), ("BSD", r"BSD(?:-lizenz)?\b", "bsd"), ("CC", r"creative commons", "creative commons"))):
-            out.append(Rule(f"{lang}-{i:03}", n, "grant", 80, _blank(lead + p), k))
-    out += [Rule(f"title-{i:03}", n, "title", 60, _blank(p), k) for i, (n, p, k) in enumerate(NAMES)]
+            out.append(Rule(f"{lang}-{i:03}", n, "grant", 80, _blank(lead + p), _keys(k)))
+    out += [Rule(f"title-{i:03}", n, "title", 60, _blank(p), _keys(k)) for i, (n, p, k) in enumerate(NAMES)]
     return out
 
 

@@ -1,6 +1,6 @@
 """Licence scan: ordered signature rules behind a keyword prefilter.
 
-One Aho-Corasick pass over a text finds which rules' keywords occur; only their expressions run. Of the detections,
+One Aho-Corasick pass over a text finds which rules have a keyword in it; only their expressions run. Of the detections,
 taken by priority, then length, then place, then rule order, one that lies within a detection already kept is
 suppressed.
 """
@@ -25,7 +25,8 @@ FIELDS = ["doc_id", "rule_id", "license", "kind", "priority", "start", "end", "m
 def _engine(rules: tuple[Rule, ...]):
     by_word: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
-        by_word.setdefault(r.keyword, []).append(i)
+        for w in r.keywords:
+            by_word.setdefault(w, []).append(i)
     a = ahocorasick.Automaton()
     for w in by_word:
         a.add_word(w, w)
@@ -57,7 +58,7 @@ def scan(text: str | None, rules: tuple[Rule, ...] = tuple(RULES), prefilter: bo
     automaton, by_word, compiled = _engine(rules)
     if prefilter:
         hits = {w for _, w in automaton.iter(_plain(text))}
-        todo = sorted(i for w in hits for i in by_word[w])
+        todo = sorted({i for w in hits for i in by_word[w]})
     else:
         todo = range(len(rules))
     found = [(i, m.start(), m.end()) for i in todo for m in compiled[i].finditer(text) if m.end() > m.start()]

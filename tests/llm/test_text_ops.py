@@ -250,6 +250,15 @@ def test_prefilter_over_white_space():
                 assert licenses.scan(t) == licenses.scan(t, prefilter=False), (r, t)
 
 
+def test_matches_contain_keywords():
+    for t in ("© 2021 Acme", "(c) 2020", "(C) 2020-2023 Acme", "©1999", "Copyright 2020"):
+        assert licenses.scan(t) == licenses.scan(t, prefilter=False) != [], t
+    rng = np.random.default_rng(10)
+    for r in RULES:
+        for t in (matching(r.pattern, rng) for _ in range(6)):
+            assert any(w in licenses._plain(t) for w in r.keywords), (r, t)
+
+
 def test_suppression_against_brute_force():
     rng = np.random.default_rng(4)
     rules = tuple(RULES)
