@@ -1,7 +1,9 @@
 """Tokeniser fertility rules: characters per token, byte-fallback share and token entropy under public vocabularies.
 
 Bands come from the corpus itself: for each language and octave of length (in tokens), quartiles of each measure
-over all documents, widened by ``spread`` interquartile ranges. A document outside a band is rejected.
+over all documents, widened by ``spread`` interquartile ranges. A document outside a band is rejected. A group too small
+for quartiles takes the bands of wider groups: neighbouring octaves of its language, the whole language, and for entropy,
+which hangs least on the language, all documents of its octave.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ SPREAD = 4.0
 FLOOR = {"chars_per_token": 0.25, "fallback_share": 0.05, "entropy": 0.02}
 #: Documents of fewer tokens have no stable measures and are kept.
 MIN_TOKENS = 32
-#: Groups of fewer rated documents have no band, and their documents are kept.
+#: Groups of fewer rated documents have no band of their own and take that of the first wider group that has one.
 MIN_GROUP = 30
+#: Octaves to each side that a small group is widened by, in this order, before the whole language is taken.
+WIDER = (1, 2)
 MEASURES = ("chars_per_token", "fallback_share", "entropy")
 
 
@@ -78,24 +82,41 @@ def _measures(docs: DataFrame, vocabs: dict[str, str], id_col: str, text_col: st
 
 
 def bands(measured: DataFrame, vocabs: dict[str, str] = VOCABULARIES, spread: float = SPREAD, min_tokens: int = MIN_TOKENS, min_group: int = MIN_GROUP) -> DataFrame:
-    """(lang, octave, lo_<measure>_<v>, hi_<measure>_<v>): one row a language and octave, few whatever the corpus."""
+    """(lang, octave, lo_<measure>_<v>, hi_<measure>_<v>): one row a language and octave, few whatever the corpus.
+
+    Bands come from the first of these groups that has ``min_group`` rated documents: the language and octave, with the
+    octaves beside it (WIDER), the whole language, all languages at that octave. The last bounds entropy only: what is
+    usual in characters a token and fallback hangs on a language's script. Without any, bounds are null.
+    """
     first = next(iter(vocabs))
     rated = measured.where(F.col(f"n_tokens_{first}") >= min_tokens)
-    q = rated.groupBy("lang", "octave").agg(F.count("*").alias("rated"), *(F.percentile_approx(f"{m}_{v}", [0.25, 0.75], 1000).alias(f"{m}_{v}") for v, m in _names(vocabs)))
-    out = q.where(F.col("rated") >= min_group)
+    key = lambda level, lang, octave: F.struct(F.lit(level).alias("level"), lang.alias("lang"), octave.cast("int").alias("octave"))
+    lang, octave = F.col("lang"), F.col("octave")
+    keys = [key(0, lang, octave), *(key(i, lang, octave + k) for i, w in enumerate(WIDER, 1) for k in range(-w, w + 1))]
+    whole, corpus = len(WIDER) + 1, len(WIDER) + 2
+    keys += [key(whole, lang, F.lit(-1)), key(corpus, F.lit(""), octave)]
+    q = rated.withColumn("k", F.explode(F.array(*keys))).groupBy("k").agg(F.count("*").alias("rated"), *(F.percentile_approx(f"{m}_{v}", [0.25, 0.75], 1000).alias(f"{m}_{v}") for v, m in _names(vocabs)))
+    out = []
     for v, m in _names(vocabs):
         lo, hi = F.col(f"{m}_{v}")[0], F.col(f"{m}_{v}")[1]
         wide = F.greatest(F.lit(spread) * (hi - lo), F.lit(FLOOR[m]))
-        out = out.withColumns({f"lo_{m}_{v}": lo - wide, f"hi_{m}_{v}": hi + wide})
-    return out.select("lang", "octave", *(f"{e}_{m}_{v}" for v, m in _names(vocabs) for e in ("lo", "hi")))
+        some = (F.col("k.level") < corpus) | F.lit(m == "entropy")
+        out += [F.when(some, lo - wide).alias(f"lo_{m}_{v}"), F.when(some, hi + wide).alias(f"hi_{m}_{v}")]
+    q = C.materialize(q.select("k", "rated", F.struct(*out).alias("band")))
+    own = q.where("k.level = 0").select("k.lang", "k.octave")
+    for i in range(corpus + 1):
+        at = key(i, F.lit("") if i == corpus else lang, F.lit(-1) if i == whole else octave)
+        b = q.where((F.col("k.level") == i) & (F.col("rated") >= min_group)).select(F.col("k").alias(f"k{i}"), F.col("band").alias(f"b{i}"))
+        own = own.withColumn("at", at).join(b, F.col("at") == F.col(f"k{i}"), "left").drop("at", f"k{i}")
+    return own.select("lang", "octave", F.coalesce(*(F.col(f"b{i}") for i in range(corpus + 1))).alias("b")).select("lang", "octave", "b.*")
 
 
 def fertility_report(docs: DataFrame, *, vocabs: dict[str, str] = VOCABULARIES, spread: float = SPREAD, min_tokens: int = MIN_TOKENS, min_group: int = MIN_GROUP, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Measures and verdict of every row: doc_id, lang, octave, measures by vocabulary, accepted, reasons.
 
     A null or empty text has no tokens, measures 0, 0 and 1, and is accepted, as are texts of fewer than
-    ``min_tokens`` tokens and groups of fewer than ``min_group`` documents; a null language is the group "und". Texts
-    are used whole; repeated rows and null ids are rated each. Other columns are ignored whatever their names. An
+    ``min_tokens`` tokens, and those for which no group of ``bands`` has ``min_group`` documents; a null language is the
+    group "und". Texts are used whole; repeated rows and null ids are rated each. Other columns are ignored whatever their names. An
     empty table gives an empty result.
     """
     measured = C.materialize(_measures(docs, vocabs, id_col, text_col, lang_col))
@@ -114,8 +135,9 @@ def filter_fertility(docs: DataFrame, *, vocabs: dict[str, str] = VOCABULARIES,
     One pass gathers the bands, which are few; a second measures again and filters, so that no text is shuffled.
     """
     rows = bands(_measures(docs, vocabs, id_col, text_col, lang_col), vocabs, spread, min_tokens, min_group).collect()
-    limits = {(r["lang"], r["octave"]): [r[f"{e}_{m}_{v}"] for v, m in _names(vocabs) for e in ("lo", "hi")] for r in rows}
     none = [e for _ in _names(vocabs) for e in (-np.inf, np.inf)]
+    cols = [f"{e}_{m}_{v}" for v, m in _names(vocabs) for e in ("lo", "hi")]
+    limits = {(r["lang"], r["octave"]): [e if r[c] is None else r[c] for c, e in zip(cols, none)] for r in rows}
     names = docs.columns
     text_at, lang_at = names.index(text_col), names.index(lang_col)
 

@@ -193,6 +193,20 @@ def test_fertility_bands(spark):
     assert fertility.fertility_report(d.limit(0)).count() == fertility.filter_fertility(d.limit(0)).count() == 0
 
 
+def test_small_groups_take_wider_bands(spark):
+    """Junk of a length or language of few documents is rejected, and what is like the rest there is kept."""
+    rng = np.random.default_rng(3)
+    words = "time year people way day man thing woman life child world school state family student group country problem hand part place case week company".split()
+    one = lambda n: " ".join(rng.choice(words, n))
+    junk = "!?#$%&*@" * 2000
+    rows = [(i, one(66 + i), "en") for i in range(50)] + [(100 + i, one(135), "en") for i in range(3)] + [(200 + i, one(90), "xx") for i in range(3)]
+    rows += [(300, "time " * 180, "en"), (301, junk, "en"), (302, "time " * 90, "xx")]
+    d = spark.createDataFrame([(i, t, lang, "", len(t), 1, 1) for i, t, lang in rows], DOCS)
+    got = {r["doc_id"]: r["accepted"] for r in fertility.fertility_report(d).collect()}
+    assert [i for i, a in got.items() if not a and i < 300] == [] and not any(got[i] for i in (300, 301, 302))
+    assert sorted(r["doc_id"] for r in fertility.filter_fertility(d).collect()) == sorted(i for i, a in got.items() if a)
+
+
 def test_rules_and_prefilter():
     assert len(RULES) >= 300 and len({r.rule_id for r in RULES}) == len(RULES)
     texts = [
