@@ -1,7 +1,7 @@
 """Quality classifier: a linear SVM over n-gram indicators scaled by naive Bayes log-count ratios.
 
 Tokens are runs of letters and digits or of other visible characters, case kept; features are distinct hashed tokens
-and pairs of neighbouring tokens. The log-count ratio r of a feature compares, over all labelled documents, the
+and pairs of neighbouring tokens, and one for each of REPEATED that the share of repeated tokens reaches. The log-count ratio r of a feature compares, over all labelled documents, the
 smoothed shares of good and bad documents that contain it. Documents become r at their features, scaled to unit
 length (after DAMPING is added to the squared length, so that a short text of a few telling features isn't judged as
 surely as a long one); the hinge loss is minimised by dual coordinate descent over a bounded, seeded sample of labelled documents.
@@ -35,6 +35,12 @@ _CLASS[C.WORD == 1] = 1
 ROWS_AT_ONCE = 1_000
 
 
+#: Shares of tokens that equal the one before or the one before that; a text of REPEATS such tokens has a feature for each
+#: share it reaches, whatever the token, so that a word repeated over and over is evidence in itself.
+REPEATED = np.arange(1, 9) / 10
+REPEATS = 8
+
+
 def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature numbers of each row, end to end, and each row's count."""
     out, counts = [], np.zeros(len(texts), np.int64)
@@ -44,11 +50,17 @@ def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
         h = C.run_hashes(buf, starts, ends)
         one = (C.mix(h) >> shift).astype(np.int32)
         two = (C.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) >> shift).astype(np.int32) if len(h) > 1 else one[:0]
+        again = np.zeros(len(h), bool)
+        for lag in (1, 2):
+            again[lag:] |= (h[lag:] == h[:-lag]) & (row[lag:] == row[:-lag])
+        same = np.concatenate(([0], np.cumsum(again)))
+        marks = (C.mix(np.arange(1, len(REPEATED) + 1, dtype=np.uint64)) >> shift).astype(np.int32)
         bounds = np.searchsorted(row, np.arange(len(off)))
         for i in range(len(off) - 1):
             a, b = bounds[i], bounds[i + 1]
             if b > a:
-                f = np.concatenate((one[a:b], two[a : b - 1]))
+                k = same[b] - same[a]
+                f = np.concatenate((one[a:b], two[a : b - 1], marks[REPEATED <= k / (b - a)] if k >= REPEATS else marks[:0]))
                 f.sort()
                 f = f[np.concatenate(([True], f[1:] != f[:-1]))]
                 out.append(f)

@@ -134,6 +134,18 @@ def test_nbsvm_held_out(spark, sf_dir):
     assert sum(not r["accepted"] for r in bad) / len(bad) >= 0.65
 
 
+def test_nbsvm_held_out_repeated_words(spark, sf_dir):
+    at = sf_dir.replace("0.001", "0.1")
+    docs, lab = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    model = nbsvm.train(docs, lab.where("doc_id % 2 = 0"))
+    held = docs.join(lab.where("doc_id % 2 = 1 and quality = 0"), "doc_id").select("text").toPandas()["text"]
+    words = [t.split() for t in held]
+    repeated = [t for t, w in zip(held, words) if sum(a == b for a, b in zip(w, w[1:])) > 0.3 * len(w)]
+    assert len(repeated) >= 50 and (model.score(pa.array(repeated)) < 0).mean() >= 0.95
+    a, b = (set(nbsvm.features(pa.array([w * 300]))[0].tolist()) for w in ("Er ", "Ob. "))
+    assert len(a & b) == len(nbsvm.REPEATED)
+
+
 def test_nbsvm_edges(spark):
     rows = [(1, "fine words here and there"), (2, "junk!! junk!! junk!!"), (3, None), (4, ""), (None, "fine words"), (5, "fine good words"), (6, "junk!! more!!"), (5, "fine good words"), (7, LONG)]
     d = frame(spark, rows)
