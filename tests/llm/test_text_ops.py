@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -299,6 +300,25 @@ def test_suppression_against_brute_force():
                 assert any(rules[k[0]].priority >= rules[f[0]].priority for k in inside)
 
 
+def plain_resolve(found, rules):
+    kept = []
+    for r, s, e in sorted(set(found), key=lambda x: (-rules[x[0]].priority, x[1] - x[2], x[1], x[0])):
+        if not any(a <= s and e <= b for _, a, b in kept):
+            kept.append((r, s, e))
+    return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
+
+
+def test_suppression_of_many_detections():
+    rng = np.random.default_rng(5)
+    rules = tuple(RULES)
+    for n, wide in ((0, 9), (1, 9), (300, 40), (300, 4000)):
+        found = [(int(rng.integers(0, len(rules))), s := int(rng.integers(0, wide)), s + int(rng.integers(1, 30))) for _ in range(n)]
+        assert licenses.resolve(found, rules) == plain_resolve(found, rules)
+    many = [(k % len(rules), 40 * k, 40 * k + 30 + k % 7) for k in range(50_000)]
+    began = time.perf_counter()
+    assert len(licenses.resolve(many, rules)) == 50_000 and time.perf_counter() - began < 3
+
+
 def test_license_detections(spark):
     rows = [(1, "Released under the MIT License."), (None, "Released under the MIT License."), (2, None), (3, ""), (1, "Released under the MIT License."), (4, "x " * 50_000 + "Licensed under CC BY-NC 4.0.")]
     got = licenses.license_detections(frame(spark, rows)).collect()
