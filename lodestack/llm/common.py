@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Largest row count of a two-column key table that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
@@ -22,9 +23,15 @@ _INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The cluster's shared folder from ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one on a single machine, as in tests; on a cluster the executors would each write
+    to their own disk, so it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="lodestack-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -54,18 +61,15 @@ def sweep(spark: SparkSession) -> int:
     return n
 
 
-#: Estimates above this are checked against the number of rows, at ROW_BYTES each.
-TRUSTED_BYTES = 1 << 40
-ROW_BYTES = 16 << 10
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; it sizes partitions and never changes a result.
-
-    Plans without statistics, and joins, can be estimated far too large; those are counted.
-    """
-    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return n if n <= TRUSTED_BYTES else min(n, max(1, df.count()) * ROW_BYTES)
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows of a table and the bytes of its values, both counted: what sizes of partitions and buckets follow."""
+    size = F.lit(0).cast("long")
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        text = c if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(c)) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) else None
+        size = size + (F.lit(8) if text is None else F.coalesce(F.octet_length(text), F.lit(0)) + 4)
+    r = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return r[0], r[1]
 
 
 def maybe_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"[\"'>]")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
@@ -44,60 +45,116 @@ class Page:
         self.tag, self.parent, self.attr, self.seg = ["#root"], [-1], [""], []
 
 
+def _tag_end(text: str, at: int, heed: bool) -> tuple[int, bool]:
+    """Where the tag that is open at ``at`` has its ">" (-1 if nowhere), quotes heeded; and whether quotes still are.
+
+    If the quotes of a tag leave it open to the end of the page, they are stray: the tag ends with the first ">", and
+    quotes aren't heeded any more, so that no second tag is followed to the end.
+    """
+    i = at
+    while heed:
+        m = _STOP.search(text, i)
+        if not m:
+            heed = False
+        elif m[0] == ">":
+            return m.start(), True
+        else:
+            i = text.find(m[0], m.end()) + 1
+            heed = i > 0
+    return text.find(">", at), False
+
+
+class _Open:
+    """Open elements from the root down, with the places of each tag and of the blocks among them."""
+
+    def __init__(self, tags: list[str]):
+        self.tags, self.stack, self.blocks = tags, [0], []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, e: int) -> None:
+        t = self.tags[e]
+        self.at.setdefault(t, []).append(len(self.stack))
+        if t in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(e)
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, k: int) -> None:
+        """Close the element at place k and all within it."""
+        while len(self.stack) > k:
+            t = self.tags[self.stack.pop()]
+            self.at[t].pop()
+            if t in _BLOCK:
+                self.blocks.pop()
+
+
 def parse(text: str | None) -> Page:
-    """A tolerant parse: unclosed and stray tags are mended, comments and scripts skipped; never fails."""
+    """A tolerant parse: unclosed and stray tags are mended, comments and scripts skipped; never fails.
+
+    One pass over the page, whose time is linear in its length however broken it is.
+    """
     p = Page()
     if not text:
         return p
-    stack, at, n = [0], 0, len(text)
+    at, n, heed, tags = 0, len(text), True, p.tag
+    open_ = _Open(tags)
+    no_end = False  # whether there is no ">" ahead
 
     def put(s: str) -> None:
         if s and not s.isspace():
-            p.seg.append((stack[-1], html.unescape(s)))
+            p.seg.append((open_.stack[-1], html.unescape(s)))
 
+    start = 0  # of the text not yet put
     while at < n:
-        m = _TOKEN.search(text, at)
-        if not m:
-            put(text[at:])
+        lt = text.find("<", at)
+        if lt < 0:
             break
-        put(text[at : m.start()])
-        at = m.end()
-        if m.group(1) is not None:
-            put(m.group(1))
-        name = m.group(3)
-        if not name:
+        if text.startswith("<!--", lt) or text.startswith("<![CDATA[", lt):
+            mark, inner = ("-->", lt + 4) if text[lt + 2] == "-" else ("]]>", lt + 9)
+            put(text[start:lt])
+            end = text.find(mark, inner)
+            if mark == "]]>":
+                put(text[inner : end if end >= 0 else n])
+            start = at = end + 3 if end >= 0 else n
+            continue
+        m = _NAME.match(text, lt + 1)
+        if no_end or not m and text[lt + 1 : lt + 2] not in ("!", "?"):
+            at = lt + 1
             continue
-        name = name.lower()
-        if m.group(2):
-            for k in range(len(stack) - 1, 0, -1):
-                if p.tag[stack[k]] == name:
-                    del stack[k:]
-                    break
+        if m:
+            end, heed = _tag_end(text, m.end(), heed)
+        else:
+            end = text.find(">", lt)
+        if end < 0:
+            no_end, at = True, lt + 1
+            continue
+        put(text[start:lt])
+        start = at = end + 1
+        if not m:
+            continue
+        name = m[2].lower()
+        if m[1]:
+            if open_.at.get(name):
+                open_.close(open_.at[name][-1])
             continue
         if name in _CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                t = p.tag[stack[k]]
-                if t in _CLOSES[name]:
-                    del stack[k:]
-                    break
-                if t in _SCOPE[name]:
-                    break
-        elif name in _BLOCK:
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                t = p.tag[stack[k]]
-                if t == "p":
-                    del stack[k:]
-                    break
-                if t in _BLOCK:
-                    break
-        p.tag.append(name)
-        p.parent.append(stack[-1])
-        p.attr.append(m.group(4) if "=" in m.group(4) else "")
+            k = open_.last(_CLOSES[name])
+            if k > open_.last(_SCOPE[name]):
+                open_.close(k)
+        elif name in _BLOCK and open_.blocks and tags[open_.stack[open_.blocks[-1]]] == "p":
+            open_.close(open_.blocks[-1])  # a block ends an open paragraph
+        attr = text[m.end() : end]
+        tags.append(name)
+        p.parent.append(open_.stack[-1])
+        p.attr.append(attr if "=" in attr else "")
         if name in _RAW_END:
-            end = _RAW_END[name].search(text, at)
-            at = end.end() if end else n
-        elif name not in _VOID and not m.group(4).rstrip().endswith("/"):
-            stack.append(len(p.tag) - 1)
+            raw = _RAW_END[name].search(text, at)
+            start = at = raw.end() if raw else n
+        elif name not in _VOID and not attr.rstrip().endswith("/"):
+            open_.push(len(tags) - 1)
+    put(text[start:])
     return p
 
 
@@ -129,7 +186,7 @@ class Forest:
             np.add.at(stops, self.seg, np.fromiter((t.count(".") + t.count(",") + t.count("!") + t.count("?") for t in texts), np.float64, len(texts)))
         link = np.where(np.fromiter((t == "a" for t in self.tags), bool, n), own, 0.0)
         under, linked, punct = own.copy(), link.copy(), stops.copy()
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(int(self.depth.max()) + 1 if n else 0)]
+        self.levels = np.split(np.argsort(self.depth, kind="stable"), np.cumsum(np.bincount(self.depth))[:-1]) if n else []
         for lv in self.levels[:0:-1]:
             par = self.parent[lv]
             np.add.at(under, par, under[lv])
@@ -166,10 +223,11 @@ class Forest:
         return x
 
 
-def sum_product(f: Forest, score: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sum_product(f: Forest, score: np.ndarray, pair: np.ndarray, edges: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of content, and edge marginals (edge, parent's label, child's label) of the non-root elements.
 
-    ``score`` is each element's log potential of content against none; ``pair`` is (kind, parent, child).
+    ``score`` is each element's log potential of content against none; ``pair`` is (kind, parent, child). Without
+    ``edges`` their marginals, which training needs, are left at 0.
     """
     n = len(score)
     up = np.zeros((n, 2))
@@ -182,7 +240,7 @@ def sum_product(f: Forest, score: np.ndarray, pair: np.ndarray) -> tuple[np.ndar
         msg[lv] = m
         np.add.at(up, f.parent[lv], m)
     down = np.zeros((n, 2))
-    joint = np.zeros((n, 2, 2))
+    joint = np.zeros((n if edges else 0, 2, 2))
     for lv in f.levels[1:]:
         par = f.parent[lv]
         above = up[par] + down[par] - msg[lv]
@@ -190,6 +248,8 @@ def sum_product(f: Forest, score: np.ndarray, pair: np.ndarray) -> tuple[np.ndar
         d = np.logaddexp(t[:, 0], t[:, 1])
         d -= d.max(1, keepdims=True)
         down[lv] = d
+        if not edges:
+            continue
         j = t + up[lv][:, None, :]
         j = np.exp(j - j.max((1, 2), keepdims=True))
         joint[lv] = j / j.sum((1, 2), keepdims=True)
@@ -211,7 +271,7 @@ class Model:
         self.w, self.pair = w, pair
 
     def marginals(self, f: Forest) -> np.ndarray:
-        return sum_product(f, f.x @ self.w, self.pair)[0]
+        return sum_product(f, f.x @ self.w, self.pair, False)[0]
 
 
 def train(pages: list[Page], labels: list[np.ndarray] | None = None, steps: int = 150, rate: float = 0.3, l2: float = 1e-3) -> Model:
@@ -239,23 +299,24 @@ def train(pages: list[Page], labels: list[np.ndarray] | None = None, steps: int
 
 def content(f: Forest, mu: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
     """(text, elements, content elements with text, mean marginal of the text's characters) of each page."""
-    out, at = [], 0
+    out = []
     for k, p in enumerate(f.pages):
         base = f.base[k]
         parts, last, got, weight, total = [], None, set(), 0.0, 0
+        block = []  # of each element the innermost block around it
+        for e, t in enumerate(p.tag):
+            block.append(e if not e or t in _BLOCK else block[p.parent[e]])
         for e, t in p.seg:
             q = mu[base + e]
             if q >= threshold:
-                b = e
-                while b > 0 and p.tag[b] not in _BLOCK:
-                    b = p.parent[b]
+                b = block[e]
                 parts.append(("" if b == last or last is None else "\n") + (t if b == last else t.lstrip()))
                 last = b
                 got.add(e)
                 weight += q * len(t)
                 total += len(t)
-            at += 1
-        text = re.sub(r"[ \t\r\f\v]*\n\s*", "\n", "".join(parts)).strip()
+        lines = (x.lstrip() for x in "".join(parts).split("\n"))
+        text = "\n".join(x.rstrip(" \t\r\f\v") for x in lines if x).strip()
         out.append((text, len(p.tag) - 1, len(got), weight / total if total else 0.0))
     return out
 
@@ -283,7 +344,8 @@ def extract_content(pages: DataFrame, model: Model, *, threshold: float = THRESH
 
     text joins, in document order, the text of elements whose marginal reaches the threshold, one line a block;
     n_content counts those elements and confidence is the mean marginal of the text's characters (6 places). A null or
-    empty page has empty text, no elements and confidence 0. Pages are used whole, however long or broken; null ids and
+    empty page has empty text, no elements and confidence 0. Pages are used whole, however long or broken, in time linear
+    in their length: see ``parse``. Equal marginals need no order, as elements don't compete. Null ids and
     repeated rows are kept each. Other columns are ignored whatever their names; an empty table gives an empty result.
     """
     kind = pages.schema[id_col].dataType.simpleString()

@@ -563,8 +563,8 @@ def render_conversations(conversations: DataFrame, buckets: int | None = None) -
     """(media_id, media): a motion-JPEG file of every conversation, for tests and for tables without media."""
     from . import common as C
 
-    n = buckets or C.parts(C.plan_bytes(conversations), 2 << 20)
     c = conversations.select("conv_id", "turn", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    n = buckets or C.parts(C.measured(c)[1], 4 << 20)
     c = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")).select(F.col("conv_id").alias("media_id"), F.col("t.text").alias("turns"))
 
     def run(batches):

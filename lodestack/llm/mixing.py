@@ -2,21 +2,26 @@
 
 Each source's documents are cut into blocks. With target weight w, its i-th block (from 1) is released at slot
 floor((i - 1) / w) and due at slot ceil(i / w); earliest deadline first among the released blocks fills one slot after
-another, and since the weights sum to 1 every deadline is met, so after any number of slots each source is less than
-one block from its target. When a source has no block left, a new phase starts with the weights of the others scaled
-to 1: every document is used exactly once, and within each phase the deviation stays below one block.
-
-Only the numbers of blocks enter the schedule, which one task writes as a stream. Documents are numbered within a
-source by seeded hash buckets and prefix sums of the buckets' counts, so that a hot source spreads over many tasks.
+another (of equal deadlines the source of the smaller name), and since the weights sum to 1 every deadline is met, so
+after any number of slots each source is less than one block from its target. When a source has no block left, a new
+phase starts with the weights of the others scaled to 1: every document is used exactly once, and within each phase the
+deviation stays below one block.
+
+Weights are integers, so the schedule of a phase repeats after as many slots as they sum to, with as many blocks of each
+source as its weight. Only one such period of each phase is computed, on the driver, whatever the size of the corpus; the
+slot of any block follows from its place in the period by division. Documents are numbered within a source by seeded hash
+buckets and prefix sums of the buckets' counts, so that a hot source spreads over many tasks.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,50 +51,77 @@ def pfair_phase(weights: list[int]) -> Iterator[int]:
         slot += 1
 
 
-def schedule(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """(slot, phase, source, block of the source) until every block is used once.
+class Phase(NamedTuple):
+    """A phase of the schedule: its first slot, the slots and blocks of a period, and of each live source the number of
+    its first block, the number after its last, its weight and the slots of its blocks in the period."""
 
-    Sources of weight 0 come after all others, in equal shares.
-    """
-    used, slot, phase = [0] * len(blocks), 0, 0
+    start: int
+    total: int
+    first: dict[int, int]
+    end: dict[int, int]
+    weight: dict[int, int]
+    at: dict[int, np.ndarray]
+
+
+def phases(blocks: list[int], weights: list[int]) -> Iterator[Phase]:
+    """The phases until every block is used once. Sources of weight 0 come after all others, in equal shares."""
+    used, start = [0] * len(blocks), 0
     while any(u < b for u, b in zip(used, blocks)):
         live = [s for s, b in enumerate(blocks) if used[s] < b and weights[s]] or [s for s, b in enumerate(blocks) if used[s] < b]
-        for k in pfair_phase([weights[s] or 1 for s in live]):
-            s = live[k]
-            yield slot, phase, s, used[s]
-            slot += 1
-            used[s] += 1
-            if used[s] == blocks[s]:
-                break
-        phase += 1
-
-
-def _numbered(docs: DataFrame, id_col: str, source_col: str, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(docs with __s, __b, __h; rows and first number of each (__s, __b))."""
-    src = F.col(source_col).cast("string")
-    d = docs.withColumn("__s", F.when(src.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), src))).withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
-    buckets = C.parts(docs.count(), ROWS_A_BUCKET)
-    # ranges of the hash, so that the order by bucket and hash is the order by hash
-    d = d.withColumn("__b", F.floor(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)))
-    sizes = d.groupBy("__s", "__b").agg(F.count("*").alias("__n"))
-    first = F.sum("__n").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    return d, C.materialize(sizes.withColumn("__first", F.coalesce(first, F.lit(0))))
-
+        w = [weights[s] or 1 for s in live]
+        w = [x // math.gcd(*w) for x in w]
+        total = sum(w)
+        most = min(total, sum(blocks[s] - used[s] for s in live))  # no phase is longer
+        picks = np.fromiter(pfair_phase(w), np.int32, most)
+        at = [np.flatnonzero(picks == k) for k in range(len(live))]
+        # the phase ends with the slot in which the first source runs out
+        last = []
+        for k, s in enumerate(live):
+            q, r = divmod(blocks[s] - used[s] - 1, w[k])
+            if r < len(at[k]):
+                last.append(q * total + int(at[k][r]))
+        end = min(last)
+        q, r = divmod(end + 1, total)
+        took = [q * w[k] + int(np.searchsorted(at[k], r)) for k in range(len(live))]
+        yield Phase(start, total, {s: used[s] for s in live}, {s: used[s] + n for s, n in zip(live, took)}, dict(zip(live, w)), dict(zip(live, at)))
+        for s, n in zip(live, took):
+            used[s] += n
+        start += end + 1
 
-def mix_sources(docs: DataFrame, *, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_docs: int = BLOCK_DOCS, seed: int = 23, id_col: str = "doc_id", source_col: str = "source", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Each document's place in the mix: slot, phase, block of its source and place in the block.
 
-    Returns the columns ``keep`` (by default the id and the source), then slot, phase, block and place; the mix is the
-    order by (slot, place). Sources are values of ``source_col``, null being one of its own. Targets are ``weights``,
-    by source, where a source that isn't named comes after all others, else documents ** temperature. The last block
-    of a source may be short. Every row comes out once, with null ids and repeated rows; input columns that have one
-    of the new names are replaced. An empty table gives an empty result.
-    """
-    new = ("slot", "phase", "block", "place")
-    cols = [c for c in (keep or (id_col, source_col)) if c not in new]
-    need = [F.col(f"`{c}`") for c in dict.fromkeys([*cols, id_col, source_col])]
-    d, sizes = _numbered(docs.select(*need), id_col, source_col, seed)
-    total = {r["__s"]: r["n"] for r in sizes.groupBy("__s").agg(F.sum("__n").alias("n")).collect()}  # one row a source
+def schedule(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(slot, phase, source, block of the source) of every block."""
+    out = []
+    for k, p in enumerate(phases(blocks, weights)):
+        for s, first in p.first.items():
+            for i in range(p.end[s] - first):
+                q, r = divmod(i, p.weight[s])
+                out.append((p.start + q * p.total + int(p.at[s][r]), k, s, first + i))
+    return iter(sorted(out))
+
+
+def _columns(docs: DataFrame, names: tuple[str, ...]) -> list[Column]:
+    """Of each column what a hash can be taken of."""
+    kinds = {f.name: f.dataType for f in docs.schema}
+    return [F.to_json(F.struct(f"`{c}`")) if isinstance(kinds[c], (T.MapType, T.VariantType)) else F.col(f"`{c}`") for c in names]
+
+
+def _placed(docs: DataFrame, weights, temperature: float, block_docs: int, seed: int, id_col: str, source_col: str, keep: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """((row: struct of the columns ``keep``, slot, phase, block, place), number of slots)."""
+    src = F.col(f"`{source_col}`").cast("string")
+    named = F.when(src.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), src))
+    own_id = F.col(f"`{id_col}`")
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(own_id.cast("string"), F.lit(""))))
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.struct(F.lit(0).alias("none"))
+    tie = F.xxhash64(*_columns(docs, tuple(dict.fromkeys([*keep, id_col, source_col]))))
+    buckets = C.parts(docs.count(), ROWS_A_BUCKET)
+    # ranges of the hash, so that the order by bucket and hash is the order by hash
+    bucket = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / (1 << 32))
+    keys = docs.select(named.alias("s"), hashed.alias("h")).select("s", bucket.alias("b"))
+    sizes = keys.groupBy("s", "b").agg(F.count("*").alias("n"))
+    first = F.sum("n").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = C.materialize(sizes.withColumn("first", F.coalesce(first, F.lit(0))))
+    total = {r["s"]: r["n"] for r in sizes.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # one row a source
     names = sorted(total)
     if weights is None:
         share = [total[s] ** temperature for s in names]
@@ -97,51 +129,62 @@ def mix_sources(docs: DataFrame, *, weights: dict[str | None, float] | None = No
         share = [float(weights.get(None if s == "0" else s[1:], 0)) for s in names]
     ints = [max(1, round(w / sum(share) * _SCALE)) if w > 0 else 0 for w in share]
     blocks = [-(-total[s] // block_docs) for s in names]
-
-    def write(batches):
-        for _ in batches:
-            pass
-        rows: list[tuple[int, int, int, int]] = []
-        for row in schedule(blocks, ints):
-            rows.append(row)
-            if len(rows) == 50_000:
-                yield _slots(rows, names)
-                rows = []
-        yield _slots(rows, names)
-
-    plan = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(write, "__s string, block long, slot long, phase int")
+    d = docs.select(named.alias("s"), hashed.alias("h"), own_id.alias("id"), tie.alias("tie"), row.alias("row")).withColumn("b", bucket)
     # a window over (source, bucket) numbers the rows; rows of one id follow their content, so that a task that is run
     # again numbers them alike
-    order = Window.partitionBy("__s", "__b").orderBy("__h", id_col, F.xxhash64(*(F.to_json(F.struct(f"`{f.name}`")) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`") for f in docs.select(*need).schema)))
-    d = d.withColumn("__i", F.row_number().over(order) - 1)
-    n_slots = sum(blocks)
-    small = F.broadcast(sizes) if len(names) * C.parts(sum(total.values()), ROWS_A_BUCKET) <= C.BROADCAST_ROWS else sizes
-    at = d.join(small.select("__s", "__b", "__first"), ["__s", "__b"]).withColumn("__i", F.col("__i") + F.col("__first"))
-    at = at.withColumn("block", F.floor(F.col("__i") / block_docs)).withColumn("place", F.pmod("__i", F.lit(block_docs)).cast("int"))
-    at = at.join(F.broadcast(plan) if n_slots <= C.BROADCAST_ROWS else plan, ["__s", "block"])
-    return at.select(*(F.col(f"`{c}`") for c in cols), "slot", "phase", F.col("block").cast("long").alias("block"), "place")
+    d = d.withColumn("i", F.row_number().over(Window.partitionBy("s", "b").orderBy("h", "id", "tie")) - 1)
+    small = sizes.select("s", "b", "first")
+    d = d.join(F.broadcast(small) if len(names) * buckets <= C.BROADCAST_ROWS else small, ["s", "b"]).withColumn("i", F.col("i") + F.col("first"))
+    d = d.select("s", "row", F.floor(F.col("i") / block_docs).cast("long").alias("block"), F.pmod("i", F.lit(block_docs)).cast("int").alias("place"))
+    return _slots(d, list(phases(blocks, ints)), names).select("row", "slot", "phase", "block", "place"), sum(blocks)
+
+
+#: Periods of this many slots in all are broadcast, as arrays of 4 bytes a slot; larger ones are joined by place.
+BROADCAST_SLOTS = 16_000_000
+
+
+def _slots(d: DataFrame, plan: list[Phase], names: list[str], broadcast_slots: int = BROADCAST_SLOTS) -> DataFrame:
+    """Slot and phase of each row by its source and block."""
+    spark = d.sparkSession
+    rows = [(names[s], k, p.start, p.total, p.first[s], p.end[s], p.weight[s], p.at[s][: p.end[s] - p.first[s]].astype(np.int32).tolist()) for k, p in enumerate(plan) for s in p.first if p.end[s] > p.first[s]]
+    table = spark.createDataFrame(rows, "s string, phase int, start long, total long, lo long, hi long, w long, at array<int>")
+    if sum(len(r[-1]) for r in rows) <= broadcast_slots:
+        table = F.broadcast(table)
+        here = F.get("at", F.pmod(F.col("block") - F.col("lo"), F.col("w")).cast("int"))
+        d = d.join(table, (d["s"] == table["s"]) & (d["block"] >= table["lo"]) & (d["block"] < table["hi"]))
+    else:
+        spans = F.broadcast(table.drop("at").withColumnRenamed("s", "s2"))
+        d = d.join(spans, (d["s"] == F.col("s2")) & (d["block"] >= F.col("lo")) & (d["block"] < F.col("hi"))).withColumn("r", F.pmod(F.col("block") - F.col("lo"), F.col("w")).cast("int"))
+        d = d.join(table.select("s", "phase", F.posexplode("at").alias("r", "here")), ["s", "phase", "r"])
+        here = F.col("here")
+    return d.withColumn("slot", F.col("start") + F.expr("(block - lo) div w") * F.col("total") + here)
 
 
-def _slots(rows, names):
-    return pa.record_batch([pa.array([names[r[2]] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())], names=["__s", "block", "slot", "phase"])
+def mix_sources(docs: DataFrame, *, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_docs: int = BLOCK_DOCS, seed: int = 23, id_col: str = "doc_id", source_col: str = "source", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Each document's place in the mix: slot, phase, block of its source and place in the block.
+
+    Returns the columns ``keep`` (by default the id and the source), then slot, phase, block and place; the mix is the
+    order by (slot, place). Sources are values of ``source_col``, null being one of its own. Targets are ``weights``,
+    by source, where a source that isn't named comes after all others, else documents ** temperature. Equal deadlines
+    go to the source of the smaller name, null first. The last block of a source may be short. Every row comes out
+    once, with null ids and repeated rows; texts of any length only pass through. Input columns that have one of the
+    new names are replaced; all other names are free. An empty table gives an empty result.
+    """
+    cols = tuple(c for c in (keep or (id_col, source_col)) if c not in ("slot", "phase", "block", "place"))
+    d, _ = _placed(docs, weights, temperature, block_docs, seed, id_col, source_col, cols)
+    return d.select(*(F.col(f"row.`{c}`") for c in cols), "slot", "phase", "block", "place")
 
 
-def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_docs: int = BLOCK_DOCS, seed: int = 23, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The documents themselves in the order of the mix: rows of a partition, and partitions, follow one another.
 
-    Columns and rows are those of ``docs``; a column named like one of the new ones isn't supported by the order and
-    is kept through a rename. Edge cases are those of ``mix_sources``.
+    Columns and rows are those of ``docs``, whatever the names of the columns. Edge cases are those of ``mix_sources``.
     """
-    hide = {c: f"__own_{c}" for c in ("slot", "phase", "block", "place") if c in docs.columns}
-    d = docs.withColumnsRenamed(hide)
-    m = mix_sources(d, keep=tuple(d.columns), **kw)
-    n = C.parts(C.plan_bytes(docs), 16 << 20)
-    top = m.sparkSession.range(1).select(F.lit(max(1, docs.count())).alias("__top"))
-    m = m.join(F.broadcast(top))
+    m, n_slots = _placed(docs, weights, temperature, block_docs, seed, id_col, source_col, tuple(docs.columns))
+    n = C.parts(C.measured(docs)[1], 24 << 20)
     # slots are dense and blocks nearly equal, so equal ranges of slots need no sampling pass
-    part = F.least(F.lit(n - 1), F.floor(F.col("slot") * kw.get("block_docs", BLOCK_DOCS) * n / F.col("__top"))).cast("int")
-    m = m.repartitionById(n, part).sortWithinPartitions("slot", "place")
-    return m.select(*(F.col(f"`{c}`") for c in d.columns)).withColumnsRenamed({v: k for k, v in hide.items()})
+    part = F.least(F.lit(n - 1), F.floor(F.col("slot") * n / max(1, n_slots))).cast("int")
+    return m.repartitionById(n, part).sortWithinPartitions("slot", "place").select("row.*")
 
 
 #: mix_sources with its default parameters over documents; the schedule is a recursion over slots.

@@ -284,7 +284,7 @@ def _join(docs: DataFrame, n: int, t: float, id_col: str, text_col: str, spannin
     """(copies: doc_id, rep of equal sets; pairs of reps: a < b, jaccard)."""
     if not 0 < t <= 1 or n < 1:
         raise ValueError("threshold must be in (0, 1] and n at least 1")
-    size = C.plan_bytes(docs)
+    size = C.measured(docs.select(F.col(text_col).cast("string").alias("text")))[1]
     buckets = C.parts(size, TOKENS_A_BUCKET * 4)
     doc_buckets = C.parts(size, DOCS_A_BUCKET * 2000)
     d = _one_row_an_id(docs, id_col, text_col)

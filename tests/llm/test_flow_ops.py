@@ -64,12 +64,34 @@ def test_training_gradient():
     "html,texts",
     [
         ("<p>a<p>b<ul><li>c<li>d</ul>", ["a", "b", "c", "d"]), ("<!-- <p>no</p> --><b>x</b>", ["x"]), ("<script>var a='<p>';</script>y", ["y"]), ("a &amp; b", ["a & b"]), ("<p>open", ["open"]), ("</p></div>z", ["z"]), ("", []), (None, []), ("<", ["<"]), ("<p a='>'>q</p>", ["q"]), ("<script>never closed", []), ("<br/>t<img src=x>u", ["t", "u"]),
+        ("<a b='c>d", ["d"]), ("<a b=\">x</a><i c='>'>y", ["x", "'>y"]), ("a<b", ["a<b"]), ("<td>a<table><span><td>b</td>c", ["a", "b", "c"]), ("<!-- open", []), ("<![CDATA[<p>]]>", ["<p>"]), ("</b></b>z", ["z"]), ("<?php a?>b", ["b"]), ("1 < 2 > 3", ["1 < 2 > 3"]),
     ],
 )
 def test_parser(html, texts):
     assert [t for _, t in H.parse(html).seg] == texts
 
 
+BROKEN = {"never ended": "<a " * 350_000, "stray ends": "<i>" * 150_000 + "</b>" * 150_000, "nested": "<span>" * 170_000, "stray quotes": '<a " ' * 200_000 + ">", "quotes across": '<a ">" ' * 140_001, "cells": "<td><table>" + "<span>" * 70_000 + "<td></td>" * 60_000, "blanks": " " * 1_000_000, "comments": "<!-- " * 200_000, "pairs": "<a " + "''" * 400_000 + '" >', "paragraphs": "<p>" * 300_000}
+
+
+@pytest.mark.parametrize("kind", BROKEN)
+def test_parsing_is_linear(kind):
+    import time
+
+    began = time.perf_counter()
+    H.parse(BROKEN[kind])
+    assert time.perf_counter() - began < 8  # quadratic time would be hours
+
+
+def test_deep_page_is_extracted():
+    m = H.train([H.parse("<nav><a>x</a></nav><article><p>long text here, indeed.</p></article>")] * 3)
+    f = H.Forest([H.parse("<span>t " * 20_000), H.parse("<p>a  \n  b<p>" + " \n" * 300_000 + "c")])
+    mu = m.marginals(f)
+    (text, n, _, _), (short, _, _, _) = H.content(f, mu, 0.0)
+    assert n == 20_000 and text.count("t") == 20_000 and short == "a\nb\nc"
+    np.testing.assert_allclose(mu, H.sum_product(f, f.x @ m.w, m.pair)[0])
+
+
 def test_extraction_held_out(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet")
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").collect()}
@@ -170,6 +192,60 @@ def test_schedule_uses_every_block_once():
     assert list(mixing.schedule([], [])) == []
 
 
+def plain_schedule(blocks, weights):
+    """Slot after slot, without periods."""
+    used, slot, phase = [0] * len(blocks), 0, 0
+    while any(u < b for u, b in zip(used, blocks)):
+        live = [s for s, b in enumerate(blocks) if used[s] < b and weights[s]] or [s for s, b in enumerate(blocks) if used[s] < b]
+        for k in mixing.pfair_phase([weights[s] or 1 for s in live]):
+            s = live[k]
+            yield slot, phase, s, used[s]
+            slot, used[s] = slot + 1, used[s] + 1
+            if used[s] == blocks[s]:
+                break
+        phase += 1
+
+
+def test_periods_give_the_plain_schedule():
+    rng = np.random.default_rng(8)
+    cases = [([], []), ([0], [1]), ([3], [0]), ([5, 5], [1, 1]), ([100, 3, 40], [2, 1, 1]), ([200, 200, 200], [7, 2, 3]), ([40, 50, 60], [600_000, 300_000, 100_000]), ([4, 5, 6], [0, 0, 0])]
+    cases += [(rng.integers(0, 90, k).tolist(), rng.integers(0, 12, k).tolist()) for k in (2, 3, 5, 8) for _ in range(10)]
+    for blocks, weights in cases:
+        assert list(mixing.schedule(blocks, weights)) == list(plain_schedule(blocks, weights)), (blocks, weights)
+
+
+def test_long_phases_cost_one_period():
+    big = [10**9, 3 * 10**9, 10**7]
+    plan = list(mixing.phases(big, [300_000, 600_000, 100_000]))
+    assert sum(len(a) for p in plan for a in p.at.values()) <= 3 * 1_000_000 and {s: e for p in plan for s, e in p.end.items()} == dict(enumerate(big))
+
+
+@pytest.mark.parametrize("limit", [0, mixing.BROADCAST_SLOTS])
+def test_slots_by_either_join(spark, limit):
+    blocks, weights = [70, 20, 31], [5, 2, 1]
+    rows = [("abc"[s], b) for s, n in enumerate(blocks) for b in range(n)]
+    d = mixing._slots(spark.createDataFrame(rows, "s string, block long"), list(mixing.phases(blocks, weights)), list("abc"), limit)
+    assert sorted((r["slot"], r["phase"], "abc".index(r["s"]), r["block"]) for r in d.collect()) == list(plain_schedule(blocks, weights))
+
+
+NAMES = ["__h", "__b", "__s", "__i", "h1", "b", "row", "s", "i", "id", "tie", "c0", "k", "place", "slot", "a.b"]
+
+
+def clashing(spark, n=60):
+    rows = [(i % 50, f"s{i % 3}", "text", *(f"{c}{i}" for c in NAMES)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "doc_id long, source string, text string, " + ", ".join(f"`{c}` string" for c in NAMES))
+
+
+def test_columns_that_clash_with_inner_names(spark):
+    rows, d = clashing(spark)
+    mixed = mixing.mixed_documents(d, block_docs=4)
+    assert mixed.columns == d.columns and sorted(map(tuple, mixed.collect())) == sorted(rows)
+    kept = mixing.mix_sources(d, block_docs=4, keep=("__h", "s", "place", "a.b"))
+    assert kept.columns == ["__h", "s", "a.b", "slot", "phase", "block", "place"] and sorted(r[:3] for r in map(tuple, kept.collect())) == sorted((r[3], r[10], r[-1]) for r in rows)
+    shuffled = sharding.external_shuffle(d, buckets=4)
+    assert shuffled.columns == [*d.columns, "shard", "position"] and sorted(tuple(r)[:-2] for r in shuffled.collect()) == sorted(rows)
+
+
 def test_mix(spark):
     d = frame(spark, 200, 4)
     d = d.unionByName(spark.createDataFrame([(None, "x", None, 1, 1), (3, "x", None, 1, 1), (3, "x", "s0", 1, 1)], DOCS))
@@ -208,6 +284,58 @@ def test_shuffle(spark):
     assert sharding.external_shuffle(d).columns == ["doc_id", "text", "source", "slot", "shard", "position"]
 
 
+def key_order(rows):
+    return [tuple(r) for r in sorted(rows, key=lambda r: (r["shard"], r["position"]))]
+
+
+def test_repeated_records_scatter_uniformly(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.range(10_000).select(F.lit(1).alias("a"), F.lit("same").alias("t")).unionByName(spark.range(3_000).select(F.col("id").cast("int").alias("a"), F.lit("own").alias("t")))
+    got = sharding.external_shuffle(d, buckets=16).collect()
+    for t, n in (("same", 10_000), ("own", 3_000)):
+        c = np.bincount([r["shard"] for r in got if r["t"] == t], minlength=16)
+        assert c.sum() == n and ((c - n / 16) ** 2 / (n / 16)).sum() < 45  # chi-square, 15 degrees
+    at = np.array([r["position"] for r in sorted(got, key=lambda r: (r["shard"], r["position"])) if r["t"] == "own" and r["shard"] == 0])
+    assert abs(at.mean() / np.bincount([r["shard"] for r in got])[0] - 0.5) < 0.1  # mixed among the equal ones
+
+
+def plain_shuffle(rows, seed, buckets, hashes):
+    """Bucket by bucket in plain Python, from the hashes of (record, number among its equals)."""
+    out = {}
+    for r, (h1, h2, k, b) in zip(rows, hashes):
+        out.setdefault(b, []).append((h1, h2, k, r))
+    return [(*x[3], b, i) for b in sorted(out) for i, x in enumerate([sorted(out[b])[j] for j in sharding.fisher_yates(len(out[b]), seed, b)])]
+
+
+def test_shuffle_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rows = sorted([(i, f"t{i}") for i in range(40)] + [(5, "t5")] * 6 + [(7, "t7")])
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    h = spark.createDataFrame([(*r, rows[:i].count(r)) for i, r in enumerate(rows)], "doc_id long, text string, k long").withColumns({"h1": F.xxhash64(F.lit(3), "doc_id", "text"), "h2": F.xxhash64(F.lit(~3), "doc_id", "text")})
+    h = h.withColumn("b", F.pmod(F.xxhash64(F.lit(3), "h1", "h2", "k"), F.lit(5)).cast("int")).select("h1", "h2", "k", "b", "doc_id", "text").collect()
+    want = plain_shuffle([tuple(r)[4:] for r in h], 3, 5, [tuple(r)[:4] for r in h])
+    assert key_order(sharding.external_shuffle(d, seed=3, buckets=5).collect()) == want
+
+
+def test_shards_do_not_hang_on_the_layout(spark, tmp_path, monkeypatch):
+    d = frame(spark, 300).unionByName(frame(spark, 40)).unionByName(spark.createDataFrame([(9, "long " * 100_000, None, 0, 0), (9, "long " * 100_000, None, 0, 0), (10, "", "", 0, 0)], DOCS))
+    d.coalesce(1).write.parquet(f"{tmp_path}/one")
+    d.orderBy("text").repartition(7).write.parquet(f"{tmp_path}/seven")
+    a, b = (key_order(sharding.external_shuffle(spark.read.parquet(f"{tmp_path}/{x}"), bucket_bytes=1 << 17).collect()) for x in ("one", "seven"))
+    assert a == b and len(a) == 343 and len({r[-2] for r in a}) > 3
+    monkeypatch.setattr(sharding.C, "BROADCAST_ROWS", 0)  # too many repeated records to look up
+    monkeypatch.setattr(sharding, "COPIES", 2)
+    assert key_order(sharding.external_shuffle(spark.read.parquet(f"{tmp_path}/one"), bucket_bytes=1 << 17).collect()) == a
+
+
+def test_shuffle_of_maps_and_zeros(spark):
+    d = spark.sql("SELECT map('a', id) AS m, if(id % 2 = 0, 0.0D, -0.0D) AS z, array(id % 2) AS l FROM range(4)")
+    got = sharding.external_shuffle(d.unionAll(d), buckets=2).collect()
+    assert sorted(str((r["m"], r["z"], r["l"])) for r in got) == sorted(str((r["m"], r["z"], r["l"])) for r in d.unionAll(d).collect())
+
+
 def test_write_shards(spark, tmp_path):
     sharding.write_shards(frame(spark, 40), f"{tmp_path}/out", buckets=4)
     back = spark.read.parquet(f"{tmp_path}/out")

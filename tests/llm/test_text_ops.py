@@ -370,5 +370,7 @@ def test_materialized_tables_are_swept(spark):
     assert C.sweep(spark) == 1 and not os.path.exists(path) and C.sweep(spark) == 0
 
 
-def test_plan_bytes_of_plans_without_statistics(spark):
-    assert C.plan_bytes(spark.createDataFrame([(1,)], "a int").union(spark.range(2).selectExpr("cast(id as int)"))) <= 3 * C.ROW_BYTES
+def test_measured_bytes(spark):
+    d = spark.createDataFrame([("abc", 1, ["x"]), (None, 2, None), ("ñ", None, [])], "`a.b` string, n long, l array<string>")
+    assert C.measured(d)[0] == 3 and C.measured(d.select("`a.b`", "n")) == (3, 3 + 2 + 3 * 12) and C.measured(d.limit(0)) == (0, 0)
+    assert C.measured(d.repartition(3)) == C.measured(d)
