@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPLITS = ("train", "val", "test")
 TRAIN, VAL, SEED = 0.7, 0.15, 42
@@ -61,9 +62,24 @@ def tertile_strata(df: DataFrame, subject: str, value: str) -> DataFrame:
     return m.crossJoin(F.broadcast(e)).select(subject, s.alias("stratum"))
 
 
-def split_stratified(df: DataFrame, subject: str, value: str, train: float = TRAIN, val: float = VAL, seed: int = SEED) -> DataFrame:
+def category_strata(df: DataFrame, subject: str, value: str, order: str | None = None) -> DataFrame:
+    """(subject, stratum): the subject's first value as text, by ``order`` and then by itself; "all" without one.
+
+    Empty texts, zeros and false count as no value.
+    """
+    v = F.when(~F.col(value).cast("string").isin("", "0", "0.0", "-0.0", "false"), F.col(value).cast("string"))
+    first = F.min(F.when(v.isNotNull(), F.struct(*([F.col(order).alias("o")] if order else []), v.alias("v"))))["v"]
+    return df.groupBy(subject).agg(first.alias("__v")).select(subject, F.coalesce("__v", F.lit("all")).alias("stratum"))
+
+
+def strata(df: DataFrame, subject: str, value: str, order: str | None = None) -> DataFrame:
+    """Tertiles of a number, and any other column as it is: (subject, stratum)."""
+    return tertile_strata(df, subject, value) if isinstance(df.schema[value].dataType, T.NumericType) else category_strata(df, subject, value, order)
+
+
+def split_stratified(df: DataFrame, subject: str, value: str, train: float = TRAIN, val: float = VAL, seed: int = SEED, order: str | None = None) -> DataFrame:
     """(subject, stratum, split), each stratum cut by itself."""
-    d = _positioned(tertile_strata(df, subject, value), subject, F.col("stratum"), seed)
+    d = _positioned(strata(df, subject, value, order), subject, F.col("stratum"), seed)
     return d.select(subject, "stratum", _cut(d, allocate_stratified(F.col("__n"), train, val)).alias("split"))
 
 

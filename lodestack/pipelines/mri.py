@@ -71,7 +71,7 @@ def run(spark: SparkSession, cfg: Config, stage: str = "all", version: str = "v1
     if stage == "preprocess":
         return {"summary": summary, "n_processed": good.count()}
     s = cfg.split
-    splits = split.split_stratified(good, "patient_id", s.stratify_by, s.train, s.val, s.seed) if s.stratify_by else split.split_grouped(good, "patient_id", s.train, s.val, s.seed)
+    splits = split.split_stratified(good, "patient_id", s.stratify_by, s.train, s.val, s.seed, order="filepath") if s.stratify_by else split.split_grouped(good, "patient_id", s.train, s.val, s.seed)
     splits.write.mode("overwrite").parquet(f"{cfg.paths.interim}/splits.parquet")
     splits = spark.read.parquet(f"{cfg.paths.interim}/splits.parquet").select("patient_id", "split")
     split.verify_no_leakage(splits, "patient_id")

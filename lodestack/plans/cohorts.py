@@ -146,10 +146,34 @@ def split_summary(t: Tables) -> DataFrame:
     return split.summary(t.orders, split.split_stratified(t.orders, "o_custkey", "o_totalprice"), "o_custkey", "o_orderpriority", "o_totalprice")
 
 
-@query("SELECT 0::bigint AS n_leaks, (SELECT count(DISTINCT o_custkey) FROM orders) AS n_subjects")
+def _cut_sql(strata: str) -> str:
+    """Stratified splits of ``st`` (k, stratum)."""
+    return f"""{strata}, p AS (SELECT k, stratum, {_POS.format(s="stratum", k="k")} FROM st),
+a AS (SELECT *, CASE WHEN n >= 3 THEN greatest(1, least(round_even(n * 0.7::double, 0)::bigint, n - 2)) ELSE round_even(n * 0.7::double, 0)::bigint END AS t FROM p),
+b AS (SELECT *, CASE WHEN n >= 3 THEN greatest(1, least(round_even(n * 0.15::double, 0)::bigint, n - t - 1)) ELSE round_even(n * 0.15::double, 0)::bigint END AS v FROM a),
+sp AS (SELECT k, stratum, CASE WHEN pos < t THEN 'train' WHEN pos < t + v THEN 'val' ELSE 'test' END AS split FROM b)"""
+
+
+_FIRST = "st AS (SELECT o_custkey AS k, coalesce(min_by(v, o_orderkey) FILTER (v IS NOT NULL), 'all') AS stratum FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS v FROM orders) GROUP BY 1)"
+
+
+@query(f"WITH {_cut_sql(_FIRST)} SELECT k AS o_custkey, stratum, split FROM sp")
+def split_by_category(t: Tables) -> DataFrame:
+    """Strata are the priorities of the first order that has one."""
+    d = t.orders.select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderpriority")).alias("v"))
+    return split.split_stratified(d, "o_custkey", "v", order="o_orderkey")
+
+
+_LEAKY = f"{_SPLIT}, w AS (SELECT o_custkey, split FROM sp UNION ALL SELECT o_custkey, 'val' FROM sp WHERE o_custkey % 11 = 0)"
+
+
+@query(f"WITH {_LEAKY}, l AS (SELECT o_custkey, count(DISTINCT split) AS n FROM w GROUP BY 1) SELECT (SELECT count(*) FROM (SELECT o_custkey FROM sp GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS n_leaks, count(*) FILTER (n > 1) AS n_leaks_planted, count(*) AS n_subjects FROM l")
 def split_leakage(t: Tables) -> DataFrame:
-    s = split.split_stratified(t.orders, "o_custkey", "o_totalprice")
-    return split.leaks(s, "o_custkey").agg(F.count("*").alias("n_leaks")).crossJoin(s.agg(F.count_distinct("o_custkey").alias("n_subjects")))
+    """Leaks of the assignment, and of one in which each eleventh subject is in val as well."""
+    s = split.split_stratified(t.orders, "o_custkey", "o_totalprice").select("o_custkey", "split")
+    planted = s.unionByName(s.where("o_custkey % 11 = 0").select("o_custkey", F.lit("val").alias("split")))
+    n = lambda d, name: split.leaks(d, "o_custkey").agg(F.count("*").alias(name))
+    return n(s, "n_leaks").crossJoin(n(planted, "n_leaks_planted")).crossJoin(s.agg(F.count_distinct("o_custkey").alias("n_subjects")))
 
 
 @query("""

@@ -261,3 +261,38 @@ def test_volume(spark):
     assert {r["k"]: r["hd95"] for r in volume.hausdorff95(a, b, "k", ("x", "y")).collect()} == {1: 5.0, 2: math.inf}
     h = volume.histogram(spark.createDataFrame([(float(i),) for i in range(11)] + [(math.nan,)], "v double"), "v", 10)
     assert {r["bin"]: r["n"] for r in h.collect()} == {**{i: 1 for i in range(9)}, 9: 2}
+
+
+def test_strata_of_a_category(spark):
+    rows = [(1, "b", 2), (1, "a", 3), (1, None, 1), (2, "", 1), (3, None, 1), (4, "c", 1), (4, "a", 1)]
+    d = spark.createDataFrame(rows, "s long, v string, o int")
+    assert dict(map(tuple, split.strata(d, "s", "v", "o").collect())) == {1: "b", 2: "all", 3: "all", 4: "a"}
+    assert dict(map(tuple, split.strata(d, "s", "v").collect())) == {1: "a", 2: "all", 3: "all", 4: "a"}
+    got = split.split_stratified(spark.createDataFrame([(i, "xy"[i % 2]) for i in range(40)], "s long, v string"), "s", "v").groupBy("stratum", "split").count().collect()
+    assert {(r["stratum"], r["split"]): r["count"] for r in got} == {(k, p): n for k in "xy" for p, n in (("train", 14), ("val", 3), ("test", 3))}
+    assert split.split_stratified(d.limit(0), "s", "v").count() == 0
+
+
+def test_entry_imports_only_what_is_missing(monkeypatch):
+    import builtins
+    import importlib
+    import sys
+
+    import pytest
+
+    plain = builtins.__import__
+    for missing, ok in (("corpus_pipeline", True), ("ahocorasick", False)):
+        def fail(name, *a, missing=missing, **k):
+            if name in (missing, "corpus_pipeline"):
+                raise ModuleNotFoundError(f"no {missing}", name=missing)
+            return plain(name, *a, **k)
+
+        monkeypatch.setattr(builtins, "__import__", fail)
+        monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+        if ok:
+            assert "pipeline" not in importlib.import_module("__spark_entry__").queries()
+        else:
+            with pytest.raises(ModuleNotFoundError):
+                importlib.import_module("__spark_entry__")
+    monkeypatch.undo()
+    sys.modules.pop("__spark_entry__", None)
