@@ -77,6 +77,43 @@ def maybe_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
 
 
+#: Partitions of one shuffle by bucket; beyond it a partition holds neighbouring buckets, one after another.
+MAX_PARTS = 20_000
+
+
+def by_bucket(df: DataFrame, n: int, bucket: str, fn, schema, max_parts: int | None = None) -> DataFrame:
+    """fn(table of one bucket) gives record batches; buckets are the numbers below n in column ``bucket``.
+
+    A partition has one bucket, whatever their number of rows, so no task gets several by chance; where there are more
+    than MAX_PARTS, it has a run of them, sorted, of which one at a time is held.
+    """
+    parts = min(n, max_parts or MAX_PARTS)
+    at = df.columns.index(bucket)
+    d = df.repartitionById(parts, F.floor(F.col(bucket) * F.lit(parts) / F.lit(n)).cast("int") if parts < n else F.col(bucket).cast("int"))
+    if parts < n:
+        d = d.sortWithinPartitions(bucket)
+
+    def run(batches):
+        held, now = [], None
+        for b in batches:
+            key = b.column(at).to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if s == e:
+                    continue
+                if held and key[s] != now:
+                    yield from fn(pa.Table.from_batches(held))
+                    held = []
+                now = key[s]
+                held.append(b.slice(s, e - s))
+        if held:
+            t = pa.Table.from_batches(held)
+            del held, batches
+            yield from fn(t)
+
+    return d.mapInArrow(run, schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

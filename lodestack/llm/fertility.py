@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 from .tokens import DEFAULT_DIR, encode, vocabulary
@@ -130,31 +131,32 @@ def fertility_report(docs: DataFrame, *, vocabs: dict[str, str] = VOCABULARIES,
 
 
 def filter_fertility(docs: DataFrame, *, vocabs: dict[str, str] = VOCABULARIES, spread: float = SPREAD, min_tokens: int = MIN_TOKENS, min_group: int = MIN_GROUP, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows that ``fertility_report`` accepts, with the columns of ``docs``.
+    """The rows that ``fertility_report`` accepts, with the columns of ``docs``, whatever their names.
 
-    One pass gathers the bands, which are few; a second measures again and filters, so that no text is shuffled.
+    Every text is tokenised once: the rows are stored with their measures, from which the bands come, few as they are,
+    and with which the stored rows are then filtered. No text is shuffled. Edge cases are those of ``fertility_report``.
     """
-    rows = bands(_measures(docs, vocabs, id_col, text_col, lang_col), vocabs, spread, min_tokens, min_group).collect()
-    none = [e for _ in _names(vocabs) for e in (-np.inf, np.inf)]
-    cols = [f"{e}_{m}_{v}" for v, m in _names(vocabs) for e in ("lo", "hi")]
-    limits = {(r["lang"], r["octave"]): [e if r[c] is None else r[c] for c, e in zip(cols, none)] for r in rows}
     names = docs.columns
     text_at, lang_at = names.index(text_col), names.index(lang_col)
+    d = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    first = next(iter(vocabs))
 
     def run(batches):
         for b in batches:
-            text, lang = b.column(text_at).cast(pa.string()), b.column(lang_at).cast(pa.string()).to_pylist()
-            ok, first, lim = np.ones(b.num_rows, bool), None, None
-            at = 0
-            for path in vocabs.values():
-                m = measure(text, path)
-                if first is None:
-                    first = m["n_tokens"]
-                    lim = np.array([limits.get(("und" if x is None else x, int(o)), none) for x, o in zip(lang, _octave(first))]).reshape(-1, len(none))
-                for k in MEASURES:
-                    ok &= (m[k] >= lim[:, at]) & (m[k] <= lim[:, at + 1])
-                    at += 2
-            ok |= first < min_tokens
-            yield b.filter(pa.array(ok))
-
-    return docs.mapInArrow(run, docs.schema)
+            cols = [*b.columns, b.column(lang_at).cast(pa.string()).fill_null("und")]
+            for k, path in enumerate(vocabs.values()):
+                m = measure(b.column(text_at).cast(pa.string()), path)
+                if not k:
+                    cols += [pa.array(_octave(m["n_tokens"])), pa.array(m["n_tokens"])]
+                cols += [pa.array(m[x]) for x in MEASURES]
+            yield pa.record_batch(cols, names=schema.names)
+
+    measures = [f"{m}_{v}" for v, m in _names(vocabs)]
+    schema = T.StructType([*d.schema, T.StructField("lang", T.StringType()), T.StructField("octave", T.IntegerType()), T.StructField(f"n_tokens_{first}", T.LongType()), *(T.StructField(m, T.DoubleType()) for m in measures)])
+    r = C.materialize(d.mapInArrow(run, schema))
+    b = bands(r.select("lang", "octave", f"n_tokens_{first}", *measures), vocabs, spread, min_tokens, min_group)
+    r = r.join(F.broadcast(b), ["lang", "octave"], "left")
+    out = F.lit(False)
+    for m in measures:
+        out = out | F.coalesce((F.col(m) < F.col(f"lo_{m}")) | (F.col(m) > F.col(f"hi_{m}")), F.lit(False))
+    return r.where((F.col(f"n_tokens_{first}") < min_tokens) | ~out).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

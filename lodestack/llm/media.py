@@ -2,11 +2,14 @@
 
 Frames of motion JPEG are independent, and so are the restart intervals within one, so decoding runs side by side: each
 interval is a lane, and one step of the Huffman decoder advances every lane of a group of equal geometry by one symbol.
+Frames are decoded in slices of a bounded number of pixels, of which only histograms are kept, so memory doesn't grow with
+the length of a film.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -17,13 +20,34 @@ from pyspark.sql import functions as F
 # ---- RIFF ----------------------------------------------------------------------------------------------------------
 
 
+class Frames(Sequence):
+    """The bytes of each video frame (empty for a dropped one), cut out of the file when they are asked for."""
+
+    def __init__(self, raw: bytes, spans: list[tuple[int, int]]):
+        self.raw, self.spans = raw, spans
+
+    def __len__(self):
+        return len(self.spans)
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            return [self.raw[s:e] for s, e in self.spans[i]]
+        s, e = self.spans[i]
+        return self.raw[s:e]
+
+    def __eq__(self, other):
+        return len(self) == len(other) and all(a == b for a, b in zip(self, other))
+
+    __hash__ = None
+
+
 class Video(NamedTuple):
-    """Frame time in microseconds, size, and the bytes of each video frame (empty for a dropped frame)."""
+    """Frame time in microseconds, size, and the frames."""
 
     frame_us: float
     width: int
     height: int
-    frames: list[bytes]
+    frames: Sequence[bytes]
     indexed: bool
 
 
@@ -42,8 +66,9 @@ def _chunks(b: bytes, at: int, end: int):
 def parse_avi(b: bytes | None) -> Video | None:
     """The first motion-JPEG stream of an AVI file; None if there is none.
 
-    Frames come from the OpenDML indexes (indx, ix##) if the stream has them, else from idx1, else, or where an
-    index points outside the file, from the movi lists in order.
+    Frames come from the OpenDML indexes (indx, ix##) if the stream has sound ones. Else the first movi list is read by
+    idx1, which covers no other, and later ones chunk by chunk, as is the first where idx1 is missing or points
+    outside the file.
     """
     if not b or b[:4] != b"RIFF" or b[8:12] != b"AVI ":
         return None
@@ -76,23 +101,22 @@ def parse_avi(b: bytes | None) -> Video | None:
     if stream is None or not movi:
         return None
     ids = {b"%02ddc" % stream, b"%02ddb" % stream}
-    spans = supers or (_idx1(b, *idx1, movi[0][0], ids) if idx1 else None)
-    frames = None if spans is None or any(s < 0 or e > len(b) or e < s for s, e in spans) else spans
-    indexed = frames is not None
-    if frames is None:
-        frames = []
-        for s, e in movi:
-            for c, k, s2, e2 in _chunks(b, s, e):
-                for c3, _, s3, e3 in _chunks(b, s2, e2) if k == b"rec " else ((c, k, s2, e2),):
-                    if c3 in ids:
-                        frames.append((s3, e3))
-    return Video(1e6 * scale / rate if scale and rate else float(us or 40_000), width, height, [b[s:e] for s, e in frames], indexed)
+    sound = lambda spans: spans and all(0 <= s <= e <= len(b) for s, e in spans)
+    frames, rest = (supers, []) if sound(supers) else (_idx1(b, *idx1, movi[0][0], ids) if idx1 else None, movi[1:])
+    indexed = bool(sound(frames))
+    if not indexed:
+        frames, rest = [], movi
+    for s, e in rest:
+        for c, k, s2, e2 in _chunks(b, s, e):
+            for c3, _, s3, e3 in _chunks(b, s2, e2) if k == b"rec " else ((c, k, s2, e2),):
+                if c3 in ids:
+                    frames.append((s3, e3))
+    return Video(1e6 * scale / rate if scale and rate else float(us or 40_000), width, height, Frames(b, frames), indexed)
 
 
 def _idx1(b: bytes, s: int, e: int, movi: int, ids: set[bytes]):
     rows = np.frombuffer(b[s : e - (e - s) % 16], "<u4").reshape(-1, 4)
-    keep = [b[s + 16 * i : s + 16 * i + 4] in ids for i in range(len(rows))]
-    rows = rows[keep].astype(np.int64)
+    rows = rows[np.isin(rows[:, 0], [int.from_bytes(x, "little") for x in ids])].astype(np.int64)
     if not len(rows):
         return None
     # offsets count from the list type of movi, or from the start of the file
@@ -173,6 +197,9 @@ _AC_CHROMA = (
 STANDARD = {(0, 0): _DC_LUMA, (0, 1): _DC_CHROMA, (1, 0): _AC_LUMA, (1, 1): _AC_CHROMA}
 _C = np.array([[np.sqrt((1 if k == 0 else 2) / 8) * np.cos((2 * x + 1) * k * np.pi / 16) for x in range(8)] for k in range(8)])
 
+#: Pixels of a block from its coefficients in zigzag order.
+_PIXELS = np.einsum("ky,lx->klyx", _C, _C).reshape(64, 64)[ZIGZAG].astype(np.float32)
+
 
 def _codes(table: tuple[bytes, bytes]) -> list[tuple[int, int, int]]:
     """(symbol, code, length)."""
@@ -185,23 +212,43 @@ def _codes(table: tuple[bytes, bytes]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _lookup(table: tuple[bytes, bytes]) -> np.ndarray:
-    """By the next 16 bits: length << 8 | symbol; 0 for what is no code."""
-    t = np.zeros(1 << 16, np.uint16)
+#: Marks a value that doesn't lie within the 16 bits of a lookup.
+_LONG = -(1 << 15)
+
+
+def _lookup(table: tuple[bytes, bytes], dc: bool) -> np.ndarray:
+    """By the next 16 bits: value << 16 | zeros before it << 8 | bits of code and value; 0 for what is no code.
+
+    127 zeros end a block; the value is 0 where there is none and _LONG where it isn't within the 16 bits. Beside it, the
+    bits of the value.
+    """
+    t = np.zeros((2, 1 << 16), np.int32)
     for symbol, code, length in _codes(table):
-        t[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | symbol
+        run, size = (0, symbol) if dc else (symbol >> 4, symbol & 15)
+        if dc and size > 11:
+            continue
+        if not dc and not size:
+            run = 15 if run == 15 else 127
+        own = np.arange(code << (16 - length), (code + 1) << (16 - length))
+        if length + size > 16:
+            v = np.full(len(own), _LONG)
+        else:
+            v = (own >> (16 - length - size)) & ((1 << size) - 1)
+            v = np.where(v < (1 << size >> 1), v - (1 << size) + 1, v)
+        t[0, own], t[1, own] = v << 16 | run << 8 | length + size, size
     return t
 
 
-_LOOKUPS: dict[tuple[bytes, bytes], np.ndarray] = {}
+_LOOKUPS: dict[tuple, np.ndarray] = {}
 
 
-def _table(t: tuple[bytes, bytes]) -> np.ndarray:
-    if t not in _LOOKUPS:
-        if len(_LOOKUPS) > 64:
+def _tables(pairs: tuple) -> np.ndarray:
+    """The lookups of (dc, ac) tables, end to end."""
+    if pairs not in _LOOKUPS:
+        if len(_LOOKUPS) > 32:
             _LOOKUPS.clear()
-        _LOOKUPS[t] = _lookup(t)
-    return _LOOKUPS[t]
+        _LOOKUPS[pairs] = np.concatenate([_lookup(t, not k) for x in pairs for k, t in enumerate(x)], axis=1)
+    return _LOOKUPS[pairs]
 
 
 class Header(NamedTuple):
@@ -264,6 +311,9 @@ def parse_jpeg(b: bytes) -> tuple[Header, bytes] | None:
 
 def _segments(scan: bytes) -> list[bytes]:
     """Restart intervals without stuffed zeros and markers."""
+    end = scan.find(b"\xff\xd9")
+    if end >= 0 and scan.count(b"\xff", 0, end) == scan.count(b"\xff\x00", 0, end):  # one interval
+        return [scan[:end].replace(b"\xff\x00", b"\xff")]
     a = np.frombuffer(scan, np.uint8)
     ff = np.flatnonzero((a[:-1] == 255) & (a[1:] != 0)) if len(a) > 1 else np.zeros(0, int)
     out, start = [], 0
@@ -278,105 +328,123 @@ def _segments(scan: bytes) -> list[bytes]:
     return out
 
 
-def _decode_lanes(data: list[bytes], plan: list[tuple[int, int]], tables: list[tuple[np.ndarray, np.ndarray]], mcus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _decode_lanes(data: list[bytes], plan: list[int], table: np.ndarray, mcus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Quantised coefficients (lane, block, 64) in zigzag order, and which lanes are sound.
 
-    ``plan`` has (component, block in the MCU) of one MCU; ``mcus`` the number of MCUs of each lane.
+    ``plan`` has the component of each block of an MCU, ``table`` the lookups of all components, ``mcus`` the number of
+    MCUs of each lane. Every lane goes at its own pace, one symbol a step.
     """
     n, most, per = len(data), int(mcus.max()), len(plan)
     size = np.array([len(d) for d in data])
-    buf = np.frombuffer(b"".join(d + b"\xff\xff\xff\xff" for d in data), np.uint8).astype(np.uint32)
-    base = (np.cumsum(size + 4) - size - 4) * 8
-    last = base + 8 * size
-    pos = base.copy()
-    out = np.zeros((n, most * per, 64), np.int16)
+    raw = b"".join(d + b"\xff\xff\xff\xff" for d in data) + b"\xff" * 8
+    words = np.ndarray(len(raw) - 7, ">u8", raw, strides=(1,)).astype(np.uint64)  # the 64 bits from each byte on
+    p = (np.cumsum(size + 4) - size - 4) * 8
+    last = p + 8 * size
+    out = np.zeros(n * most * per * 64, np.int16)
     ok = np.ones(n, bool)
-    pred = np.zeros((n, max(c for c, _ in plan) + 1), np.int32)
-
-    def peek(p):
-        i = p >> 3
-        return (((buf[i] << np.uint32(16)) | (buf[i + 1] << np.uint32(8)) | buf[i + 2]) >> (8 - (p & 7)).astype(np.uint32)) & np.uint32(0xFFFF)
-
-    def value(p, s):
-        v = (peek(p) >> (16 - s).astype(np.uint32)).astype(np.int32)
-        return np.where((s > 0) & (v < (1 << np.maximum(s - 1, 0))), v - (1 << s) + 1, v)
-
-    for m in range(most):
-        for k, (c, _) in enumerate(plan):
-            lanes = np.flatnonzero(ok & (mcus > m))
-            if not len(lanes):
-                return out, ok
-            dc, ac = tables[c]
-            block = m * per + k
-            p = pos[lanes]
-            e = dc[peek(p)].astype(np.int64)
-            s = e & 255
-            bad = (e == 0) | (s > 11)
-            s = np.where(bad, 0, s)
-            p = p + (e >> 8)
-            pred[lanes, c] += np.where(bad, 0, value(np.minimum(p, last[lanes]), s))
-            out[lanes, block, 0] = pred[lanes, c]
-            p += s
-            at = np.ones(len(lanes), np.int64)
-            live = np.flatnonzero(~bad & (p <= last[lanes]))
-            ok[lanes[bad | (p > last[lanes])]] = False
-            while len(live):
-                q = p[live]
-                e = ac[peek(q)].astype(np.int64)
-                run, s = (e >> 4) & 15, e & 15
-                q = q + (e >> 8)
-                bad = (e == 0) | (q > last[lanes[live]])
-                end = (s == 0) & (run < 15)
-                to = at[live] + np.where(s == 0, 16, run)
-                over = ~end & (s > 0) & (to > 63)
-                put = ~bad & ~end & (s > 0) & ~over
-                v = value(np.minimum(q, last[lanes[live]]), s)
-                out[lanes[live[put]], block, to[put]] = v[put]
-                p[live] = q + s
-                at[live] = to + (s > 0)
-                bad |= over | (p[live] > last[lanes[live]])
-                ok[lanes[live[bad]]] = False
-                live = live[~bad & ~end & (at[live] < 64)]
-            pos[lanes] = p
-    return out, ok
-
-
-def decode_frames(frames: list[bytes]) -> list[list[np.ndarray] | None]:
-    """Planes of each frame (luma, then chroma at its own resolution) as uint8; None for a frame that can't be decoded."""
-    out: list[list[np.ndarray] | None] = [None] * len(frames)
+    dc = np.array(plan, np.int64) * (2 << 16)
+    lane = np.arange(n)
+    block, todo = np.zeros(n, np.int64), mcus * per
+    o, at = lane * (most * per * 64), np.zeros(n, np.int64)
+    base = np.full(n, dc[0])  # of the table of the symbol that comes next
+    while len(lane):
+        w = words[p >> 3] << (p & 7).astype(np.uint64)
+        code = base + (w >> np.uint64(48)).astype(np.int64)
+        e = table[0][code]
+        v, bits = e >> 16, e & 255
+        put = at + ((e >> 8) & 127)
+        far = np.flatnonzero(v == _LONG)
+        if len(far):
+            s = table[1][code[far]]
+            x = (w[far] >> (64 - bits[far]).astype(np.uint64)).astype(np.int64) & ((1 << s) - 1)
+            v[far] = np.where(x < (1 << (s - 1)), x - (1 << s) + 1, x)
+        out[o + np.minimum(put, 63)] = v  # a symbol without a value writes 0 where nothing is yet
+        p += bits
+        bad = (bits == 0) | (p > last) | (v != 0) & (put > 63)
+        base = np.where(at == 0, base + (1 << 16), base)
+        at = put + 1
+        ended = np.flatnonzero(at > 63)
+        if len(ended):
+            block[ended] += 1
+            o[ended] += 64
+            at[ended] = 0
+            base[ended] = dc[block[ended] % per]
+        gone = bad.copy()
+        gone[ended] |= block[ended] >= todo[ended]
+        if gone.any():
+            ok[lane[bad]] = False
+            stay = ~gone
+            lane, p, last, block, todo, o, at, base = (x[stay] for x in (lane, p, last, block, todo, o, at, base))
+    out = out.reshape(n, most, per, 64)
+    for c in set(plan):  # DC values are differences within a component
+        k = [i for i, x in enumerate(plan) if x == c]
+        d = out[:, :, k, 0].reshape(n, -1)
+        out[:, :, k, 0] = np.cumsum(d, axis=1, dtype=np.int16).reshape(n, most, len(k))
+    return out.reshape(n, most * per, 64), ok
+
+
+#: Pixels decoded at a time, unless a single frame has more.
+PIXELS_AT_ONCE = 1 << 22
+
+
+def decode_planes(frames: Sequence[bytes], only_luma: bool = False, pixels: int = PIXELS_AT_ONCE) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(numbers of frames, planes of them all as uint8: frame, row, column), a bounded number of pixels at a time.
+
+    Planes are luma, then chroma at its own resolution. Frames that can't be decoded don't occur.
+    """
     groups: dict[Header, list[tuple[int, list[bytes]]]] = {}
+    held, head, header = 0, b"", None
     for i, f in enumerate(frames):
-        got = parse_jpeg(f) if f else None
-        if got:
-            groups.setdefault(got[0], []).append((i, _segments(got[1])))
-    for h, members in groups.items():
-        hm, vm = max(c[0] for c in h.components), max(c[1] for c in h.components)
-        across, down = -(-h.width // (8 * hm)), -(-h.height // (8 * vm))
-        total = across * down
-        each = h.restart or total
-        cuts = np.minimum(each, total - np.arange(0, total, each))
-        plan = [(c, b) for c, x in enumerate(h.components) for b in range(x[0] * x[1])]
-        members = [(i, s) for i, s in members if len(s) >= len(cuts)]
-        if not members:
+        if not f:
             continue
-        lanes = [d for _, s in members for d in s[: len(cuts)]]
-        coef, ok = _decode_lanes(lanes, plan, [(_table(x[3]), _table(x[4])) for x in h.components], np.tile(cuts, len(members)))
-        good = ok.reshape(len(members), -1).all(1)
-        per = len(plan)
-        coef = coef.reshape(len(members), len(cuts) * each * per, 64)[:, : total * per].reshape(len(members), total, per, 64)
-        first = 0
-        planes = []
-        for hc, vc, q, _, _ in h.components:
-            z = np.zeros((len(members), total, hc * vc, 64), np.float32)
-            z[..., ZIGZAG] = coef[:, :, first : first + hc * vc] * np.array(q, np.float32)
-            first += hc * vc
-            px = _C.T.astype(np.float32) @ z.reshape(-1, 8, 8) @ _C.astype(np.float32)
-            px = np.clip(np.rint(px + 128), 0, 255).astype(np.uint8).reshape(len(members), down, across, vc, hc, 8, 8)
-            px = px.transpose(0, 1, 3, 5, 2, 4, 6).reshape(len(members), down * vc * 8, across * hc * 8)
-            planes.append(px[:, : -(-h.height * vc // vm), : -(-h.width * hc // hm)])
-        for k, (i, _) in enumerate(members):
-            if good[k]:
-                out[i] = [p[k] for p in planes]
+        if header is None or not f.startswith(head):  # frames of one film mostly have one header
+            got = parse_jpeg(f)
+            if not got:
+                continue
+            header, head = got[0], f[: len(f) - len(got[1])]
+        groups.setdefault(header, []).append((i, _segments(f[len(head) :])))
+        held += header.width * header.height
+        if held >= pixels:
+            for h, members in groups.items():
+                yield from _decode_group(h, members, only_luma)
+            groups, held = {}, 0
+    for h, members in groups.items():
+        yield from _decode_group(h, members, only_luma)
+
+
+def _decode_group(h: Header, members: list[tuple[int, list[bytes]]], only_luma: bool) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    hm, vm = max(c[0] for c in h.components), max(c[1] for c in h.components)
+    across, down = -(-h.width // (8 * hm)), -(-h.height // (8 * vm))
+    total = across * down
+    each = h.restart or total
+    cuts = np.minimum(each, total - np.arange(0, total, each))
+    plan = [c for c, x in enumerate(h.components) for _ in range(x[0] * x[1])]
+    members = [(i, s) for i, s in members if len(s) >= len(cuts)]
+    if not members:
+        return
+    lanes = [d for _, s in members for d in s[: len(cuts)]]
+    coef, ok = _decode_lanes(lanes, plan, _tables(tuple((x[3], x[4]) for x in h.components)), np.tile(cuts, len(members)))
+    good = ok.reshape(len(members), -1).all(1)
+    per = len(plan)
+    coef = coef.reshape(len(members), len(cuts) * each * per, 64)[good, : total * per].reshape(-1, total, per, 64)
+    n, first, planes = len(coef), 0, []
+    for hc, vc, q, _, _ in h.components[: 1 if only_luma else None]:
+        z = coef[:, :, first : first + hc * vc].reshape(-1, 64).astype(np.float32)
+        first += hc * vc
+        px = z @ (_PIXELS * np.array(q, np.float32)[:, None])
+        px += 128.5
+        px = np.clip(px, 0, 255, out=px).astype(np.uint8).reshape(n, down, across, vc, hc, 8, 8)
+        px = px.transpose(0, 1, 3, 5, 2, 4, 6).reshape(n, down * vc * 8, across * hc * 8)
+        planes.append(px[:, : -(-h.height * vc // vm), : -(-h.width * hc // hm)])
+    yield [i for (i, _), g in zip(members, good) if g], planes
+
+
+def decode_frames(frames: Sequence[bytes]) -> list[list[np.ndarray] | None]:
+    """Planes of each frame; None for a frame that can't be decoded."""
+    out: list[list[np.ndarray] | None] = [None] * len(frames)
+    for numbers, planes in decode_planes(frames):
+        for k, i in enumerate(numbers):
+            out[i] = [p[k] for p in planes]
     return out
 
 
@@ -387,8 +455,7 @@ def encode_frames(images: np.ndarray, quality: int = 75, tables: bool = False) -
     rows, cols = x.shape[1] // 8, x.shape[2] // 8
     scale = 5000 // quality if quality < 50 else 200 - 2 * quality
     q = np.clip((LUMA_Q * scale + 50) // 100, 1, 255)
-    z = _C.astype(np.float32) @ x.reshape(n, rows, 8, cols, 8).transpose(0, 1, 3, 2, 4).reshape(-1, 8, 8) @ _C.T.astype(np.float32)
-    z = np.rint(z.reshape(-1, 64) / q).astype(np.int32)[:, ZIGZAG]
+    z = np.rint(x.reshape(n, rows, 8, cols, 8).transpose(0, 1, 3, 2, 4).reshape(-1, 64) @ (_PIXELS / q[ZIGZAG, None]).T.astype(np.float32)).astype(np.int32)
     per = rows * cols
     dc = z[:, 0].reshape(n, per)
     z[:, 0] = np.diff(dc, axis=1, prepend=0).ravel()
@@ -418,17 +485,23 @@ def encode_frames(images: np.ndarray, quality: int = 75, tables: bool = False) -
     order = np.concatenate((np.zeros(len(z), np.int64), 2 * k, 2 * k[zrl] - 1, np.full(len(eob), 200)))
     val = np.concatenate((dc_val, ac_val, np.full(len(zrl), codes["ac"][0xF0, 0]), np.full(len(eob), codes["ac"][0, 0])))
     length = np.concatenate((dc_len + ds, ac_len + s, np.full(len(zrl), codes["ac"][0xF0, 1]), np.full(len(eob), codes["ac"][0, 1])))
-    at = np.lexsort((order, b))
-    b, val, length = b[at], val[at], length[at]
-    frame = b // per
+    at = np.argsort(b * 256 + order, kind="stable")
+    val, length = val[at], length[at]
+    frame = b[at] // per
     total = np.bincount(frame, length, n).astype(np.int64)
     room = -(-total // 8) * 8
-    start = np.cumsum(length) - length + np.repeat(np.cumsum(room - total) - (room - total), np.bincount(frame, minlength=n))
-    out = np.ones(int(room.sum()), np.uint8)
-    where = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    out[np.repeat(start, length) + where] = (np.repeat(val, length) >> (np.repeat(length, length) - 1 - where)) & 1
-    raw = np.packbits(out).tobytes()
+    start = np.cumsum(length) - length + (np.cumsum(room - total) - (room - total))[frame]
+    # codes of at most 27 bits at their places in words of 32, of which each touches two at most
+    words = np.zeros(int(room.sum()) // 32 + 2, np.int64)
+    wide = val << (64 - length - (start & 31) - 1)
+    np.add.at(words, start >> 5, wide >> 31)
+    np.add.at(words, (start >> 5) + 1, (wide & 0x7FFFFFFF) << 1)
+    raw = bytearray(words.astype(">u4").tobytes())
     ends = np.cumsum(room // 8)
+    for e, free in zip(ends.tolist(), (room - total).tolist()):
+        if free:
+            raw[e - 1] |= (1 << free) - 1  # ones fill up the last byte
+    raw = bytes(raw)
     dht = b"".join(b"\xff\xc4" + struct.pack(">HB", 3 + 16 + len(t[1]), i) + t[0] + t[1] for i, t in ((0, _DC_LUMA), (16, _AC_LUMA))) if tables else b""
     head = b"\xff\xd8\xff\xdb" + struct.pack(">HB", 67, 0) + bytes(q[ZIGZAG].astype(np.uint8)) + b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, height, width, 1) + b"\x01\x11\x00" + dht + b"\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00"
     return [head + raw[e - r : e].replace(b"\xff", b"\xff\x00") + b"\xff\xd9" for e, r in zip(ends.tolist(), (room // 8).tolist())]
@@ -442,12 +515,20 @@ FACTOR = 4.0
 LEAST = 0.15
 
 
-def histograms(frames: list[np.ndarray | None]) -> np.ndarray:
-    """Share of luma in each bin; a frame that couldn't be decoded repeats the one before (the first: the next)."""
+def histograms(frames: Sequence[bytes], pixels: int = PIXELS_AT_ONCE) -> np.ndarray:
+    """Share of luma in each bin, by frame; NaN for a frame that can't be decoded."""
     h = np.full((len(frames), BINS), np.nan)
-    for i, f in enumerate(frames):
-        if f is not None:
-            h[i] = np.bincount((f >> 3).ravel(), minlength=BINS) / f.size
+    for numbers, (luma, *_) in decode_planes(frames, True, pixels):
+        if not numbers:
+            continue
+        n, size = len(numbers), luma[0].size
+        key = (luma >> 3).reshape(n, size) + np.arange(0, n * BINS, BINS, dtype=np.int32)[:, None]
+        h[numbers] = np.bincount(key.ravel(), minlength=n * BINS).reshape(n, BINS) / size
+    return h
+
+
+def carried(h: np.ndarray) -> np.ndarray:
+    """Histograms where a frame that couldn't be decoded repeats the one before (the first: the next)."""
     good = ~np.isnan(h[:, 0])
     if not good.any():
         return np.zeros_like(h)
@@ -460,18 +541,26 @@ def cuts(h: np.ndarray, radius: int = RADIUS, factor: float = FACTOR, least: flo
     """First frames of new shots.
 
     The difference of neighbouring histograms (half the L1 distance) marks a cut where it is at least ``least``, and
-    exceeds the median of the differences within ``radius`` frames by ``factor`` times their mean absolute deviation
+    exceeds the median of the differences within ``radius`` frames by ``factor`` times their median absolute deviation
     from it, neither of which a few cuts can lift much.
     """
     d = np.abs(np.diff(h, axis=0)).sum(1) / 2
-    out = []
-    for i in np.flatnonzero(d >= least):
-        near = np.delete(d[max(0, i - radius) : i + radius + 1], min(i, radius))
-        mid = np.median(near) if len(near) else 0.0
-        spread = np.median(np.abs(near - mid)) if len(near) else 0.0
-        if d[i] > mid + factor * spread:
-            out.append(i + 1)
-    return np.array(out, np.int64)
+    at = np.flatnonzero(d >= least)
+    if not len(at):
+        return at
+    near = np.pad(d, radius, constant_values=np.nan)[at[:, None] + np.delete(np.arange(2 * radius + 1), radius)]
+    mid = _row_medians(near)
+    spread = _row_medians(np.abs(near - mid[:, None]))
+    return at[d[at] > mid + factor * spread] + 1
+
+
+def _row_medians(x: np.ndarray) -> np.ndarray:
+    """Of each row without its NaNs; 0 if nothing else is in it."""
+    if not x.shape[1]:
+        return np.zeros(len(x))
+    n = np.count_nonzero(~np.isnan(x), axis=1)
+    x, r = np.sort(x, axis=1), np.arange(len(x))  # NaNs come last
+    return np.where(n > 0, (x[r, np.maximum(n - 1, 0) // 2] + x[r, np.minimum(n // 2, x.shape[1] - 1)]) / 2, 0.0)
 
 
 CLIP_SCHEMA = "clip int, first_frame int, last_frame int, start_ms double, end_ms double, n_undecoded int, width int, height int"
@@ -497,23 +586,23 @@ def detect_clips(media: DataFrame, *, id_col: str = "media_id", media_col: str =
     return d.mapInArrow(run, f"media_id {kind}, {CLIP_SCHEMA}")
 
 
-#: Frames decoded side by side.
+#: Frames of several files whose bytes are decoded side by side; one long file goes in slices of pixels.
 FRAMES_AT_ONCE = 4_000
 
 
-def clips_of(column, radius: int = RADIUS, factor: float = FACTOR, least: float = LEAST) -> tuple[list[tuple], list[int]]:
+def clips_of(column, radius: int = RADIUS, factor: float = FACTOR, least: float = LEAST, pixels: int = PIXELS_AT_ONCE) -> tuple[list[tuple], list[int]]:
     rows, at = [], []
     pending: list[tuple[int, Video]] = []
 
     def flush():
-        planes = decode_frames([f for _, v in pending for f in v.frames])
-        k = 0
+        k, all_h = 0, histograms(_Chain([v.frames for _, v in pending]), pixels)
         for i, v in pending:
-            luma = [p[0] if p else None for p in planes[k : k + len(v.frames)]]
+            h = all_h[k : k + len(v.frames)]
             k += len(v.frames)
-            edges = [0, *cuts(histograms(luma), radius, factor, least).tolist(), len(luma)]
+            lost = np.concatenate(([0], np.cumsum(np.isnan(h[:, 0])))).tolist()
+            edges = [0, *cuts(carried(h), radius, factor, least).tolist(), len(h)]
             for c, (s, e) in enumerate(zip(edges[:-1], edges[1:])):
-                rows.append((c, s, e - 1, round(s * v.frame_us / 1000, 3), round(e * v.frame_us / 1000, 3), sum(x is None for x in luma[s:e]), v.width, v.height))
+                rows.append((c, s, e - 1, round(s * v.frame_us / 1000, 3), round(e * v.frame_us / 1000, 3), lost[e] - lost[s], v.width, v.height))
                 at.append(i)
         pending.clear()
 
@@ -527,6 +616,27 @@ def clips_of(column, radius: int = RADIUS, factor: float = FACTOR, least: float
     return rows, at
 
 
+class _Chain(Sequence):
+    """The frames of several files, one after another."""
+
+    def __init__(self, parts: list[Sequence[bytes]]):
+        self.parts = parts
+
+    def __len__(self):
+        return sum(map(len, self.parts))
+
+    def __iter__(self):
+        for p in self.parts:
+            yield from p
+
+    def __getitem__(self, i):
+        for p in self.parts:
+            if i < len(p):
+                return p[i]
+            i -= len(p)
+        raise IndexError
+
+
 # ---- media from text, for tables that hold none --------------------------------------------------------------------
 
 SIDE = 32
@@ -536,8 +646,8 @@ def render_turns(conv: list[list[str]]) -> list[bytes]:
     """One AVI file a conversation: each turn is a shot of 3 to 8 frames, a drifting pattern drawn from its text."""
     import hashlib
 
-    x, y = np.meshgrid(np.arange(SIDE), np.arange(SIDE))
-    images, counts = [], []
+    x, y = np.meshgrid(np.arange(SIDE, dtype=np.int32), np.arange(SIDE, dtype=np.int32))
+    shots, counts = [], []
     for turns in conv:
         k = 0
         level = 0
@@ -545,13 +655,15 @@ def render_turns(conv: list[list[str]]) -> list[bytes]:
             d = hashlib.blake2b((t or "").encode(), digest_size=8).digest()
             level = (level + 64 + d[0] % 64) % 192
             n = 3 + len(t or "") % 6
-            for f in range(n):
-                images.append(level + ((d[1] % 5 + 1) * (x + f) + (d[2] % 5 + 1) * y) // 4 % 48)
+            shots.append((n, level, d[1] % 5 + 1, d[2] % 5 + 1))
             k += n
         counts.append(k)
-    if not images:
+    if not shots:
         return [write_avi([], SIDE, SIDE) for _ in conv]
-    frames = encode_frames(np.array(images, np.uint8))
+    n, level, across, down = np.array(shots, np.int32).T
+    f = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    level, across, down = (np.repeat(v, n)[:, None, None] for v in (level, across, down))
+    frames = encode_frames((level + (across * (x + f[:, None, None].astype(np.int32)) + down * y) // 4 % 48).astype(np.uint8))
     out, at = [], 0
     for k in counts:
         out.append(write_avi(frames[at : at + k], SIDE, SIDE))

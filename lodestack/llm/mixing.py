@@ -181,7 +181,7 @@ def mixed_documents(docs: DataFrame, *, weights: dict[str | None, float] | None
     Columns and rows are those of ``docs``, whatever the names of the columns. Edge cases are those of ``mix_sources``.
     """
     m, n_slots = _placed(docs, weights, temperature, block_docs, seed, id_col, source_col, tuple(docs.columns))
-    n = C.parts(C.measured(docs)[1], 24 << 20)
+    n = min(C.MAX_PARTS, C.parts(C.measured(docs)[1], 24 << 20))
     # slots are dense and blocks nearly equal, so equal ranges of slots need no sampling pass
     part = F.least(F.lit(n - 1), F.floor(F.col("slot") * n / max(1, n_slots))).cast("int")
     return m.repartitionById(n, part).sortWithinPartitions("slot", "place").select("row.*")

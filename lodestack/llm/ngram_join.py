@@ -9,6 +9,11 @@ N-grams of frequency one match nothing and come first in the order, so they fill
 a document of which fewer than t|x| n-grams recur has no partner and leaves at once. Documents with equal sets
 enter the join once, by their smallest id, and are expanded at the end. All counts, prefixes and comparisons
 cover every document and every n-gram; there are no caps.
+
+Postings and candidates of one group of copies meet in one bucket; where a bucket has too much work for a task, its
+documents are divided into r parts, and each pair of parts is a task of its own. For groups alone, documents are first
+linked to one likely partner each; what these links connect isn't compared again, so that a large group costs in
+proportion to its size.
 """
 
 from __future__ import annotations
@@ -29,12 +34,17 @@ POSTINGS_A_BUCKET = 400_000
 #: Rows whose n-grams one worker holds at a time, and partner slots it expands at a time.
 ROWS_AT_ONCE = 2_000
 SLOTS_AT_ONCE = 1_000_000
+#: Partner slots, by estimate, and candidates, that one task of a bucket takes before the bucket is divided.
+SLOTS_A_TASK = 40_000_000
+PAIRS_A_TASK = 24_000
+#: Tokens of partners that one document is compared with at a time.
+TOKENS_AT_ONCE = 2_000_000
 #: Cost of verifying one candidate against scanning one posting.
 VERIFY_COST = 20.0
 
 _BLOCK = "bucket int, ids binary, sizes binary, counts binary, toks binary"
 _BLOCK2 = "bucket int, token_bucket int, ids binary, sizes binary, counts binary, toks binary, dfs binary, firsts binary"
-_DOC = "doc_id long, n int, m int, sig string, mh long, prefix array<long>, firsts array<long>, toks binary"
+_DOC = "doc_id long, n int, m int, sig string, mh long, prefix array<long>, firsts array<long>, costs array<int>, toks binary"
 _PAIR = "a long, b long, shared long, need int, na int, nb int, h long"
 
 
@@ -73,7 +83,7 @@ def _scatter(n: int, buckets: int):
 
 
 def _batch(rows, schema: str):
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
     fields = [x.strip().split(" ") for x in schema.split(",")]
     cols = list(zip(*rows)) if rows else [[] for _ in fields]
     return pa.record_batch([pa.array(list(c), kinds[k]) for c, (_, k) in zip(cols, fields)], names=[n for n, _ in fields])
@@ -94,7 +104,7 @@ def _count(doc_buckets: int):
     the same for all: tokens of one group of copies mostly agree in it, which puts a pair's tokens into few buckets.
     """
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table):
         bucket = t.column("bucket")[0].as_py()
         ids, sizes = _joined(t.column("ids"), np.int64), _joined(t.column("sizes"), np.uint32)
         counts = _joined(t.column("counts"), np.uint32).astype(np.int64)
@@ -124,7 +134,7 @@ def _count(doc_buckets: int):
                 at = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
                 out.append((k, bucket, ids[d[at]].tobytes(), sizes[d[at]].tobytes(), np.diff(np.append(at, len(d))).astype(np.uint32).tobytes(), C.pack(toks[a:e], 5), df[a:e].tobytes(), C.pack(who[a:e].astype(U), 3)))
             a = e
-        return pa.Table.from_batches([_batch(out, _BLOCK2)])
+        yield _batch(out, _BLOCK2)
 
     return run
 
@@ -143,7 +153,7 @@ def choose_m(df: np.ndarray, k1: int) -> int:
 def _assemble(t: float):
     """Of one bucket of documents: drop those that cannot have a partner, choose m, cut the prefix."""
 
-    def run(tb: pa.Table) -> pa.Table:
+    def run(tb: pa.Table):
         import hashlib
 
         ids, sizes = _joined(tb.column("ids"), np.int64), _joined(tb.column("sizes"), np.uint32).astype(np.int64)
@@ -169,61 +179,105 @@ def _assemble(t: float):
             m = choose_m(f, k1)
             raw = own.tobytes()
             sig = hashlib.blake2b(np.sort(own).tobytes(), digest_size=16).hexdigest() if r[i] == size else None
-            out.append((int(uniq[i]), size, m, sig, int(C.mix(own).min().astype(np.int64)), own[: k1 + m - 1].view(np.int64), firsts[a : a + k1 + m - 1], raw))
-        return pa.Table.from_batches([_batch(out, _DOC)])
+            out.append((int(uniq[i]), size, m, sig, int(C.mix(own).min().astype(np.int64)), own[: k1 + m - 1].view(np.int64), firsts[a : a + k1 + m - 1], np.minimum(f[: k1 + m - 1], 1e9).astype(np.int32), raw))
+            if len(out) == ROWS_AT_ONCE:
+                yield _batch(out, _DOC)
+                out = []
+        yield _batch(out, _DOC)
+
+    return run
+
+
+def _postings(tb: pa.Table):
+    """Facts of the documents of a bucket (id, n, m, mh, label, side), and the postings (document, token) by number."""
+    ids, first, doc = np.unique(tb.column("doc_id").to_numpy(), return_index=True, return_inverse=True)
+    facts = [tb.column(c).to_numpy()[first] for c in ("n", "m", "mh", "label", "side")]
+    return ids, facts, doc, np.unique(tb.column("tok").to_numpy(), return_inverse=True)[1]
+
+
+def _facts(ids, n, m, mh, a, b, shared) -> pa.Table:
+    h = C.mix(C.mix(mh[a].view(U)) + C.mix(mh[b].view(U))).view(np.int64)
+    return pa.table({"a": ids[a], "b": ids[b], "shared": shared.astype(np.int64), "need": np.minimum(m[a], m[b]).astype(np.int32), "na": n[a].astype(np.int32), "nb": n[b].astype(np.int32), "h": h})
+
+
+def _links(t: float):
+    """Of one bucket of postings: for each document the partner, of the smallest ones of its tokens, that shares most."""
+
+    def run(tb: pa.Table) -> pa.Table:
+        ids, (n, m, mh, _, _), doc, tok = _postings(tb)
+        hub = np.full(int(tok.max()) + 1, len(ids))
+        np.minimum.at(hub, tok, doc)
+        key, c = np.unique(doc * len(ids) + hub[tok], return_counts=True)
+        b, a = key // len(ids), key % len(ids)
+        fits = (a != b) & (np.minimum(n[a], n[b]) >= t * np.maximum(n[a], n[b]) - 1e-9) & (c >= np.minimum(m[a], m[b]))
+        a, b, c = a[fits], b[fits], c[fits]
+        order = np.lexsort((a, -c, b))
+        order = order[np.concatenate(([True], b[order][1:] != b[order][:-1]))] if len(order) else order
+        return _facts(ids, n, m, mh, a[order], b[order], c[order])
 
     return run
 
 
 def _pairs(t: float):
-    """Of one bucket of postings: how many prefix tokens each pair of documents shares in it."""
+    """Of one bucket of postings, or two parts of one: how many prefix tokens each pair of documents shares in it.
+
+    Pairs of one label are left out, and with two sides those of one side.
+    """
 
     def run(tb: pa.Table) -> pa.Table:
-        ids, doc = np.unique(tb.column("doc_id").to_numpy(), return_inverse=True)
-        facts = np.zeros((4, len(ids)), np.int64)
-        for k, c in enumerate(("n", "m", "mh")):
-            facts[k, doc] = tb.column(c).to_numpy()
-        n, m, mh = facts[:3]
-        tok = np.unique(tb.column("tok").to_numpy(), return_inverse=True)[1]
-        order = np.lexsort((doc, tok))
+        ids, (n, m, mh, label, side), doc, tok = _postings(tb)
+        label = np.unique(label, return_inverse=True)[1]
+        two = bool(side.any())
+        group = side if two else label
+        order = np.lexsort((doc, group[doc], tok))
         doc, tok = doc[order], tok[order]
-        end = np.cumsum(np.bincount(tok))[tok]
-        at = np.argsort(doc, kind="stable")  # postings by document; each meets the later ones of its token
-        at = at[end[at] - at > 1]
-        slots = end[at] - at - 1
+        at = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+        lab = label[doc]
+        mixed = np.repeat(np.minimum.reduceat(lab, at) < np.maximum.reduceat(lab, at), np.diff(np.append(at, len(tok))))
+        doc, tok = doc[mixed], tok[mixed]
+        if not len(doc):
+            return _facts(ids, n, m, mh, doc, doc, doc)
+        # a posting meets those of the later groups of its token
+        g = group[doc]
+        ends = np.flatnonzero(np.concatenate(((tok[1:] != tok[:-1]) | (g[1:] != g[:-1]), [True]))) + 1
+        start = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
+        last = np.flatnonzero(np.concatenate((tok[1:] != tok[:-1], [True]))) + 1
+        slots = np.repeat(last, np.diff(np.concatenate(([0], last)))) - start
+        at = np.argsort(doc, kind="stable")
+        at = at[slots[at] > 0]
         out = []
+        slots, start, own_doc = slots[at], start[at], doc[at]
         total = np.cumsum(slots)
         i = 0
         while i < len(at):
             base = total[i - 1] if i else 0
             j = max(i + 1, int(np.searchsorted(total, base + SLOTS_AT_ONCE, "right")))
-            j = int(np.searchsorted(doc[at], doc[at[j - 1]], "right")) if j < len(at) else j  # whole documents
-            counts: dict = {}
-            for s in range(i, j, 4096) if total[j - 1] - base > 4 * SLOTS_AT_ONCE else (i,):
-                e = min(j, s + 4096) if total[j - 1] - base > 4 * SLOTS_AT_ONCE else j
+            j = int(np.searchsorted(own_doc, own_doc[j - 1], "right")) if j < len(at) else j  # whole documents
+            counts = []
+            step = 4096 if total[j - 1] - base > 4 * SLOTS_AT_ONCE else j - i
+            for s in range(i, j, step):
+                e = min(j, s + step)
                 own = slots[s:e]
-                first = np.cumsum(own) - own
-                partner = doc[np.arange(int(own.sum())) + np.repeat(at[s:e] + 1 - first, own)]
-                key, c = np.unique(np.repeat(doc[at[s:e]], own) * len(ids) + partner, return_counts=True)
-                counts[s] = (key, c)
-            key = np.concatenate([x[0] for x in counts.values()])
-            c = np.concatenate([x[1] for x in counts.values()])
+                partner = doc[np.arange(int(own.sum())) + np.repeat(start[s:e] - (np.cumsum(own) - own), own)]
+                counts.append(np.unique(np.repeat(own_doc[s:e], own) * len(ids) + partner, return_counts=True))
+            key, c = (np.concatenate(x) for x in zip(*counts))
             if len(counts) > 1:
                 key, inv = np.unique(key, return_inverse=True)
                 c = np.bincount(inv, c).astype(np.int64)
             a, b = key // len(ids), key % len(ids)
-            fits = np.minimum(n[a], n[b]) >= t * np.maximum(n[a], n[b]) - 1e-9
-            out.append((a[fits], b[fits], c[fits]))
+            fits = (np.minimum(n[a], n[b]) >= t * np.maximum(n[a], n[b]) - 1e-9) & (label[a] != label[b])
+            a, b = a[fits], b[fits]
+            out.append((np.minimum(a, b), np.maximum(a, b), c[fits]))
             i = j
         a, b, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-        h = C.mix(C.mix(mh[a].view(U)) + mh[b].view(U)).view(np.int64)
-        return pa.table({"a": ids[a], "b": ids[b], "shared": c.astype(np.int64), "need": np.minimum(m[a], m[b]).astype(np.int32), "na": n[a].astype(np.int32), "nb": n[b].astype(np.int32), "h": h})
+        return _facts(ids, n, m, mh, a, b, c)
 
     return run
 
 
 def _verify(t: float, spanning: bool):
-    """Exact overlaps of one bucket's candidate pairs; with ``spanning`` only edges that connect something new."""
+    """Exact overlaps of one bucket's candidate pairs; with ``spanning`` only edges that connect something new, and pairs
+    that are connected already aren't compared."""
 
     def run(pairs: pa.Table, docs: pa.Table) -> pa.Table:
         if not pairs.num_rows or not docs.num_rows:
@@ -232,41 +286,39 @@ def _verify(t: float, spanning: bool):
         toks = [np.frombuffer(x.as_buffer(), U) for x in docs.column("toks")]
         lens = np.array([len(x) for x in toks])
         dense = np.unique(np.concatenate(toks), return_inverse=True)[1].astype(np.int32)
+        del toks
         off = np.concatenate(([0], np.cumsum(lens)))
         by = np.argsort(ids)
         a = by[np.searchsorted(ids, pairs.column("a").to_numpy(), sorter=by)]
         b = by[np.searchsorted(ids, pairs.column("b").to_numpy(), sorter=by)]
         size = pairs.column("na").to_numpy().astype(np.int64) + pairs.column("nb").to_numpy()
-        order = np.argsort(a, kind="stable")
-        over = np.zeros(len(a), np.int64)
-        mark = np.zeros(int(dense.max()) + 1, bool)
+        order = np.lexsort((b, a))
+        mark, label = np.zeros(int(dense.max()) + 1, bool), np.arange(len(ids))
         cuts = np.flatnonzero(np.concatenate(([True], a[order][1:] != a[order][:-1], [True])))
+        hits = []
         for s, e in zip(cuts[:-1], cuts[1:]):
-            x = a[order[s]]
-            own = dense[off[x] : off[x + 1]]
-            mark[own] = True
-            for p in order[s:e]:
-                over[p] = np.count_nonzero(mark[dense[off[b[p]] : off[b[p] + 1]]])
-            mark[own] = False
-        j = over / (size - over)
-        hit = j >= t - 1e-12
-        ia, ib, j = ids[a[hit]], ids[b[hit]], j[hit]
-        if spanning:
-            root: dict[int, int] = {}
-
-            def find(v):
-                while root.setdefault(v, v) != v:
-                    root[v] = root[root[v]]
-                    v = root[v]
-                return v
-
-            new = np.zeros(len(ia), bool)
-            for i, (x, y) in enumerate(zip(ia.tolist(), ib.tolist())):
-                x, y = find(x), find(y)
-                if x != y:
-                    root[max(x, y)], new[i] = min(x, y), True
-            ia, ib, j = ia[new], ib[new], j[new]
-        return pa.table({"a": ia, "b": ib, "jaccard": j})
+            x, todo = a[order[s]], order[s:e]
+            if spanning:
+                todo = todo[label[b[todo]] != label[x]]
+            mark[dense[off[x] : off[x + 1]]] = True
+            while len(todo):
+                k = max(1, int(np.searchsorted(np.cumsum(lens[b[todo]]), TOKENS_AT_ONCE, "right")))
+                now, todo = todo[:k], todo[k:]
+                own = lens[b[now]]
+                first = np.cumsum(own) - own
+                over = np.add.reduceat(mark[dense[np.arange(int(own.sum())) + np.repeat(off[b[now]] - first, own)]].astype(np.int64), first)
+                j = over / (size[now] - over)
+                hit = j >= t - 1e-12
+                now, j = now[hit], j[hit]
+                if spanning and len(now):
+                    _, new = np.unique(label[b[now]], return_index=True)
+                    now, j = now[new], j[new]
+                    now, j = now[label[b[now]] != label[x]], j[label[b[now]] != label[x]]
+                    label[np.isin(label, label[b[now]])] = label[x]
+                hits.append((now, j))
+            mark[dense[off[x] : off[x + 1]]] = False
+        hit, j = (np.concatenate(x) for x in zip(*hits)) if hits else (np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"a": ids[a[hit]], "b": ids[b[hit]], "jaccard": j})
 
     return run
 
@@ -289,25 +341,59 @@ def _join(docs: DataFrame, n: int, t: float, id_col: str, text_col: str, spannin
     doc_buckets = C.parts(size, DOCS_A_BUCKET * 2000)
     d = _one_row_an_id(docs, id_col, text_col)
     blocks = d.mapInArrow(_scatter(n, buckets), _BLOCK)
-    back = blocks.groupBy("bucket").applyInArrow(_count(doc_buckets), _BLOCK2)
-    table = C.materialize(back.groupBy("bucket").applyInArrow(_assemble(t), _DOC))
+    back = C.by_bucket(blocks, buckets, "bucket", _count(doc_buckets), _BLOCK2)
+    table = C.materialize(C.by_bucket(back, doc_buckets, "bucket", _assemble(t), _DOC))
 
     reps = table.where("sig is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"))
     copies = table.where("sig is not null").select("doc_id", "sig", "n").join(reps, ["sig", "n"]).select("doc_id", "rep")
     copies = C.materialize(copies)
     extra = C.maybe_broadcast(copies.where("doc_id != rep").select("doc_id"))
-    own = table.select("doc_id", "n", "m", "mh", "prefix", "firsts").join(extra, "doc_id", "left_anti")
+    own = table.select("doc_id", "n", "m", "mh", "prefix", "firsts", "costs").join(extra, "doc_id", "left_anti")
     k = C.parts(own.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0], POSTINGS_A_BUCKET)
-    post = own.select("doc_id", "n", "m", "mh", F.explode(F.arrays_zip("prefix", "firsts")).alias("x")).select(F.pmod("x.firsts", F.lit(k)).cast("int").alias("bucket"), F.col("x.prefix").alias("tok"), "doc_id", "n", "m", "mh")
-    near = post.groupBy("bucket").applyInArrow(_pairs(t), _PAIR)
+    if not spanning:
+        return copies, _compared(_candidates(own.withColumn("label", F.col("doc_id")), k, t), table, t, False)
+    post = _exploded(own.withColumn("label", F.col("doc_id")), k).withColumn("side", F.lit(0))
+    links = post.repartition(min(k, C.MAX_PARTS), "bucket").groupBy("bucket").applyInArrow(_links(t), _PAIR)
+    links = links.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb", "h"), F.struct("shared", -F.col("a"))).alias("x")).select("x.a", "b", "x.na", "x.nb", "x.h")
+    links = C.materialize(_compared(links, table, t, True))
+    known = C.maybe_broadcast(C.materialize(components(links.select("a", "b"))))
+    own = own.join(known, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id"))
+    return copies, links.unionByName(_compared(_candidates(own, k, t), table, t, True))
+
+
+def _exploded(own: DataFrame, k: int) -> DataFrame:
+    x = own.select("doc_id", "n", "m", "mh", "label", F.explode(F.arrays_zip("prefix", "firsts", "costs")).alias("x"))
+    return x.select(F.pmod("x.firsts", F.lit(k)).cast("int").alias("bucket"), F.col("x.prefix").alias("tok"), "doc_id", "n", "m", "mh", "label", F.col("x.costs").alias("cost"))
+
+
+def _candidates(own: DataFrame, k: int, t: float) -> DataFrame:
+    """Pairs that share enough prefix tokens: (a, b, na, nb, h)."""
+    post = _exploded(own, k)
+    # each posting meets half of those of its token
+    work = post.groupBy("bucket").agg((F.sum(F.col("cost") - 1.0) / 2).alias("work")).where(F.col("work") > SLOTS_A_TASK)
+    hot = C.materialize(work.select("bucket", F.ceil(F.sqrt(F.col("work") / SLOTS_A_TASK)).cast("int").alias("r")))
+    post = post.drop("cost").join(C.maybe_broadcast(hot), "bucket", "left").withColumn("r", F.coalesce("r", F.lit(1)))
+    post = post.withColumn("g", F.pmod(F.xxhash64("doc_id"), "r").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("r") - 1)))
+    post = post.withColumns({"lo": F.least("g", "o"), "hi": F.greatest("g", "o")}).withColumn("side", ((F.col("lo") != F.col("hi")) & (F.col("g") == F.col("hi"))).cast("int")).drop("r", "g", "o")
+    n = min(C.MAX_PARTS, k + (hot.agg(F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0))).first()[0]))
+    near = post.repartition(n, "bucket", "lo", "hi").groupBy("bucket", "lo", "hi").applyInArrow(_pairs(t), _PAIR)
     cand = near.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *(F.first(c).alias(c) for c in ("need", "na", "nb", "h"))).where("shared >= need")
-    cand = C.materialize(cand.select("a", "b", "na", "nb", "h"))
+    return cand.select("a", "b", "na", "nb", "h")
+
+
+def _compared(cand: DataFrame, table: DataFrame, t: float, spanning: bool) -> DataFrame:
+    """The candidates that are pairs: (a, b, jaccard)."""
+    cand = C.materialize(cand)
     k = C.parts(cand.count(), PAIRS_A_BUCKET)
     cand = cand.withColumn("k", F.pmod("h", F.lit(k)).cast("int"))
-    ship = cand.select(F.col("k").alias("at"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    hot = C.materialize(cand.groupBy("k").count().where(F.col("count") > PAIRS_A_TASK).select("k", F.ceil(F.sqrt(F.col("count") / PAIRS_A_TASK)).cast("int").alias("r")))
+    r = F.coalesce("r", F.lit(1))
+    cand = cand.join(C.maybe_broadcast(hot), "k", "left").withColumns({"i": F.pmod(F.xxhash64("a"), r).cast("int"), "j": F.pmod(F.xxhash64("b"), r).cast("int")}).drop("r")
+    keys = ["k", "i", "j"]
+    ship = cand.select(*(F.col(c).alias(f"at_{c}") for c in keys), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ship = table.select("doc_id", "toks").join(C.maybe_broadcast(ship), "doc_id")
-    pairs = cand.select("k", "a", "b", "na", "nb").groupBy("k").cogroup(ship.select("at", "doc_id", "toks").groupBy("at")).applyInArrow(_verify(t, spanning), "a long, b long, jaccard double")
-    return copies, pairs
+    at = [f"at_{c}" for c in keys]
+    return cand.select(*keys, "a", "b", "na", "nb").groupBy(*keys).cogroup(ship.select(*at, "doc_id", "toks").groupBy(*at)).applyInArrow(_verify(t, spanning), "a long, b long, jaccard double")
 
 
 def jaccard_pairs(docs: DataFrame, *, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,8 +463,8 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, root) of every document with a partner; root is the smallest id of its group.
 
-    Groups are the connected components of ``jaccard_pairs``; verification keeps only edges that connect something
-    new, so that a group of g documents costs g edges here. Edge cases are those of ``jaccard_pairs``.
+    Groups are the connected components of ``jaccard_pairs``. Pairs within what is already connected aren't compared,
+    so that a group of g documents costs about g comparisons here. Edge cases are those of ``jaccard_pairs``.
     """
     copies, pairs = _join(docs, n, threshold, id_col, text_col, True)
     return components(pairs.select("a", "b").unionByName(copies.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))

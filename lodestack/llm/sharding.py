@@ -104,23 +104,17 @@ def external_shuffle(docs: DataFrame, *, seed: int = 17, bucket_bytes: int = BUC
     bucket = F.pmod(F.xxhash64(F.lit(seed), "h1", "h2", "k"), F.lit(n)).cast("int")
     d = once.select(*cols, "h1", "h2", "k", bucket.alias("b"))
 
-    def permute(batches):
-        batches = list(batches)  # a partition is a bucket, of a size that fits in memory
-        if not batches:
-            return
-        t = pa.Table.from_batches(batches)
-        del batches
-        b, h1, h2, k = (t.column(c).to_numpy() for c in ("b", "h1", "h2", "k"))
+    def permute(t: pa.Table):
+        bucket = t.column("b")[0].as_py()
+        h1, h2, k = (t.column(c).to_numpy() for c in ("h1", "h2", "k"))
         t = t.select(cols)
-        for bucket in np.unique(b).tolist():
-            at = np.flatnonzero(b == bucket)
-            at = at[np.lexsort((k[at], h2[at], h1[at]))][fisher_yates(len(at), seed, bucket)]
-            for i in range(0, len(at), ROWS_OUT):
-                own = t.take(pa.array(at[i : i + ROWS_OUT])).combine_chunks()
-                own = own.append_column("shard", pa.array(np.full(own.num_rows, bucket, np.int32))).append_column("position", pa.array(np.arange(i, i + own.num_rows, dtype=np.int64)))
-                yield from own.rename_columns(schema.names).to_batches()
-
-    return d.repartitionById(n, F.col("b")).mapInArrow(permute, schema)
+        at = np.lexsort((k, h2, h1))[fisher_yates(len(k), seed, bucket)]
+        for i in range(0, len(at), ROWS_OUT):
+            own = t.take(pa.array(at[i : i + ROWS_OUT])).combine_chunks()
+            own = own.append_column("shard", pa.array(np.full(own.num_rows, bucket, np.int32))).append_column("position", pa.array(np.arange(i, i + own.num_rows, dtype=np.int64)))
+            yield from own.rename_columns(schema.names).to_batches()
+
+    return C.by_bucket(d, n, "b", permute, schema)
 
 
 def write_shards(docs: DataFrame, path: str, *, seed: int = 17, shard_col: str = "shard", **kw) -> None:

@@ -145,7 +145,8 @@ def test_cuts_against_brute_force():
     rng = np.random.default_rng(3)
     h = rng.dirichlet(np.ones(32) * 5, 60)
     h[20:] = rng.dirichlet(np.ones(32) * 0.3, 40)
-    assert M.cuts(h).tolist() == brute_cuts(h.tolist(), M.RADIUS, M.FACTOR, M.LEAST)
+    for radius in (0, 1, 5, M.RADIUS, 80):
+        assert M.cuts(h, radius).tolist() == brute_cuts(h.tolist(), radius, M.FACTOR, M.LEAST)
     assert M.cuts(np.zeros((0, 32))).tolist() == M.cuts(np.zeros((1, 32))).tolist() == []
 
 
@@ -174,6 +175,40 @@ def test_query_finds_every_turn(spark, sf_dir):
     assert sorted(got) == sorted(want)
 
 
+def test_long_codes_and_values():
+    """Sharp images at high quality have values beyond the 16 bits of a lookup."""
+    x = (np.random.default_rng(4).integers(0, 2, (3, 24, 40)) * 255).astype(np.uint8)
+    frames = M.encode_frames(x, 98)
+    for f, got, want in zip(frames, M.decode_frames(frames), x):
+        assert np.abs(got[0].astype(int) - reference_decode(f)).max() <= 1 and np.abs(got[0].astype(int) - want).mean() < 4
+
+
+def test_slices_of_a_long_film():
+    """Memory is bounded by the slice, not by the film, and slices change nothing."""
+    import tracemalloc
+
+    x = images(40, 64, 64)
+    frames = M.encode_frames(x) * 30
+    raw = pa.array([M.write_avi([*frames, b"junk"], 64, 64)], pa.binary())
+    whole = M.clips_of(raw, pixels=1 << 30)
+    tracemalloc.start()
+    small = M.clips_of(raw, pixels=1 << 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert small == whole and whole[0][-1][2] == 1200 and whole[0][-1][5] == 1
+    assert peak < 24 << 20  # 1200 frames of 64 x 64 have 5 million pixels, of 20 bytes each while they are decoded
+
+
+def test_later_segments_without_open_dml_index():
+    """idx1 covers the first RIFF only; frames of an AVIX segment are walked."""
+    frames = M.encode_frames(images(5))
+    body = b"".join(b"00dc" + struct.pack("<I", len(f)) + f + b"\0" * (len(f) & 1) for f in frames[3:])
+    movi = b"LIST" + struct.pack("<I", 4 + len(body)) + b"movi" + body
+    avix = b"RIFF" + struct.pack("<I", 4 + len(movi)) + b"AVIX" + movi
+    v = M.parse_avi(M.write_avi(frames[:3], 37, 21) + avix)
+    assert v.frames == frames and v.indexed
+
+
 def test_mixed_geometry_in_one_batch():
     a, b = M.encode_frames(images(2, 16, 16)), M.encode_frames(images(3, 40, 24), 50)
     rows, at = M.clips_of(pa.array([M.write_avi(a, 16, 16), M.write_avi(b + [b"junk"], 24, 40)], pa.binary()))

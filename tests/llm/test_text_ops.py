@@ -66,6 +66,60 @@ def test_join_against_brute_force(spark, t, n):
     assert got == brute_pairs(rows, t, n)
 
 
+def groups_of(pairs):
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {v: find(v) for v in root}
+
+
+@pytest.mark.parametrize("divided", [False, True])
+def test_groups_against_brute_force(spark, monkeypatch, divided):
+    """Chains, copies and hot passages: groups are the components of all pairs, and divided buckets lose none."""
+    if divided:
+        monkeypatch.setattr(J, "SLOTS_A_TASK", 300)
+        monkeypatch.setattr(J, "PAIRS_A_TASK", 10)
+        monkeypatch.setattr(J, "TOKENS_A_BUCKET", 500)
+        monkeypatch.setattr(C, "MAX_PARTS", 3)
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for g in range(6):
+        text = rng.choice(words, 60).tolist()
+        for c in range(14):  # a chain: each differs from the last in a few words, so the ends share little
+            at = int(rng.integers(0, 56))
+            text[at : at + 4] = rng.choice(words, 4).tolist()
+            rows.append((len(rows), " ".join(text)))
+    passage = " ".join(rng.choice(words, 30))
+    rows += [(200 + i, passage + " " + " ".join(rng.choice(words, 40))) for i in range(30)]
+    base = rng.choice(words, 50).tolist()
+    for i in range(40):
+        own = list(base)
+        own[int(rng.integers(0, 50))] = f"own{i}"
+        rows.append((300 + i, " ".join(own)))
+    rows += [(400 + i, rows[i][1]) for i in range(0, 20, 4)]
+    d = frame(spark, rows)
+    want = brute_pairs(rows, 0.5)
+    assert {(a, b): s for a, b, s in J.jaccard_pairs(d).collect()} == want
+    assert {r["doc_id"]: r["root"] for r in J.near_duplicates(d).collect()} == groups_of(want)
+
+
+def test_buckets_share_partitions_beyond_the_limit(spark):
+    d = spark.range(1000).selectExpr("cast(id % 37 as int) as b", "id")
+    fn = lambda t: pa.table({"b": t.column("b").slice(0, 1), "n": pa.array([t.num_rows], pa.int64()), "s": pa.array([sum(t.column("id").to_pylist())], pa.int64())}).to_batches()
+    want = sorted((b, len(v := range(b, 1000, 37)), sum(v)) for b in range(37))
+    for parts in (37, 5, 1):
+        got = C.by_bucket(d, 37, "b", fn, "b int, n long, s long", parts)
+        assert sorted(map(tuple, got.collect())) == want and got.rdd.getNumPartitions() == parts
+
+
 def test_join_edges(spark):
     rows = [(1, None), (None, "a b c d"), (2, ""), (3, "one"), (4, "One!"), (5, "a b c d"), (6, "A b, c d"), (7, LONG), (8, LONG + " tail"), (9, "?!"), (5, "a b c d")]
     got = {(a, b): s for a, b, s in J.jaccard_pairs(frame(spark, rows)).collect()}
@@ -206,6 +260,67 @@ def test_fertility_bands(spark):
     assert fertility.fertility_report(d.limit(0)).count() == fertility.filter_fertility(d.limit(0)).count() == 0
 
 
+def brute_bands(rows):
+    """Verdicts in plain Python: rows of (octave, lang, n_tokens, measures by name)."""
+    def group(level, lang, o):
+        for o2, l2, n, m in rows:
+            if n >= fertility.MIN_TOKENS and (l2 == lang or level == 4) and (level == 3 or abs(o2 - o) <= (0, *fertility.WIDER, 0, 0)[level]):
+                yield m
+
+    def verdict(o, lang, n, m):
+        if n < fertility.MIN_TOKENS:
+            return True
+        for level in range(5):
+            own = list(group(level, lang, o))
+            if len(own) >= fertility.MIN_GROUP:
+                break
+        else:
+            return True
+        for k, x in m.items():
+            name = k.rsplit("_", 1)[0]
+            if level == 4 and name != "entropy":
+                continue
+            v = sorted(y[k] for y in own)
+            lo, hi = v[math.ceil(len(v) / 4) - 1], v[math.ceil(3 * len(v) / 4) - 1]
+            wide = max(fertility.SPREAD * (hi - lo), fertility.FLOOR[name])
+            if not lo - wide <= x <= hi + wide:
+                return False
+        return True
+
+    return [verdict(*r) for r in rows]
+
+
+def test_verdicts_against_brute_force(spark, sf_dir):
+    """Measures, bands and verdicts of all documents of two sizes, recomputed text by text."""
+    for at in (sf_dir, sf_dir.replace("0.001", "0.01")):
+        docs = spark.read.parquet(f"{at}/documents.parquet")
+        rows, ids = [], []
+        vs = {v: tokens.vocabulary(p) for v, p in fertility.VOCABULARIES.items()}
+        for r in docs.collect():
+            m, n = {}, None
+            for v, voc in vs.items():
+                n = len(voc.encode([r["text"] or ""])[0]) if n is None else n
+                m |= {f"{k}_{v}": x for k, x in zip(fertility.MEASURES, brute_measure(r["text"], voc))}
+            rows.append((int(math.log2(max(n, 1))), r["lang"] or "und", n, m))
+            ids.append(r["doc_id"])
+        got = {r["doc_id"]: r["accepted"] for r in fertility.fertility_report(docs).collect()}
+        want = dict(zip(ids, brute_bands(rows)))
+        assert got == want and not all(want.values())
+        assert sorted(r["doc_id"] for r in fertility.filter_fertility(docs).collect()) == sorted(i for i, a in want.items() if a)
+
+
+def test_fertility_of_clashing_columns_and_long_texts(spark):
+    words = "time year people way day man thing woman life child world school state family".split()
+    rng = np.random.default_rng(6)
+    one = lambda n: " ".join(rng.choice(words, n))
+    rows = [(i, one(90), "en", "x", 1.5, 7, "c") for i in range(40)] + [(41, LONG, "en", "y", None, None, None), (41, LONG, None, "y", 0.1, 1, "d"), (None, None, None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, octave string, entropy_piece double, c0 int, lo_entropy_piece string")
+    kept = fertility.filter_fertility(d)
+    ok = [r["accepted"] for r in fertility.fertility_report(d).collect()]
+    assert kept.columns == d.columns and kept.count() == sum(ok) >= 41
+    assert set(map(tuple, kept.collect())) <= set(rows)
+
+
 def test_small_groups_take_wider_bands(spark):
     """Junk of a length or language of few documents is rejected, and what is like the rest there is kept."""
     rng = np.random.default_rng(3)
