@@ -1,7 +1,7 @@
 """Rule-based reading of reports: sections, labels with negation and uncertainty, severity, measurements, advice.
 
-Mentions are found without user code: a surface form is a literal, so splitting the text at it gives every mention's
-offset from the lengths of the pieces. All forms are small driver-side tables.
+Mentions are found without user code: each surface form is a regular expression of its own, fixed in the plan, which
+yields what stands before and after every mention. A report is read in one projection, without explosion, shuffle or join.
 """
 
 from __future__ import annotations
@@ -56,12 +56,6 @@ def scope_before(before: Column) -> Column:
     return F.regexp_replace(s, r"(?s)^.*\b(?:" + "|".join(TERMINATION) + r")\b", "")
 
 
-def classify(before: Column, after: Column) -> Column:
-    """1 present, 0 absent, -1 in doubt; doubt wins over negation."""
-    b = scope_before(before)
-    return F.when(any_of(b, UNCERTAIN) | any_of(after, UNCERTAIN), -1).when(any_of(b, NEGATION), 0).otherwise(1)
-
-
 def severity_of(context: Column) -> Column:
     out = F.lit(None).cast("int")
     for g in sorted(SEVERITY):
@@ -69,32 +63,40 @@ def severity_of(context: Column) -> Column:
     return out
 
 
-def mentions(reports: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, finding, verdict, grade) of every mention of a surface form as whole words."""
-    forms = F.array(*(F.struct(F.lit(f).alias("finding"), F.lit(w).alias("form")) for f, ws in sorted(VOCABULARY.items()) for w in ws))
-    t = F.col("__low")
-    d = reports.select(key, F.lower(F.col(text)).alias("__low")).select(key, "__low", F.explode(F.filter(forms, lambda x: t.contains(x["form"]))).alias("f"))
-    ps = F.split("__low", F.concat(F.lit(r"\b"), F.col("f.form"), F.lit(r"\b")))
-    d = d.withColumn("__ps", ps).where(F.size("__ps") > 1).select(key, "__low", "f.finding", "f.form", "__ps", F.explode(F.sequence(F.lit(1), F.size("__ps") - 1)).alias("__k"))
-    d = d.withColumn("__prefix", F.array_join(F.slice("__ps", F.lit(1), F.col("__k")), "\u0003")).withColumn("__prefix", F.replace("__prefix", F.lit("\u0003"), F.col("form")))
-    d = d.select(key, "finding", F.right("__prefix", F.lit(SCOPE)).alias("before"), F.right("__prefix", F.lit(GRADE_SCOPE)).alias("near"), F.substr("__low", F.length("__prefix") + F.length("form") + 1, F.lit(AFTER)).alias("after"))
-    d = d.withColumn("verdict", classify(F.col("before"), F.col("after")))
-    return d.select(key, "finding", "verdict", F.when(F.col("verdict") == 1, severity_of(F.col("near"))).alias("grade"))
+def _mentions(low: Column, form: str) -> Column:
+    """Array of (b: clause before, near, after) of the whole-word mentions of a form in a lower-case text."""
+    around = rf"(?s)\b{form}\b(?<=(\A.{{0,{SCOPE - 1}}}|.{{{SCOPE}}}){form})(?=(.{{0,{AFTER}}}))"
+    found = [F.regexp_extract_all(low, F.lit(around), F.lit(k)) for k in (1, 2)]
+    each = F.zip_with(*found, lambda before, after: F.struct(scope_before(before).alias("b"), F.right(before, F.lit(GRADE_SCOPE)).alias("near"), after.alias("after")))
+    return F.when(low.contains(form), each).otherwise(F.array().cast("array<struct<b:string,near:string,after:string>>"))
 
 
-def labels(reports: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, finding, label, severity): of several mentions present beats doubt beats absent."""
-    rank = F.when(F.col("verdict") == 1, 3).when(F.col("verdict") == -1, 2).otherwise(1)
-    g = mentions(reports, key, text).groupBy(key, "finding").agg(F.max(rank).alias("r"), F.max("grade").alias("severity"))
-    return g.select(key, "finding", F.when(F.col("r") == 3, 1).when(F.col("r") == 2, -1).otherwise(0).alias("label"), "severity")
+def _verdict(m: Column) -> Column:
+    """1 present, 0 absent, -1 in doubt; doubt wins over negation."""
+    return F.when(any_of(m["b"], UNCERTAIN) | any_of(m["after"], UNCERTAIN), -1).when(any_of(m["b"], NEGATION), 0).otherwise(1)
+
+
+def finding(low: Column, name: str) -> Column:
+    """(label, severity) of a finding; of several mentions present beats doubt beats absent. Null without a mention."""
+    def more(acc: Column, m: Column) -> Column:
+        return F.struct(F.greatest(acc["r"], F.when(m["v"] == 1, 3).when(m["v"] == -1, 2).otherwise(1)).alias("r"), F.greatest(acc["severity"], F.when(m["v"] == 1, severity_of(m["near"]))).alias("severity"))
+
+    rated = F.transform(F.concat(*(_mentions(low, form) for form in VOCABULARY[name])), lambda m: F.struct(_verdict(m).alias("v"), m["near"].alias("near")))
+    first = F.struct(F.lit(0).alias("r"), F.lit(None).cast("int").alias("severity"))
+    return F.aggregate(rated, first, more, lambda acc: F.struct(F.when(acc["r"] == 3, 1).when(acc["r"] == 2, -1).when(acc["r"] == 1, 0).alias("label"), acc["severity"].alias("severity")))
 
 
 def label_matrix(reports: DataFrame, key: str, text: str) -> DataFrame:
     """One row a report: label_<finding> and severity_<finding>, null where nothing is mentioned."""
     names = sorted(VOCABULARY)
-    p = labels(reports, key, text).groupBy(key).pivot("finding", names).agg(F.first("label").alias("label"), F.first("severity").alias("severity"))
-    p = p.select(key, *(F.col(f"{n}_{k}").alias(f"{k}_{n}") for n in names for k in ("label", "severity")))
-    return reports.select(key).join(p, key, "left")
+    d = reports.select(key, F.lower(F.col(text)).alias("low")).select(key, *(finding(F.col("low"), n).alias(f"f_{n}") for n in names))
+    return d.select(key, *(F.col(f"f_{n}.{k}").alias(f"{k}_{n}") for n in names for k in ("label", "severity")))
+
+
+def labels(reports: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, finding, label, severity) of the findings that a report mentions."""
+    each = F.array(*(F.struct(F.lit(n).alias("finding"), F.col(f"label_{n}").alias("label"), F.col(f"severity_{n}").alias("severity")) for n in sorted(VOCABULARY)))
+    return label_matrix(reports, key, text).select(key, F.explode(F.filter(each, lambda x: x["label"].isNotNull())).alias("x")).select(key, "x.*")
 
 
 def measurements(text: Column) -> Column:
@@ -111,10 +113,10 @@ def recommendations(text: Column) -> Column:
 
 def parse_reports(reports: DataFrame, key: str, text: str) -> DataFrame:
     """Everything of a report in one row: sections, texts, labels, severities, measurements, recommendations, n_chars."""
+    names = sorted(VOCABULARY)
     d = reports.select(key, F.col(text).alias("__t")).withColumn("sections", sections(F.col("__t")))
-    d = d.withColumn("__l", label_text(F.col("__t"), F.col("sections")))
-    m = label_matrix(d, key, "__l")
+    d = d.withColumn("__low", F.lower(label_text(F.col("__t"), F.col("sections"))))
     s = F.col("sections")
-    d = d.select(key, "sections", F.coalesce(s["findings"], F.lit("")).alias("findings_text"), F.coalesce(s["impression"], s["conclusion"], F.lit("")).alias("impression_text"), measurements(F.col("__t")).alias("measurements"), recommendations(F.col("__t")).alias("recommendations"), F.length("__t").alias("n_chars"))
-    out = d.join(m, key)
-    return out.withColumn("positive_findings", F.array_compact(F.array(*(F.when(F.col(f"label_{n}") == 1, F.lit(n)) for n in sorted(VOCABULARY)))))
+    d = d.select(key, "sections", F.coalesce(s["findings"], F.lit("")).alias("findings_text"), F.coalesce(s["impression"], s["conclusion"], F.lit("")).alias("impression_text"), measurements(F.col("__t")).alias("measurements"), recommendations(F.col("__t")).alias("recommendations"), F.length("__t").alias("n_chars"), *(finding(F.col("__low"), n).alias(f"f_{n}") for n in names))
+    out = d.select("*", *(F.col(f"f_{n}.{k}").alias(f"{k}_{n}") for n in names for k in ("label", "severity"))).drop(*(f"f_{n}" for n in names))
+    return out.withColumn("positive_findings", F.array_compact(F.array(*(F.when(F.col(f"label_{n}") == 1, F.lit(n)) for n in names))))
