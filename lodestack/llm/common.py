@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -77,6 +78,16 @@ def maybe_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Give freed memory back to the system, so that a Python worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 #: Partitions of one shuffle by bucket; beyond it a partition holds neighbouring buckets, one after another.
 MAX_PARTS = 20_000
 
@@ -102,14 +113,19 @@ def by_bucket(df: DataFrame, n: int, bucket: str, fn, schema, max_parts: int | N
                 if s == e:
                     continue
                 if held and key[s] != now:
-                    yield from fn(pa.Table.from_batches(held))
+                    t = pa.Table.from_batches(held)
                     held = []
+                    yield from fn(t)
+                    del t
+                    trim()
                 now = key[s]
                 held.append(b.slice(s, e - s))
         if held:
             t = pa.Table.from_batches(held)
             del held, batches
             yield from fn(t)
+            del t
+            trim()
 
     return d.mapInArrow(run, schema)
 

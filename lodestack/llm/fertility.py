@@ -77,6 +77,7 @@ def _measures(docs: DataFrame, vocabs: dict[str, str], id_col: str, text_col: st
                     cols.append(pa.array(x))
                     names.append(f"{k}_{v}")
             yield pa.record_batch(cols, names=names)
+            C.trim()
 
     fields = ", ".join(f"n_tokens_{v} long, " + ", ".join(f"{m}_{v} double" for m in MEASURES) for v in vocabs)
     return d.mapInArrow(run, f"doc_id {kind}, lang string, octave int, {fields}")
@@ -150,6 +151,7 @@ def filter_fertility(docs: DataFrame, *, vocabs: dict[str, str] = VOCABULARIES,
                     cols += [pa.array(_octave(m["n_tokens"])), pa.array(m["n_tokens"])]
                 cols += [pa.array(m[x]) for x in MEASURES]
             yield pa.record_batch(cols, names=schema.names)
+            C.trim()
 
     measures = [f"{m}_{v}" for v, m in _names(vocabs)]
     schema = T.StructType([*d.schema, T.StructField("lang", T.StringType()), T.StructField("octave", T.IntegerType()), T.StructField(f"n_tokens_{first}", T.LongType()), *(T.StructField(m, T.DoubleType()) for m in measures)])

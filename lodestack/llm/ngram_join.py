@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from . import common as C
 
 U = np.uint64
-TOKENS_A_BUCKET = 2_500_000
-DOCS_A_BUCKET = 12_000
+TOKENS_A_BUCKET = 1_500_000
+DOCS_A_BUCKET = 8_000
 PAIRS_A_BUCKET = 6_000
 POSTINGS_A_BUCKET = 400_000
 #: Rows whose n-grams one worker holds at a time, and partner slots it expands at a time.
-ROWS_AT_ONCE = 2_000
+ROWS_AT_ONCE = 1_000
 SLOTS_AT_ONCE = 1_000_000
 #: Partner slots, by estimate, and candidates, that one task of a bucket takes before the bucket is divided.
 SLOTS_A_TASK = 40_000_000

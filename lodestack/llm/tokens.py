@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common as C
+
 DEFAULT_DIR = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -82,8 +84,8 @@ def _gather(ids: np.ndarray, start: np.ndarray, n: np.ndarray, rows: np.ndarray)
 
 
 #: Rows whose words are encoded together, and rows whose tokens are held at a time.
-ROWS_OF_WORDS = 5_000
-ROWS_OF_TOKENS = 250
+ROWS_OF_WORDS = 1_000
+ROWS_OF_TOKENS = 100
 
 
 def encode(texts: pa.Array, vocab: Vocabulary):
@@ -160,5 +162,6 @@ def count_tokens(paths: str):
         for b in batches:
             n = count(b.column(0), vocab)
             yield pa.record_batch([pa.array(n), *b.columns[1:]], names=["n_tokens", *b.schema.names[1:]])
+            C.trim()
 
     return run

@@ -463,6 +463,50 @@ def test_reputation_edges(spark):
     assert len(none) == 12 and {r["posterior_mean"] for r in none} == {0.5}
 
 
+def plain_suffix(host, rules):
+    """The public suffix algorithm as published, over all rules."""
+    labels, best, exception = host.split("."), (0, 0), None
+    for r in rules:
+        own = r.lstrip("!").split(".")
+        if len(own) <= len(labels) and all(a in ("*", b) for a, b in zip(own, labels[-len(own) :])):
+            if r.startswith("!"):
+                exception = len(own) - 1
+            best = max(best, (len(own), 0))
+    return ".".join(labels[-(exception or best[0] or 1) :])
+
+
+def test_public_suffixes(spark):
+    rules = url_reputation.public_suffixes()
+    assert len(rules) > 9000
+    hosts = ["a.example.edu.au", "edu.au", "example.edu.au", "x.y.com", "com", "www.ck", "a.www.ck", "b.ck", "a.b.ck", "ck", "city.kobe.jp", "a.city.kobe.jp", "x.kobe.jp", "a.x.kobe.jp", "me.github.io", "a.me.github.io", "no-such-tld", "a.no-such-tld", "b.c.no-such-tld", "a.com.pl", "gov.au", "s3.amazonaws.com", "b.s3.amazonaws.com", "xn--55qx5d.cn", "a.xn--55qx5d.cn", "x.公司.cn", "ide.kyoto.jp", "k.ide.kyoto.jp"]
+    rng = np.random.default_rng(1)
+    for r in rng.choice(rules, 400).tolist():
+        hosts += [x for x in (r.replace("*", "w").lstrip("!"), "a." + r.replace("*", "w").lstrip("!"), "b.a." + r.replace("*", "w").lstrip("!"))]
+    got = {r["host"]: r for r in url_reputation.with_domains(spark.createDataFrame([(h,) for h in hosts], "host string"), rules).collect()}
+    for h in hosts:
+        s = plain_suffix(h, rules)
+        assert got[h]["suffix"] == s and got[h]["domain"] == ".".join(h.split(".")[-(s.count(".") + 2) :]), h
+
+
+def test_beta_quantile():
+    rng = np.random.default_rng(0)
+    for a, b in ((1.0, 1.0), (2.0, 3.0), (0.3, 0.7), (50.0, 2.0), (400.0, 600.0), (90_000.0, 10_000.0), (3.0, 0.02)):
+        got = float(url_reputation.beta_quantile(0.05, np.array([a]), np.array([b]))[0])
+        assert 0 <= got <= 1 and abs((rng.beta(a, b, 200_000) <= got).mean() - 0.05) < 0.003
+    assert url_reputation.beta_quantile(0.05, np.array([0.05]), np.array([3.0]))[0] < 1e-12  # a bound of rare outcomes isn't below 0
+    assert url_reputation.beta_quantile(0.05, np.array([1.0]), np.array([1.0]))[0] == pytest.approx(0.05)
+    assert url_reputation.beta_quantile(0.05, np.array([4.0]), np.array([1.0]))[0] == pytest.approx(0.05 ** (1 / 4))
+
+
+def test_reputation_by_url_and_long_urls(spark):
+    long = "http://h.example.com/" + "x" * 1_000_000
+    p = spark.createDataFrame([(1, long, "a"), (2, "http://h.example.com/2", "b"), (3, None, "c")], "page_id long, url string, suffix string")
+    by_url = spark.createDataFrame([(long, 1), ("http://h.example.com/2", 1), (None, 0), ("http://h.example.com/", None)], "url string, good int")
+    by_id = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "page_id long, good int")
+    a, b = (sorted(map(tuple, url_reputation.host_reputation(p, o).collect())) for o in (by_url, by_id))
+    assert a == b and a[0][1:6] == ("h.example.com", "example.com", "com", 2, 2) and a[2][4] == 0
+
+
 def test_filters_hold_planted_cases(spark, sf_dir):
     """Copies with one word changed are found, and texts that share one passage of 60 words are left alone."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars between 2000 and 8000 and lang = 'en'").limit(20).collect()
