@@ -122,5 +122,18 @@ def audit(df: DataFrame, attributes: Sequence[str], outcomes: Sequence[str] = ()
     return rep, dis
 
 
-def cramers_v(chi: Column, n: Column, k: Column) -> Column:
-    return F.when(n == 0, 0.0).otherwise(F.sqrt(chi / (n * F.greatest(k - 1, F.lit(1)))))
+def cramers_v(df: DataFrame, rows: str, columns: str) -> DataFrame:
+    """One row: n, chi-square and Cramer's V of a two-way table; 0 without rows. Null is a value of its own.
+
+    The table is aggregated, so the driver and single tasks see only its cells.
+    """
+    cell = df.groupBy(F.col(rows).alias("r"), F.col(columns).alias("c")).agg(F.count("*").cast("double").alias("n"))
+    of = lambda k: cell.groupBy(F.col(k).alias(f"{k}2")).agg(F.sum("n").alias(f"n{k}"))
+    r, c, total = of("r"), of("c"), cell.agg(F.sum("n").alias("total"))
+    # empty cells add their expectation: the sum over all cells of observed squared by expected, less the total
+    x = cell.join(F.broadcast(r), F.col("r").eqNullSafe(F.col("r2"))).join(F.broadcast(c), F.col("c").eqNullSafe(F.col("c2"))).crossJoin(F.broadcast(total))
+    x = x.agg(F.sum(F.col("n") * F.col("n") * F.col("total") / (F.col("nr") * F.col("nc"))).alias("s"), F.max("total").alias("total"))
+    k = r.agg(F.count("*").alias("kr")).crossJoin(c.agg(F.count("*").alias("kc")))
+    chi = F.coalesce(F.col("s") - F.col("total"), F.lit(0.0))
+    v = F.when(F.col("total") > 0, F.sqrt(F.greatest(chi, F.lit(0.0)) / (F.col("total") * F.greatest(F.least(F.col("kr"), F.col("kc")) - 1, F.lit(1))))).otherwise(0.0)
+    return x.crossJoin(k).select(F.coalesce("total", F.lit(0.0)).cast("long").alias("n"), F.round(chi, 4).alias("statistic"), F.round(v, 4).alias("effect_size"))

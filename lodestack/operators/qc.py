@@ -240,6 +240,3 @@ def deidentify(df: DataFrame, keep_uids: bool = True, tags: Sequence[str] = PHI_
     blank = {t: F.when(F.col(t).isNotNull(), F.lit("")) for t in tags if t in df.columns and t not in kept}
     return df.withColumns({**blank, "PatientIdentityRemoved": F.lit("YES"), "DeidentificationMethod": F.lit("basic profile subset (PS3.15 Annex E)")})
 
-
-def severity_table(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("severity").agg(F.count("*").alias("n"))

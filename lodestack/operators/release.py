@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +18,21 @@ def file_entries(df: DataFrame, path: str, sha: str, size: str, owner: str, item
 
 
 def dataset_hash(entries: DataFrame, path: str = "path", sha: str = "sha256") -> DataFrame:
-    """One row: sha256 of the sorted lines "path:sha". The lines of a release's manifest meet in one task, as in the
-    file that lists them; for partitioned hashes of larger sets see ``partition_hashes``."""
-    line = F.concat_ws(":", path, sha)
-    return entries.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("dataset_hash"))
-
-
-def partition_hashes(entries: DataFrame, partitions: int = 256, path: str = "path", sha: str = "sha256") -> DataFrame:
-    """(part, n, part_hash): hashes of the sorted lines by hash of the path, so that no task holds all of them."""
-    line = F.concat_ws(":", path, sha)
-    part = F.pmod(F.xxhash64(path), F.lit(partitions)).cast("int")
-    return entries.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("part_hash"))
+    """One row: sha256 of the sorted lines "path:sha", joined by line ends.
+
+    Lines are sorted by range over all tasks; one task then reads the ranges in order and hashes them as a stream, so the
+    hash is that of the whole list while no task ever holds it.
+    """
+    def run(batches):
+        h, first = hashlib.sha256(), True
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                h.update(("" if first else "\n").encode() + x.encode())
+                first = False
+        yield pa.record_batch([pa.array([h.hexdigest()])], names=["h"])
+
+    lines = entries.select(F.concat_ws(":", path, sha).alias("line")).orderBy("line")
+    return lines.coalesce(1).mapInArrow(run, "h string").agg(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("dataset_hash"))
 
 
 def totals(df: DataFrame, sha: str, size: str, owner: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,7 @@ def normalised(df: DataFrame, key: str, values: str, method: str = "zscore", lo:
 
 
 def display_normalise(sorted_values: Column, x: Column) -> Column:
+    """x between the 1st and 99th percentile, scaled to 0 to 1 for display; 0 where they are equal."""
     a, b = percentile_of(sorted_values, 0.01), percentile_of(sorted_values, 0.99)
     return F.when(b > a, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - a) / (b - a)))).otherwise(0.0)
 
@@ -55,22 +58,55 @@ def surface(mask: DataFrame, key: str, axes: tuple[str, ...]) -> DataFrame:
     return mask.join(full, [key, *axes], "left_anti")
 
 
+#: Points whose nearest ones are sought together.
+BLOCK = 256
+
+
+def nearest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distance of each point of x to the nearest of y, exact: sorted blocks meet only what lies near along one axis.
+
+    The axis is that of the widest spread. A block's window around it doubles until no point beyond can be nearer.
+    """
+    axis = int(np.argmax(np.ptp(y, axis=0)))
+    y = y[np.argsort(y[:, axis], kind="stable")]
+    order = np.argsort(x[:, axis], kind="stable")
+    out = np.empty(len(x))
+    step = max(float(np.ptp(y[:, axis])) / 64, 1e-9)
+    for i in range(0, len(x), BLOCK):
+        todo, width = order[i : i + BLOCK], step
+        while len(todo):
+            own = x[todo]
+            s, e = int(np.searchsorted(y[:, axis], own[0, axis] - width, "left")), int(np.searchsorted(y[:, axis], own[-1, axis] + width, "right"))
+            best = np.full(len(todo), np.inf)
+            for k in range(s, e, 4096):
+                d = np.zeros((len(todo), min(4096, e - k)))
+                for c in range(x.shape[1]):
+                    d += (own[:, c, None] - y[None, k : min(k + 4096, e), c]) ** 2
+                best = np.minimum(best, d.min(1))
+            best = np.sqrt(best)
+            done = (best <= width) | (s == 0 and e == len(y))
+            out[todo[done]] = best[done]
+            todo, width = todo[~done], width * 2
+    return out
+
+
 def hausdorff95(pred: DataFrame, target: DataFrame, key: str, axes: tuple[str, ...], spacing: tuple[float, ...] | None = None) -> DataFrame:
     """(key, hd95): the larger of the 95th percentiles of nearest distances both ways; infinite if one mask is empty.
 
-    Keys of neither mask don't occur (distance 0 by definition). Nearest points are sought within a key.
+    Keys of neither mask don't occur (distance 0 by definition). The surface points of a key meet in one task, which
+    compares near ones only.
     """
-    spacing = spacing or (1.0,) * len(axes)
-    a, b = (surface(m, key, axes).select(key, *axes) for m in (pred, target))
+    scale = np.array(spacing or (1.0,) * len(axes))
+    a, b = (surface(m, key, axes).select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(axes)), F.lit(k).alias("side")) for k, m in enumerate((pred, target)))
 
-    def one(x: DataFrame, y: DataFrame) -> DataFrame:
-        d2 = sum((((F.col(f"x.{c}") - F.col(f"y.{c}")) * s) ** 2 for c, s in zip(axes, spacing)), F.lit(0.0))
-        j = x.alias("x").join(y.alias("y"), key).groupBy(key, *(F.col(f"x.{c}").alias(c) for c in axes)).agg(F.min(d2).alias("d2"))
-        return j.groupBy(key).agg(F.percentile(F.sqrt("d2"), 0.95).alias("h"))
+    def one(t: pa.Table) -> pa.Table:
+        xs, side = np.column_stack([t.column(f"x{i}").to_numpy() for i in range(len(scale))]) * scale, t.column("side").to_numpy()
+        x, y = xs[side == 0], xs[side == 1]
+        h = max(float(np.percentile(nearest(p, q), 95)) for p, q in ((x, y), (y, x))) if len(x) and len(y) else float("inf")
+        return pa.table({"key": t.column("key").slice(0, 1), "h": pa.array([h])})
 
-    keys = a.select(key, F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(b.select(key, F.lit(0).alias("p"), F.lit(1).alias("t"))).groupBy(key).agg(F.max("p").alias("p"), F.max("t").alias("t"))
-    j = keys.join(one(a, b).withColumnRenamed("h", "h1"), key, "left").join(one(b, a).withColumnRenamed("h", "h2"), key, "left")
-    return j.select(key, F.round(F.when((F.col("p") == 1) & (F.col("t") == 1), F.greatest("h1", "h2")).otherwise(float("inf")), 6).alias("hd95"))
+    kind = pred.schema[key].dataType.simpleString()
+    return a.unionByName(b).groupBy("key").applyInArrow(one, f"key {kind}, h double").select(F.col("key").alias(key), F.round("h", 6).alias("hd95"))
 
 
 def evaluate(voxels: DataFrame, key: str, axes: tuple[str, ...], pred: str, target: str, spacing: tuple[float, ...] | None = None) -> DataFrame:
@@ -115,9 +151,13 @@ def best_slice(voxels: DataFrame, key: str, axis: str, labelled: Column, n: Colu
     return g.groupBy(key).agg(top.alias("t"), F.first("n").alias("n")).select(key, F.when(F.col("t.c") > 0, -F.col("t.a")).otherwise(F.floor(F.col("n") / 2)).cast("long").alias("slice"))
 
 
-def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
-    """(bin, n) of equal-width bins between the least and largest finite value; the last bin is closed."""
+def histogram(df: DataFrame, value: str, bins: int = 30, median: bool = False) -> DataFrame:
+    """(bin, n) of equal-width bins between the least and largest finite value; the last bin is closed.
+
+    With ``median`` also has_median, which marks the bin that the median would fall in.
+    """
     d = df.where(~F.isnan(F.col(value).cast("double")) & (F.abs(value) < float("inf"))).select(F.col(value).cast("double").alias("v"))
-    e = d.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    b = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)))).otherwise(0)
-    return d.crossJoin(F.broadcast(e)).groupBy(b.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    e = d.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), *([F.percentile("v", 0.5).alias("mid")] if median else []))
+    b = lambda v: F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col(v) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)))).otherwise(0).cast("long")
+    marks = [F.max(b("mid") == b("v")).alias("has_median")] if median else []
+    return d.crossJoin(F.broadcast(e)).groupBy(b("v").alias("bin")).agg(F.count("*").alias("n"), *marks)

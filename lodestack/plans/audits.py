@@ -116,3 +116,12 @@ FROM d JOIN m USING (label) JOIN a USING (label) GROUP BY 1""")
 def slice_continuity(t: Tables) -> DataFrame:
     d = quality.slice_differences(t.embeddings, "label", "vec_id", "embedding")
     return quality.with_continuity(d, "diffs", "c").select("label", F.round("c", 4).alias("continuity"))
+
+
+@query("""
+WITH c AS (SELECT lang AS r, source AS c, count(*)::double AS n FROM documents GROUP BY ALL), nr AS (SELECT r, sum(n) AS nr FROM c GROUP BY 1), nc AS (SELECT c, sum(n) AS nc FROM c GROUP BY 1), t AS (SELECT sum(n) AS total FROM c),
+g AS (SELECT nr.r, nc.c, coalesce(c.n, 0) AS n, nr * nc / total AS e FROM nr CROSS JOIN nc CROSS JOIN t LEFT JOIN c ON c.r IS NOT DISTINCT FROM nr.r AND c.c IS NOT DISTINCT FROM nc.c),
+x AS (SELECT sum((n - e) * (n - e) / e) AS chi FROM g)
+SELECT total::bigint AS n, round(chi, 4) AS statistic, round(sqrt(chi / (total * greatest(least((SELECT count(*) FROM nr), (SELECT count(*) FROM nc)) - 1, 1))), 4) AS effect_size FROM x, t""")
+def bias_cramers_two_way(t: Tables) -> DataFrame:
+    return bias.cramers_v(t.documents, "lang", "source")

@@ -72,3 +72,12 @@ def release_index_upsert(t: Tables) -> DataFrame:
 @query("SELECT CASE WHEN s >= 90 THEN 'A' WHEN s >= 80 THEN 'B' WHEN s >= 65 THEN 'C' WHEN s >= 50 THEN 'D' ELSE 'F' END AS grade, count(*) AS n, round(avg(s), 1) AS mean_score FROM (SELECT p_size * 2.0::double AS s FROM part) GROUP BY 1")
 def dataset_card_grades(t: Tables) -> DataFrame:
     return quality.grade_counts(t.part.select((F.col("p_size") * 2.0).alias("s")), "s")
+
+
+@query("""
+SELECT doc_id::varchar AS patient_id, (doc_id % 13)::varchar AS study_uid, array_to_string(list_filter([CASE WHEN quality = 1 THEN 0 END, CASE WHEN toxic = 1 THEN 1 END], lambda x: x IS NOT NULL), ',') AS classes FROM labels""")
+def fusion_release_records(t: Tables) -> DataFrame:
+    """Rows of a fusion table as manifest records."""
+    d = t.labels.select("doc_id", (F.col("doc_id") % 13).alias("study"), F.col("quality").alias("label_quality"), F.col("toxic").alias("label_toxic"))
+    r = release.fusion_records(d, ("quality", "toxic"), "doc_id", "study")
+    return r.select("patient_id", "study_uid", F.array_join(F.transform("label_classes", lambda x: x.cast("string")), ",").alias("classes"))

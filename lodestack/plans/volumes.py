@@ -43,13 +43,13 @@ def normalise_none(t: Tables) -> DataFrame:
 
 def _voxels(t: Tables) -> DataFrame:
     """(vec_id, z, y, label): labels 0, 1, 2, 4 by value."""
-    d = t.embeddings.where("vec_id < 60").select("vec_id", F.posexplode("embedding").alias("p", "x"))
+    d = t.embeddings.select("vec_id", F.posexplode("embedding").alias("p", "x"))
     lab = F.when(F.col("x") > 0.15, 4).when(F.col("x") > 0.08, 2).when(F.col("x") > 0.0, 1).otherwise(0)
     return d.select("vec_id", F.floor(F.col("p") / 8).alias("z"), (F.col("p") % 8).cast("long").alias("y"), lab.alias("label"))
 
 
 _X = """w AS (SELECT vec_id, p // 8 AS z, p % 8 AS y, CASE WHEN x > 0.15::double THEN 4 WHEN x > 0.08::double THEN 2 WHEN x > 0 THEN 1 ELSE 0 END AS label
-  FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS p, unnest(embedding) AS x FROM embeddings WHERE vec_id < 60))"""
+  FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS p, unnest(embedding) AS x FROM embeddings))"""
 
 
 @query(f"WITH {_X} SELECT vec_id, count(*) FILTER (label IN (1, 4)) AS tc, count(*) FILTER (label IN (1, 2, 4)) AS wt, count(*) FILTER (label = 4) AS et FROM w GROUP BY 1")
@@ -78,14 +78,14 @@ def _surf_sql(name: str, source: str) -> str:
 
 
 @query(f"""
-WITH {_X}, a0 AS (SELECT vec_id, z, y FROM w WHERE label >= 2 AND vec_id < 59), b0 AS (SELECT vec_id - 1 AS vec_id, z, y FROM w WHERE label >= 2 AND vec_id > 0), {_surf_sql("a", "a0")}, {_surf_sql("b", "b0")},
+WITH {_X}, a0 AS (SELECT vec_id, z, y FROM w WHERE label >= 2), b0 AS (SELECT vec_id - 1 AS vec_id, z, y FROM w WHERE label >= 2), {_surf_sql("a", "a0")}, {_surf_sql("b", "b0")},
 d AS (SELECT a.vec_id, a.z AS az, a.y AS ay, b.z AS bz, b.y AS by_, sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) * 4.0::double) AS d FROM a JOIN b USING (vec_id)),
 h1 AS (SELECT vec_id, quantile_cont(d, 0.95) AS h FROM (SELECT vec_id, min(d) AS d FROM d GROUP BY vec_id, az, ay) GROUP BY 1), h2 AS (SELECT vec_id, quantile_cont(d, 0.95) AS h FROM (SELECT vec_id, min(d) AS d FROM d GROUP BY vec_id, bz, by_) GROUP BY 1)
 SELECT k.vec_id, round(CASE WHEN h1.h IS NULL THEN 'infinity'::double ELSE greatest(h1.h, h2.h) END, 6) AS hd95 FROM (SELECT vec_id FROM a UNION SELECT vec_id FROM b) k LEFT JOIN h1 USING (vec_id) LEFT JOIN h2 USING (vec_id)""")
 def hausdorff95(t: Tables) -> DataFrame:
     w = _voxels(t).where("label >= 2")
-    a = w.where("vec_id < 59").select("vec_id", "z", "y")
-    b = w.where("vec_id > 0").select((F.col("vec_id") - 1).alias("vec_id"), "z", "y")
+    a = w.select("vec_id", "z", "y")
+    b = w.select((F.col("vec_id") - 1).alias("vec_id"), "z", "y")
     return volume.hausdorff95(a, b, "vec_id", ("z", "y"), (1.0, 2.0))
 
 
@@ -117,12 +117,12 @@ def finite_means(t: Tables) -> DataFrame:
 
 
 _EV = f"""WITH {_X}, rg AS (SELECT * FROM (VALUES ('TC', [1, 4]), ('WT', [1, 2, 4]), ('ET', [4])) AS rg(region, ks)),
-a0 AS (SELECT vec_id, region, z, y FROM w, rg WHERE list_contains(ks, label) AND vec_id < 19), b0 AS (SELECT vec_id - 1 AS vec_id, region, z, y FROM w, rg WHERE list_contains(ks, label) AND vec_id BETWEEN 1 AND 19),
+a0 AS (SELECT vec_id, region, z, y FROM w, rg WHERE list_contains(ks, label) AND vec_id < (SELECT max(vec_id) FROM embeddings)), b0 AS (SELECT vec_id - 1 AS vec_id, region, z, y FROM w, rg WHERE list_contains(ks, label) AND vec_id >= 1),
 a AS (SELECT * FROM a0 m WHERE (SELECT count(*) FROM a0 o WHERE o.vec_id = m.vec_id AND o.region = m.region AND abs(o.z - m.z) + abs(o.y - m.y) = 1) < 4),
 b AS (SELECT * FROM b0 m WHERE (SELECT count(*) FROM b0 o WHERE o.vec_id = m.vec_id AND o.region = m.region AND abs(o.z - m.z) + abs(o.y - m.y) = 1) < 4),
 d AS (SELECT a.vec_id, region, a.z AS az, a.y AS ay, b.z AS bz, b.y AS by_, sqrt(((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y))::double) AS d FROM a JOIN b USING (vec_id, region)),
 h1 AS (SELECT vec_id, region, quantile_cont(d, 0.95) AS h FROM (SELECT vec_id, region, min(d) AS d FROM d GROUP BY vec_id, region, az, ay) GROUP BY ALL), h2 AS (SELECT vec_id, region, quantile_cont(d, 0.95) AS h FROM (SELECT vec_id, region, min(d) AS d FROM d GROUP BY vec_id, region, bz, by_) GROUP BY ALL),
-k AS (SELECT DISTINCT vec_id, region FROM w, rg WHERE vec_id < 19), na AS (SELECT vec_id, region, count(*) AS n FROM a0 GROUP BY ALL), nb AS (SELECT vec_id, region, count(*) AS n FROM b0 GROUP BY ALL), ni AS (SELECT vec_id, region, count(*) AS n FROM a0 JOIN b0 USING (vec_id, region, z, y) GROUP BY ALL),
+k AS (SELECT DISTINCT vec_id, region FROM w, rg WHERE vec_id < (SELECT max(vec_id) FROM embeddings)), na AS (SELECT vec_id, region, count(*) AS n FROM a0 GROUP BY ALL), nb AS (SELECT vec_id, region, count(*) AS n FROM b0 GROUP BY ALL), ni AS (SELECT vec_id, region, count(*) AS n FROM a0 JOIN b0 USING (vec_id, region, z, y) GROUP BY ALL),
 m AS (SELECT vec_id, region, coalesce(na.n, 0) AS a, coalesce(nb.n, 0) AS b, coalesce(ni.n, 0) AS i, h1.h AS h1, h2.h AS h2 FROM k LEFT JOIN na USING (vec_id, region) LEFT JOIN nb USING (vec_id, region) LEFT JOIN ni USING (vec_id, region) LEFT JOIN h1 USING (vec_id, region) LEFT JOIN h2 USING (vec_id, region)),
 e AS (SELECT vec_id, region, round(CASE WHEN a + b = 0 THEN 1.0::double ELSE 2 * i / (a + b)::double END, 6) AS dice, round(CASE WHEN a + b - i = 0 THEN 1.0::double ELSE i / (a + b - i)::double END, 6) AS iou, CASE WHEN a + b = 0 THEN 0.0::double WHEN h1 IS NULL THEN 'infinity'::double ELSE round(greatest(h1, h2), 6) END AS hd95 FROM m)
 SELECT vec_id, """ + ", ".join(f"max({m}) FILTER (region = '{r}') AS {m}_{r.lower()}" for r in ("TC", "WT", "ET") for m in ("dice", "iou", "hd95")) + " FROM e GROUP BY 1"
@@ -130,4 +130,17 @@ SELECT vec_id, """ + ", ".join(f"max({m}) FILTER (region = '{r}') AS {m}_{r.lowe
 
 @query(_EV)
 def evaluate_subjects(t: Tables) -> DataFrame:
-    return volume.evaluate(_pairs(t).where("vec_id < 19"), "vec_id", ("z", "y"), "label", "other")
+    return volume.evaluate(_pairs(t), "vec_id", ("z", "y"), "label", "other")
+
+
+@query(f"""
+WITH {_V}, u AS (SELECT vec_id, unnest(v) AS x FROM v), p AS (SELECT vec_id, quantile_cont(x, 0.01) AS a, quantile_cont(x, 0.99) AS b FROM u GROUP BY 1),
+n AS (SELECT vec_id, CASE WHEN b > a THEN greatest(0.0::double, least(1.0::double, (x - a) / (b - a))) ELSE 0.0::double END AS y FROM u JOIN p USING (vec_id)) {_SUM}""")
+def display_scaled(t: Tables) -> DataFrame:
+    d = _vectors(t).withColumn("o", F.array_sort("v"))
+    return _summary(d.select("vec_id", F.transform("v", lambda x: volume.display_normalise(F.col("o"), x)).alias("v")))
+
+
+@query("SELECT value_bin, count(*) AS n, bool_or(value_bin = median_bin) AS has_median FROM (SELECT least(29, floor((value - lo) / ((hi - lo) / 30)))::bigint AS value_bin, least(29, floor((mid - lo) / ((hi - lo) / 30)))::bigint AS median_bin FROM events, (SELECT min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.5) AS mid FROM events)) GROUP BY 1")
+def histogram_median(t: Tables) -> DataFrame:
+    return volume.histogram(t.events, "value", 30, median=True).select(F.col("bin").alias("value_bin"), "n", "has_median")

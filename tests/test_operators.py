@@ -296,3 +296,48 @@ def test_entry_imports_only_what_is_missing(monkeypatch):
                 importlib.import_module("__spark_entry__")
     monkeypatch.undo()
     sys.modules.pop("__spark_entry__", None)
+
+
+def test_nearest_points_against_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n, m, d in ((1, 1, 2), (5, 900, 3), (700, 300, 3), (2000, 2500, 1)):
+        x, y = rng.integers(0, 60, (n, d)) * 1.5, rng.integers(20, 90, (m, d)) * 1.5
+        want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2).min(1))
+        assert np.abs(volume.nearest(x, y) - want).max() == 0
+
+
+def test_distances_of_large_surfaces_take_seconds(spark):
+    """Two shells of 10 000 points each: all pairs would be 10^8."""
+    import numpy as np
+    import time
+
+    z, y, x = np.mgrid[0:60, 0:60, 0:60]
+    r = np.sqrt((z - 30.0) ** 2 + (y - 30.0) ** 2 + (x - 30.0) ** 2)
+    a, b = (np.argwhere((r < k) & (r >= k - 1)).astype(float) for k in (28, 26))
+    began = time.perf_counter()
+    d = volume.nearest(a, b)
+    assert len(a) > 8000 and 1 < d.min() <= d.max() < 4 and time.perf_counter() - began < 10
+
+
+def test_dataset_hash_is_that_of_the_whole_list(spark):
+    import hashlib
+
+    rows = [(f"p{i % 97}/{i}", hashlib.sha256(str(i).encode()).hexdigest()) for i in range(5000)]
+    d = spark.createDataFrame(rows, "path string, sha256 string").repartition(7)
+    assert release.dataset_hash(d).first()[0] == hashlib.sha256("\n".join(sorted(f"{p}:{s}" for p, s in rows)).encode()).hexdigest()
+    assert release.dataset_hash(d.limit(0)).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_cramers_v_of_a_table(spark):
+    d = spark.createDataFrame([("a", "x")] * 30 + [("b", "y")] * 30 + [("b", None)] * 5 + [(None, "x")] * 2, "r string, c string")
+    assert bias.cramers_v(d.where("r is not null and c is not null"), "r", "c").first()["effect_size"] == 1.0
+    o = [[30, 0, 0], [0, 30, 5], [2, 0, 0]]
+    n, chi = 67, 0.0
+    for row in o:
+        for k, x in enumerate(row):
+            e = sum(row) * sum(r[k] for r in o) / n
+            chi += (x - e) ** 2 / e
+    assert bias.cramers_v(d, "r", "c").first()["effect_size"] == round(math.sqrt(chi / (n * 2)), 4)
+    assert tuple(bias.cramers_v(d.limit(0), "r", "c").first()) == (0, 0.0, 0.0)
