@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import audits, cohorts, findings, records, releases, reports, volumes  # noqa: F401
+from . import audits, cohorts, findings, records, releases, reports, sources, volumes  # noqa: F401
 from .registry import QUERIES  # noqa: F401

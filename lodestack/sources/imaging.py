@@ -41,7 +41,8 @@ CLINICAL = "patient_id string, age double, sex string, institution string, scann
 
 def clinical_table(spark: SparkSession, csv: str, root: str, tumour_label: int = 2) -> DataFrame:
     """Every row of the clinical CSV with has_label, file_exists, spacing, shape, slice_thickness, tumour_volume_mm3,
-    sha256 and file_size_bytes of its files below ``root``. A missing CSV raises FileNotFoundError."""
+    sha256 and file_size_bytes of its files below ``root``; without a readable image the volume is null. A missing CSV
+    raises FileNotFoundError."""
     if "://" not in csv and not os.path.exists(csv):
         raise FileNotFoundError(csv)
     rows = spark.read.schema(CLINICAL).option("header", True).csv(csv)
@@ -64,7 +65,7 @@ def clinical_table(spark: SparkSession, csv: str, root: str, tumour_label: int =
 
     lab = want("label_path").select("rel", "content").mapInPandas(count, "rel string, n double").select(F.col("rel").alias("label_path"), F.col("n").alias("__n"), F.lit(True).alias("__l"))
     d = rows.join(vol, "volume_path", "left").join(lab, "label_path", "left")
-    return d.select(*rows.columns, F.coalesce("__l", F.lit(False)).alias("has_label"), F.coalesce("__v", F.lit(False)).alias("file_exists"), "spacing", "shape", F.array_max("spacing").alias("slice_thickness"), (F.col("__n") * voxel_volume(F.col("spacing"))).alias("tumour_volume_mm3"), "sha256", "file_size_bytes")
+    return d.select(*rows.columns, F.coalesce("__l", F.lit(False)).alias("has_label"), F.coalesce("__v", F.lit(False)).alias("file_exists"), "spacing", "shape", F.array_max("spacing").alias("slice_thickness"), F.when(F.size("spacing") > 0, F.col("__n") * voxel_volume(F.col("spacing"))).alias("tumour_volume_mm3"), "sha256", "file_size_bytes")
 
 
 def channel_table(manifest: DataFrame, split: str, channels: tuple[str, ...] = MODALITIES) -> DataFrame:
@@ -77,3 +78,27 @@ def channel_table(manifest: DataFrame, split: str, channels: tuple[str, ...] = M
     if missing:
         raise KeyError(f"subjects without all channels: {[r[0] for r in missing]}")
     return d
+
+
+def training_set(spark: SparkSession, manifest: DataFrame, root: str, split: str, channels: tuple[str, ...] = MODALITIES) -> DataFrame:
+    """One row a subject of a split: shape, image (the voxels of each channel, in order) and mask, as flat arrays.
+
+    Files are below ``root``. A subject without a mask has one of zeros; one that lacks a channel raises KeyError, as does
+    ``channel_table``. Each file is decoded once, by the tasks that read it.
+    """
+    t = channel_table(manifest, split, channels)
+    lead = os.path.abspath(root).rstrip("/") + "/"
+    f = files.scan(spark, root, ("*.nii", "*.nii.gz")).select(F.substr(files.clean_path(F.col("path")), F.lit(len(lead) + 1)).alias("rel"), "content")
+    want = t.select("patient_id", F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.col(f"`{c}`").alias("rel")) for i, c in enumerate((*channels, "mask_path"))))).alias("x")).select("patient_id", "x.*").where("rel is not null")
+
+    def decode(batches):
+        for b in batches:
+            data = [nifti.read(bytes(c))[0] for c in b["content"]]
+            yield b[["patient_id", "at"]].assign(shape=[list(x.shape) for x in data], v=[x.ravel().astype("f4") for x in data])
+
+    one = want.join(f, "rel").select("patient_id", "at", "content").mapInPandas(decode, "patient_id string, at int, shape array<int>, v array<float>")
+    n = len(channels)
+    g = one.groupBy("patient_id").agg(F.max_by("shape", -F.col("at")).alias("shape"), F.array_sort(F.collect_list(F.struct("at", "v"))).alias("x"))
+    mask = F.get(F.filter("x", lambda e: e["at"] == n), 0)["v"]
+    size = F.aggregate("shape", F.lit(1), lambda a, k: a * k)
+    return g.select("patient_id", "shape", F.transform(F.filter("x", lambda e: e["at"] < n), lambda e: e["v"]).alias("image"), F.coalesce(F.transform(mask, lambda v: v.cast("int")), F.array_repeat(F.lit(0), size)).alias("mask"))
