@@ -250,5 +250,17 @@ def unpack(raw: bytes, width: int) -> np.ndarray:
     return out.view(U).ravel()
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Differences of successive integers, first all lowest bytes, then the next: shuffles compress what repeats in them."""
+    d = np.concatenate((x[:1], x[1:] - x[:-1]))
+    return d.view(np.uint8).reshape(len(d), d.itemsize).T.tobytes()
+
+
+def unplanes(raw: bytes, dtype) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    d = np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width).T
+    return np.cumsum(np.ascontiguousarray(d).view(dtype).ravel(), dtype=dtype)
+
+
 def parts(n_bytes: int, each: int) -> int:
     return max(1, math.ceil(n_bytes / each))

@@ -29,21 +29,21 @@ from . import common as C
 U = np.uint64
 TOKENS_A_BUCKET = 1_500_000
 DOCS_A_BUCKET = 8_000
-PAIRS_A_BUCKET = 6_000
+PAIRS_A_BUCKET = 24_000
 POSTINGS_A_BUCKET = 400_000
 #: Rows whose n-grams one worker holds at a time, and partner slots it expands at a time.
 ROWS_AT_ONCE = 1_000
 SLOTS_AT_ONCE = 1_000_000
 #: Partner slots, by estimate, and candidates, that one task of a bucket takes before the bucket is divided.
 SLOTS_A_TASK = 40_000_000
-PAIRS_A_TASK = 24_000
+PAIRS_A_TASK = 96_000
 #: Tokens of partners that one document is compared with at a time.
 TOKENS_AT_ONCE = 2_000_000
 #: Cost of verifying one candidate against scanning one posting.
 VERIFY_COST = 20.0
 
-_BLOCK = "bucket int, ids binary, sizes binary, counts binary, toks binary"
-_BLOCK2 = "bucket int, token_bucket int, ids binary, sizes binary, counts binary, toks binary, dfs binary, firsts binary"
+_BLOCK = "bucket int, ids binary, counts binary, toks binary, own_ids binary, sizes binary"
+_BLOCK2 = "bucket int, token_bucket int, ids binary, counts binary, toks binary, dfs binary, firsts binary, own_ids binary, sizes binary"
 _DOC = "doc_id long, n int, m int, sig string, mh long, prefix array<long>, firsts array<long>, costs array<int>, toks binary"
 _PAIR = "a long, b long, shared long, need int, na int, nb int, h long"
 
@@ -60,8 +60,11 @@ def _by_bucket(bucket: np.ndarray, n: int):
 
 
 def _scatter(n: int, buckets: int):
+    """N-grams by bucket of their hash: documents, how many of each, and the low 40 bits; a document's number of n-grams
+    goes once, to a bucket of its own."""
     def run(batches):
         for b in (x.slice(i, ROWS_AT_ONCE) for x in batches for i in range(0, x.num_rows, ROWS_AT_ONCE)):
+            b = b.take(pa.array(np.argsort(b.column(0).to_numpy(zero_copy_only=False), kind="stable")))
             ids = b.column(0).to_numpy(zero_copy_only=False)
             toks, counts = C.ngram_sets(b.column(1), n)
             if not len(toks):
@@ -69,15 +72,19 @@ def _scatter(n: int, buckets: int):
             row = np.repeat(np.arange(len(ids)), counts)
             order, ends = _by_bucket(((toks >> U(40)) % U(buckets)).astype(np.int64), buckets)
             row, toks = row[order], toks[order]
-            out, a = [], 0
+            some = np.flatnonzero(counts)
+            home = (C.mix(ids[some].astype(np.int64).view(U)) % U(buckets)).astype(np.int64)
+            by, homes = _by_bucket(home, buckets)
+            some = some[by]
+            out, a, h = [], 0, 0
             for k, e in enumerate(ends):
-                if e > a:
-                    r = row[a:e]
-                    at = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-                    own = r[at]
-                    out.append((k, ids[own].astype(np.int64).tobytes(), counts[own].astype(np.uint32).tobytes(), np.diff(np.append(at, len(r))).astype(np.uint32).tobytes(), C.pack(toks[a:e], 5)))
-                a = e
+                r, own = row[a:e], some[h : homes[k]]
+                if len(r) or len(own):
+                    at = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else r
+                    out.append((k, C.planes(ids[r[at]].astype(np.int64)), C.planes(np.diff(np.append(at, len(r))).astype(np.uint32)), C.pack(toks[a:e], 5), C.planes(ids[own].astype(np.int64)), C.planes(counts[own].astype(np.uint32))))
+                a, h = e, homes[k]
             yield _batch(out, _BLOCK)
+            C.trim()
 
     return run
 
@@ -90,7 +97,7 @@ def _batch(rows, schema: str):
 
 
 def _joined(col, dtype):
-    return np.concatenate([np.frombuffer(x.as_buffer(), dtype) for x in col]) if len(col) else np.zeros(0, dtype)
+    return np.concatenate([C.unplanes(x.as_buffer(), dtype) for x in col]) if len(col) else np.zeros(0, dtype)
 
 
 def _unpacked(col, width: int = 5):
@@ -106,14 +113,18 @@ def _count(doc_buckets: int):
 
     def run(t: pa.Table):
         bucket = t.column("bucket")[0].as_py()
-        ids, sizes = _joined(t.column("ids"), np.int64), _joined(t.column("sizes"), np.uint32)
-        counts = _joined(t.column("counts"), np.uint32).astype(np.int64)
+        ids, counts = _joined(t.column("ids"), np.int64), _joined(t.column("counts"), np.uint32).astype(np.int64)
         toks = _unpacked(t.column("toks"))
+        own_ids, sizes = _joined(t.column("own_ids"), np.int64), _joined(t.column("sizes"), np.uint32)
         del t
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        by = np.argsort(ids, kind="stable")
+        rank = np.empty(len(ids), np.int32)
+        rank[by] = np.arange(len(ids), dtype=np.int32)
+        doc = np.repeat(rank, counts)
+        ids = ids[by]
         order = np.argsort(toks)
         s = toks[order]
-        at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else order
         del s
         run_len = np.diff(np.append(at, len(toks)))
         hashed = C.mix(ids.view(U))
@@ -125,15 +136,21 @@ def _count(doc_buckets: int):
         keep = df > 0
         doc, toks, df, who = doc[keep], toks[keep], df[keep], who[keep]
         own = (hashed % U(doc_buckets)).astype(np.int64)
-        order, ends = _by_bucket(own[doc], doc_buckets)
+        order = np.argsort(doc, kind="stable")
+        by, ends = _by_bucket(own[doc[order]], doc_buckets)
+        order = order[by]
         doc, toks, df, who = doc[order], toks[order], df[order], who[order]
-        out, a = [], 0
+        by = np.argsort(own_ids, kind="stable")
+        own_ids, sizes = own_ids[by], sizes[by]
+        by, homes = _by_bucket((C.mix(own_ids.view(U)) % U(doc_buckets)).astype(np.int64), doc_buckets)
+        own_ids, sizes = own_ids[by], sizes[by]
+        out, a, h = [], 0, 0
         for k, e in enumerate(ends):
-            if e > a:
-                d = doc[a:e]
-                at = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-                out.append((k, bucket, ids[d[at]].tobytes(), sizes[d[at]].tobytes(), np.diff(np.append(at, len(d))).astype(np.uint32).tobytes(), C.pack(toks[a:e], 5), df[a:e].tobytes(), C.pack(who[a:e].astype(U), 3)))
-            a = e
+            d, i = doc[a:e], slice(h, homes[k])
+            if len(d) or len(own_ids[i]):
+                at = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else d
+                out.append((k, bucket, C.planes(ids[d[at]]), C.planes(np.diff(np.append(at, len(d))).astype(np.uint32)), C.pack(toks[a:e], 5), df[a:e].tobytes(), C.pack(who[a:e].astype(U), 3), C.planes(own_ids[i]), C.planes(sizes[i])))
+            a, h = e, homes[k]
         yield _batch(out, _BLOCK2)
 
     return run
@@ -156,13 +173,16 @@ def _assemble(t: float):
     def run(tb: pa.Table):
         import hashlib
 
-        ids, sizes = _joined(tb.column("ids"), np.int64), _joined(tb.column("sizes"), np.uint32).astype(np.int64)
+        ids = _joined(tb.column("ids"), np.int64)
+        own_ids, sizes = _joined(tb.column("own_ids"), np.int64), _joined(tb.column("sizes"), np.uint32).astype(np.int64)
         counts = _joined(tb.column("counts"), np.uint32).astype(np.int64)
-        toks, dfs, firsts = _unpacked(tb.column("toks")), _joined(tb.column("dfs"), np.uint8), _unpacked(tb.column("firsts"), 3)
+        toks, dfs, firsts = _unpacked(tb.column("toks")), np.frombuffer(b"".join(x.as_buffer() for x in tb.column("dfs")), np.uint8), _unpacked(tb.column("firsts"), 3)
         toks |= np.repeat(tb.column("token_bucket").to_numpy().astype(U) << U(40), [len(x.as_buffer()) // 5 for x in tb.column("toks")])
         uniq, inv = np.unique(ids, return_inverse=True)
-        n = np.zeros(len(uniq), np.int64)
-        n[inv] = sizes
+        if not len(uniq):
+            return
+        by = np.argsort(own_ids)
+        n = sizes[by][np.searchsorted(own_ids, uniq, sorter=by)]
         r = np.bincount(inv, counts, len(uniq)).astype(np.int64)
         fits = r >= _need(n, t)
         doc = np.repeat(inv, counts)
@@ -337,7 +357,7 @@ def _join(docs: DataFrame, n: int, t: float, id_col: str, text_col: str, spannin
     if not 0 < t <= 1 or n < 1:
         raise ValueError("threshold must be in (0, 1] and n at least 1")
     size = C.measured(docs.select(F.col(text_col).cast("string").alias("text")))[1]
-    buckets = C.parts(size, TOKENS_A_BUCKET * 4)
+    buckets = C.parts(size, TOKENS_A_BUCKET * 6)  # bytes of text an n-gram, about
     doc_buckets = C.parts(size, DOCS_A_BUCKET * 2000)
     d = _one_row_an_id(docs, id_col, text_col)
     blocks = d.mapInArrow(_scatter(n, buckets), _BLOCK)
