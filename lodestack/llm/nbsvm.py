@@ -19,6 +19,8 @@ from . import common as C
 BITS = 18
 #: Labelled rows that the SVM is fitted to, at most; the ratios use all labelled rows.
 FIT_ROWS = 6_000
+#: Of each class so many rows are among them at least, if there are as many.
+CLASS_ROWS = 500
 SLICES = 64
 #: Documents below this margin are rejected.
 THRESHOLD = 0.0
@@ -155,29 +157,33 @@ def _sum(t: pa.Table) -> pa.Table:
     return pa.table({"slice": t.column("slice").slice(0, 1), "y": t.column("y").slice(0, 1), "doc_id": pa.array([0], pa.int64()), "raw": pa.array([total.tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, fit_rows: int = FIT_ROWS, c: float = 1.0, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, fit_rows: int = FIT_ROWS, class_rows: int = CLASS_ROWS, c: float = 1.0, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit to rows of ``docs`` whose id has a label of 0 or 1.
 
-    An id with both labels, or none, counts as unlabelled; rows with null id, label or text don't take part. With no
-    labelled rows, or of one class only, the model accepts everything. Counts cover all labelled rows; the SVM is
-    fitted to ``fit_rows`` of them at most, those of the smallest seeded hash of the id.
+    An id with both labels, or none, counts as unlabelled; rows with null id, label or text don't take part, and repeated
+    rows take part each. With no labelled rows, or of one class only, the model accepts everything. Counts cover all
+    labelled rows; the SVM is fitted to ``fit_rows`` of them, those of the smallest seeded hash of the id, and beyond
+    these to the next of a class of which there are fewer than ``class_rows`` among them. Ids must be integers, or cast to them.
     """
     lab = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     lab = lab.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", "y")
-    cut = lab.select(F.xxhash64(F.lit(seed), "doc_id").alias("h")).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
-    if cut is None:
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    # labels of the rows that are there, of which the sample is drawn
+    lab = C.materialize(d.select("doc_id").join(C.maybe_broadcast(lab), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")))
+    least = lambda x, n: x.orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    cut, *own = least(lab, fit_rows), *(least(lab.where(F.col("y") == k), class_rows) for k in (0, 1))
+    if None in own:
         return Model(np.zeros(1 << bits), 1.0, np.zeros(1 << bits), bits)
-    lab = C.maybe_broadcast(lab.withColumn("s", F.xxhash64(F.lit(seed), "doc_id") <= cut))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(lab, "doc_id")
+    sampled = F.col("h") <= F.when(F.col("y") == 0, max(cut, own[0])).otherwise(max(cut, own[1]))
+    lab = C.maybe_broadcast(lab.select("doc_id", "y", sampled.alias("s")))
+    d = d.join(lab, "doc_id")
     out = C.materialize(d.select("text", "y", "s", "doc_id").mapInArrow(_counts(True, bits), "slice int, y int, doc_id long, raw binary"))
     counts = out.where("slice >= 0").groupBy("slice", "y").applyInArrow(_sum, out.schema).collect()  # SLICES rows a class, of a fixed size
     total, width = np.zeros((2, 1 << bits), np.int64), (1 << bits) // SLICES
     for s in counts:
         total[s["y"], s["slice"] * width : (s["slice"] + 1) * width] = np.frombuffer(s["raw"], np.int64)
-    sample = sorted(out.where("slice = -1").select("doc_id", "y", "raw").limit(2 * fit_rows).collect(), key=lambda s: (s["doc_id"], bytes(s["raw"])))
+    sample = sorted(out.where("slice = -1").select("doc_id", "y", "raw").limit(2 * (fit_rows + class_rows)).collect(), key=lambda s: (s["doc_id"], bytes(s["raw"])))
     y = np.array([1 if s["y"] else -1 for s in sample])
-    if len(set(y.tolist())) < 2:
-        return Model(np.zeros(1 << bits), 1.0, np.zeros(1 << bits), bits)
     r = log_ratio(total[1], total[0])
     w, bias = fit_hinge([np.frombuffer(s["raw"], np.int32) for s in sample], y, r, c, seed=seed)
     return Model(w, bias, r, bits)

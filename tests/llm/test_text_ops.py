@@ -201,6 +201,39 @@ def test_nbsvm_held_out_repeated_words(spark, sf_dir):
     assert len(a & b) == len(nbsvm.REPEATED)
 
 
+def test_nbsvm_against_plain_counts(spark, sf_dir):
+    """Counts, sample, fit and scores, recomputed document by document."""
+    for at in (sf_dir, sf_dir.replace("0.001", "0.01")):
+        docs, lab = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+        y = {r["doc_id"]: r["quality"] for r in lab.collect()}
+        texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+        feats = {i: nbsvm.features(pa.array([t]))[0] for i, t in texts.items()}
+        count = np.zeros((2, 1 << nbsvm.BITS), int)
+        for i in set(y) & set(texts):
+            for f in feats[i].tolist():
+                count[y[i], f] += 1
+        r = nbsvm.log_ratio(count[1], count[0])
+        ids = sorted(set(y) & set(texts))
+        assert len(ids) <= nbsvm.FIT_ROWS
+        w, b = nbsvm.fit_hinge([feats[i] for i in ids], np.array([1 if y[i] else -1 for i in ids]), r)
+        got = {x["doc_id"]: (x["score"], x["accepted"]) for x in nbsvm.score_quality(docs, nbsvm.train(docs, lab)).collect()}
+        assert set(got) == set(texts)
+        for i, f in feats.items():
+            want = sum(w[k] * r[k] for k in f.tolist()) / math.sqrt(sum(r[k] ** 2 for k in f.tolist()) + nbsvm.DAMPING) + b
+            assert abs(got[i][0] - want) < 2e-5 and (got[i][1] == (want >= 0) or abs(want) < 2e-5)
+
+
+def test_nbsvm_of_rare_class_and_few_documents(spark):
+    """A bounded sample has both classes if the labelled documents have, whatever else is labelled."""
+    rng = np.random.default_rng(3)
+    good, bad = [f"fine{i}" for i in range(50)], [f"junk{i}!" for i in range(50)]
+    rows = [(i, " ".join(rng.choice(bad if i % 100 == 7 else good, 60))) for i in range(1000)]
+    lab = spark.createDataFrame([(i, 0 if i % 100 == 7 else 1) for i in range(1000)] + [(i, 1) for i in range(5000, 9000)], "doc_id long, quality int")
+    m = nbsvm.train(frame(spark, rows), lab, fit_rows=40, class_rows=5)
+    s = m.score(pa.array([t for _, t in rows]))
+    assert all((v < 0) == (i % 100 == 7) for (i, _), v in zip(rows, s))
+
+
 def test_nbsvm_edges(spark):
     rows = [(1, "fine words here and there"), (2, "junk!! junk!! junk!!"), (3, None), (4, ""), (None, "fine words"), (5, "fine good words"), (6, "junk!! more!!"), (5, "fine good words"), (7, LONG)]
     d = frame(spark, rows)
