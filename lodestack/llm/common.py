@@ -53,13 +53,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> int:
-    """Delete the tables that this process has materialized; how many there were."""
-    jvm, n = spark.sparkContext._jvm, len(_made)
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+def made() -> list[str]:
+    """Paths of the tables that this process has materialized and not deleted, in order."""
+    return list(_made)
+
+
+def sweep(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete these of the tables that this process has materialized, or all; how many there were."""
+    jvm, gone = spark.sparkContext._jvm, [p for p in _made if paths is None or p in paths]
+    for p in gone:
+        _made.remove(p)
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(gone)
 
 
 def measured(df: DataFrame) -> tuple[int, int]:

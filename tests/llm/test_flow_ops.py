@@ -392,6 +392,37 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, P.run(spark, sf_dir).collect()), key=str) == sorted(map(tuple, seen[5].collect()), key=str)
 
 
+def test_pipeline_deletes_what_it_has_used(spark, sf_dir):
+    import corpus_pipeline as P
+    from lodestack.llm import common as C
+
+    other = C.materialize(spark.range(3))
+    n = len(C.made())
+    assert P.run(spark, sf_dir).count() > 0 and other.count() == 3
+    assert len(C.made()) <= n + 3  # the mix, and what packing reads
+
+
+def test_stages_of_long_repeated_and_widened_rows(spark, sf_dir):
+    """Extra columns keep their values under any name; repeated rows stay together; a very long text passes whole."""
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = spark.createDataFrame([(10**9, " ".join(f"word{i % 977} and{i % 89}" for i in range(60_000)), "en", "s1", 5)], docs.schema)
+    names = ["lang_1", "octave", "c0", "s", "row", "slot", "__gone", "n_tokens_piece"]
+    d = docs.unionByName(docs.limit(5)).unionByName(long).withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in names})
+    for name, fn in P.STAGES[:-1]:
+        kept = fn(spark, d, sf_dir)
+        assert kept.columns == d.columns, name
+        rows = kept.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names), name
+        assert [len(r["text"]) for r in rows if r["doc_id"] == 10**9] in ([], [long.first()["text"].__len__()])
+        if name == "mix":
+            assert len(rows) == d.count()
+    got = P.STAGES[-1][1](spark, d, sf_dir).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    assert {r["doc_id"] for r in got} == {r["doc_id"] for r in d.select("doc_id").distinct().collect()} and next(r["n"] for r in got if r["doc_id"] == 10**9) > 100_000
+
+
 def test_pipeline_of_empty_and_odd_tables(spark, sf_dir):
     import corpus_pipeline as P
 
