@@ -463,7 +463,7 @@ def encode_frames(images: np.ndarray, quality: int = 75, tables: bool = False) -
     for k, t in (("dc", _DC_LUMA), ("ac", _AC_LUMA)):
         for symbol, code, length in _codes(t):
             codes[k][symbol] = code, length
-    bits = lambda v: np.where(v == 0, 0, np.floor(np.log2(np.maximum(np.abs(v), 1))).astype(np.int64) + 1)
+    bits = lambda v: np.frexp(np.abs(v).astype(np.float32))[1].astype(np.int64)
     blk, k = np.nonzero(z[:, 1:])
     k = k + 1
     v = z[blk, k].astype(np.int64)
@@ -646,7 +646,7 @@ def render_turns(conv: list[list[str]]) -> list[bytes]:
     """One AVI file a conversation: each turn is a shot of 3 to 8 frames, a drifting pattern drawn from its text."""
     import hashlib
 
-    x, y = np.meshgrid(np.arange(SIDE, dtype=np.int32), np.arange(SIDE, dtype=np.int32))
+    x, y = np.meshgrid(np.arange(SIDE, dtype=np.int16), np.arange(SIDE, dtype=np.int16))
     shots, counts = [], []
     for turns in conv:
         k = 0
@@ -660,10 +660,15 @@ def render_turns(conv: list[list[str]]) -> list[bytes]:
         counts.append(k)
     if not shots:
         return [write_avi([], SIDE, SIDE) for _ in conv]
-    n, level, across, down = np.array(shots, np.int32).T
-    f = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    level, across, down = (np.repeat(v, n)[:, None, None] for v in (level, across, down))
-    frames = encode_frames((level + (across * (x + f[:, None, None].astype(np.int32)) + down * y) // 4 % 48).astype(np.uint8))
+    n, level, across, down = np.array(shots, np.int16).T
+    f = (np.arange(n.sum(dtype=np.int64)) - np.repeat(np.cumsum(n, dtype=np.int64) - n, n)).astype(np.int16)
+    level, across, down = (np.repeat(v, n) for v in (level, across, down))
+    px = across[:, None] * x[0] + (across * f)[:, None]
+    px = (down[:, None] * y[:, 0])[:, :, None] + px[:, None]
+    px >>= 2
+    px %= 48
+    px += level[:, None, None]
+    frames = encode_frames(px.astype(np.uint8))
     out, at = [], 0
     for k in counts:
         out.append(write_avi(frames[at : at + k], SIDE, SIDE))
