@@ -37,6 +37,8 @@ SLOTS_AT_ONCE = 1_000_000
 #: Partner slots, by estimate, and candidates, that one task of a bucket takes before the bucket is divided.
 SLOTS_A_TASK = 40_000_000
 PAIRS_A_TASK = 96_000
+#: n-grams of the documents that one such task holds, about.
+TOKENS_A_TASK = 1_500_000
 #: Tokens of partners that one document is compared with at a time.
 TOKENS_AT_ONCE = 2_000_000
 #: Cost of verifying one candidate against scanning one posting.
@@ -404,9 +406,14 @@ def _candidates(own: DataFrame, k: int, t: float) -> DataFrame:
 def _compared(cand: DataFrame, table: DataFrame, t: float, spanning: bool) -> DataFrame:
     """The candidates that are pairs: (a, b, jaccard)."""
     cand = C.materialize(cand)
-    k = C.parts(cand.count(), PAIRS_A_BUCKET)
-    cand = cand.withColumn("k", F.pmod("h", F.lit(k)).cast("int"))
-    hot = C.materialize(cand.groupBy("k").count().where(F.col("count") > PAIRS_A_TASK).select("k", F.ceil(F.sqrt(F.col("count") / PAIRS_A_TASK)).cast("int").alias("r")))
+    docs = cand.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("na").alias("n"), "h"), F.struct(F.col("b").alias("doc_id"), F.col("nb").alias("n"), "h"))).alias("x")).select("x.*")
+    tokens = docs.select("doc_id", "n").distinct().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    k = max(C.parts(cand.count(), PAIRS_A_BUCKET), C.parts(tokens, TOKENS_A_TASK))
+    bucket = F.pmod("h", F.lit(k)).cast("int").alias("k")
+    cand = cand.select("*", bucket)
+    work = docs.select(bucket, "doc_id", "n").distinct().groupBy("k").agg(F.sum("n").alias("t")).join(cand.groupBy("k").count(), "k")
+    r = F.greatest(F.ceil(F.sqrt(F.col("count") / PAIRS_A_TASK)), F.ceil(F.col("t") / (3 * TOKENS_A_TASK))).cast("int")
+    hot = C.materialize(work.select("k", r.alias("r")).where("r > 1"))
     r = F.coalesce("r", F.lit(1))
     cand = cand.join(C.maybe_broadcast(hot), "k", "left").withColumns({"i": F.pmod(F.xxhash64("a"), r).cast("int"), "j": F.pmod(F.xxhash64("b"), r).cast("int")}).drop("r")
     keys = ["k", "i", "j"]
@@ -439,7 +446,7 @@ def jaccard_pairs(docs: DataFrame, *, n: int = 3, threshold: float = 0.5, id_col
 #: Groups of equal sets that are broadcast when pairs are expanded; beyond it the join shuffles.
 BROADCAST_GROUPS = 20_000
 #: Edges that one task joins in memory; beyond it components are found by distributed star contraction.
-LOCAL_EDGES = 5_000_000
+LOCAL_EDGES = 1_000_000
 
 
 def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -448,21 +455,18 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     if e.count() <= local_edges:
 
         def union(batches):
-            root: dict[int, int] = {}
-
-            def find(v):
-                while root.setdefault(v, v) != v:
-                    root[v] = root[root[v]]
-                    v = root[v]
-                return v
-
-            for t in batches:
-                for x, y in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
-                    x, y = find(x), find(y)
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-            v = list(root)
-            yield pa.record_batch({"doc_id": pa.array(v, pa.int64()), "root": pa.array([find(x) for x in v], pa.int64())})
+            t = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+            x, y = (np.concatenate(c) for c in zip(*t)) if t else (np.zeros(0, np.int64),) * 2
+            ids, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+            x, y, label = at[: len(x)], at[len(x) :], np.arange(len(ids))
+            while len(x):
+                lo, hi = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+                if (lo == hi).all():
+                    break
+                np.minimum.at(label, hi, lo)  # roots are hooked to smaller ones, then all paths are cut short
+                while (label[label] != label).any():
+                    label = label[label]
+            yield pa.record_batch({"doc_id": pa.array(ids), "root": pa.array(ids[label])})
 
         return e.coalesce(1).mapInArrow(union, "doc_id long, root long")
     e = e.where("a != b")

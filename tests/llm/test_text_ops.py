@@ -86,6 +86,7 @@ def test_groups_against_brute_force(spark, monkeypatch, divided):
     if divided:
         monkeypatch.setattr(J, "SLOTS_A_TASK", 300)
         monkeypatch.setattr(J, "PAIRS_A_TASK", 10)
+        monkeypatch.setattr(J, "TOKENS_A_TASK", 400)
         monkeypatch.setattr(J, "TOKENS_A_BUCKET", 500)
         monkeypatch.setattr(C, "MAX_PARTS", 3)
     rng = np.random.default_rng(7)
