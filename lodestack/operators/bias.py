@@ -19,30 +19,36 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("value")).agg(F.count("*").alias("n"))
 
 
-def representation(df: DataFrame, column: str, reference: dict[str, float] | None = None) -> DataFrame:
-    """One row: the attribute's top value and share, chi-square against the reference and Cramer's V.
+def representations(df: DataFrame, columns: Sequence[str], references: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """One row an attribute: its top value and share, chi-square against the reference and Cramer's V, in one scan.
 
     The test needs two reference values that occur and expected counts of at least 5; without a reference only the
-    dominance of one value counts. Ties for the top go to the smallest value. p-values: ``with_p_value``.
+    dominance of one value counts. Ties for the top go to the smallest value. held: whether any value isn't null.
+    p-values: ``with_p_value``.
     """
-    reference = reference or REFERENCE.get(column)
-    c = value_counts(df, column)
-    if reference:
-        ref = df.sparkSession.createDataFrame([(k, float(v)) for k, v in reference.items()], "value string, w double")
-        c = c.join(F.broadcast(ref), "value", "left")
-    else:
-        c = c.withColumn("w", F.lit(None).cast("double"))
+    references = {c: (references or {}).get(c) or REFERENCE.get(c) or {} for c in columns}
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("own")) for c in columns))).alias("x")
+    c = df.select(each).groupBy("x.attribute", F.coalesce("x.own", F.lit("unknown")).alias("value")).agg(F.count("*").alias("n"), F.max(F.col("x.own").isNotNull()).alias("held"))
+    spark = df.sparkSession
+    ref = spark.createDataFrame([(a, k, float(v)) for a, r in references.items() for k, v in r.items()], "attribute string, value string, w double")
+    c = c.join(F.broadcast(ref), ["attribute", "value"], "left")
     seen = F.col("w").isNotNull()
-    t = c.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("k"), F.max(F.struct("n", F.col("value"))).alias("top0"), F.sum(F.when(seen, F.col("n"))).alias("obs"), F.sum("w").alias("wsum"), F.count("w").alias("kr"), F.collect_list(F.struct("value", "n", "w")).alias("cells"))
-    t = t.withColumn("top", F.get(F.array_sort(F.filter("cells", lambda x: x["n"] == F.col("top0.n"))), 0)["value"])
+    t = c.groupBy("attribute").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.max("n").alias("top0"), F.sum(F.when(seen, F.col("n"))).alias("obs"), F.sum("w").alias("wsum"), F.count("w").alias("kr"), F.max("held").alias("held"), F.collect_list(F.struct("value", "n", "w")).alias("cells"))
+    t = spark.createDataFrame([(a,) for a in columns], "attribute string").join(F.broadcast(t), "attribute", "left").fillna(0, ["total", "k", "kr"]).fillna(False, ["held"])
+    t = t.withColumn("top", F.get(F.array_sort(F.filter("cells", lambda x: x["n"] == F.col("top0"))), 0)["value"])
     expected = lambda x: x["w"] / F.col("wsum") * F.col("obs")
     cells = F.filter("cells", lambda x: x["w"].isNotNull())
     fit = (F.col("kr") > 1) & F.forall(cells, lambda x: expected(x) >= 5)
     chi = F.when(fit, F.aggregate(cells, F.lit(0.0), lambda a, x: a + (x["n"] - expected(x)) * (x["n"] - expected(x)) / expected(x)))
     t = t.withColumn("statistic", chi).withColumn("df", F.when(F.col("statistic").isNotNull(), F.col("kr") - 1))
     t = t.withColumn("effect_size", F.sqrt(F.col("statistic") / (F.col("obs") * F.greatest(F.col("kr") - 1, F.lit(1)))))
-    share = F.col("top0.n") / F.col("total")
-    return t.select(F.lit(column).alias("attribute"), F.lit("representation").alias("kind"), "total", F.col("k").alias("n_values"), "top", F.round(share, 4).alias("top_share"), F.round("statistic", 4).alias("statistic"), "df", F.round("effect_size", 4).alias("effect_size"), F.coalesce((share > DOMINANCE) & (F.col("k") > 1), F.lit(False)).alias("dominates"))
+    share = F.col("top0") / F.col("total")
+    return t.select("attribute", F.lit("representation").alias("kind"), "total", F.col("k").alias("n_values"), "top", F.round(share, 4).alias("top_share"), F.round("statistic", 4).alias("statistic"), "df", F.round("effect_size", 4).alias("effect_size"), F.coalesce((share > DOMINANCE) & (F.col("k") > 1), F.lit(False)).alias("dominates"), "held")
+
+
+def representation(df: DataFrame, column: str, reference: dict[str, float] | None = None) -> DataFrame:
+    """The row of one attribute of ``representations``."""
+    return representations(df, [column], {column: reference} if reference else None).drop("held")
 
 
 def _chi2_tail(spark: SparkSession):
@@ -109,11 +115,7 @@ def _running(ties: DataFrame) -> DataFrame:
 
 def audit(df: DataFrame, attributes: Sequence[str], outcomes: Sequence[str] = (), groups: Sequence[str] = ()) -> tuple[DataFrame, DataFrame | None]:
     """Representation of every attribute with any value, and disparity of every outcome by every group."""
-    held = df.select(*(F.max(F.col(c).isNotNull()).alias(c) for c in attributes)).first()
-    rep = None
-    for c in (c for c in attributes if held[c]):
-        one = representation(df, c)
-        rep = one if rep is None else rep.unionByName(one)
+    rep = representations(df, attributes).where("held").drop("held") if attributes else None
     dis = None
     for o in outcomes:
         for g in groups:

@@ -125,3 +125,9 @@ x AS (SELECT sum((n - e) * (n - e) / e) AS chi FROM g)
 SELECT total::bigint AS n, round(chi, 4) AS statistic, round(sqrt(chi / (total * greatest(least((SELECT count(*) FROM nr), (SELECT count(*) FROM nc)) - 1, 1))), 4) AS effect_size FROM x, t""")
 def bias_cramers_two_way(t: Tables) -> DataFrame:
     return bias.cramers_v(t.documents, "lang", "source")
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_rep_sql('documents', c, r)})" for c, r in (("lang", _LANG), ("source", None))))
+def bias_representations(t: Tables) -> DataFrame:
+    """All attributes of the audit in one scan."""
+    return bias.representations(t.documents, ["lang", "source"], {"lang": _LANG}).where("held").drop("held")

@@ -12,7 +12,7 @@ _SHIPPED: set[str] = set()
 
 
 #: Rows of a batch between the JVM and Python: texts are long, and both sides hold a batch more than once.
-ARROW_ROWS = 1_000
+ARROW_ROWS = 500
 
 
 def ship(spark: SparkSession) -> None:
