@@ -30,7 +30,7 @@ U = np.uint64
 TOKENS_A_BUCKET = 1_500_000
 DOCS_A_BUCKET = 8_000
 PAIRS_A_BUCKET = 24_000
-POSTINGS_A_BUCKET = 400_000
+POSTINGS_A_BUCKET = 150_000
 #: Rows whose n-grams one worker holds at a time, and partner slots it expands at a time.
 ROWS_AT_ONCE = 1_000
 SLOTS_AT_ONCE = 1_000_000
@@ -40,7 +40,7 @@ PAIRS_A_TASK = 96_000
 #: n-grams of the documents that one such task holds, about.
 TOKENS_A_TASK = 1_500_000
 #: Tokens of partners that one document is compared with at a time.
-TOKENS_AT_ONCE = 2_000_000
+TOKENS_AT_ONCE = 500_000
 #: Cost of verifying one candidate against scanning one posting.
 VERIFY_COST = 20.0
 
@@ -226,6 +226,7 @@ def _links(t: float):
     """Of one bucket of postings: for each document the partner, of the smallest ones of its tokens, that shares most."""
 
     def run(tb: pa.Table) -> pa.Table:
+        C.trim()
         ids, (n, m, mh, _, _), doc, tok = _postings(tb)
         hub = np.full(int(tok.max()) + 1, len(ids))
         np.minimum.at(hub, tok, doc)
@@ -247,6 +248,7 @@ def _pairs(t: float):
     """
 
     def run(tb: pa.Table) -> pa.Table:
+        C.trim()
         ids, (n, m, mh, label, side), doc, tok = _postings(tb)
         label = np.unique(label, return_inverse=True)[1]
         two = bool(side.any())
@@ -302,6 +304,7 @@ def _verify(t: float, spanning: bool):
     that are connected already aren't compared."""
 
     def run(pairs: pa.Table, docs: pa.Table) -> pa.Table:
+        C.trim()
         if not pairs.num_rows or not docs.num_rows:
             return pa.Table.from_batches([_batch([], "a long, b long, jaccard double")])
         ids = docs.column("doc_id").to_numpy()
@@ -429,7 +432,7 @@ def jaccard_pairs(docs: DataFrame, *, n: int = 3, threshold: float = 0.5, id_col
     Returns (doc_a, doc_b, jaccard) with doc_a < doc_b, one row a pair, equal sets included with 1.0; similarities
     are rounded to 6 places. Rows whose id or text is null, and texts without a word, have no pairs; a text of
     fewer than n words has one n-gram, made of all of them. Rows that repeat an id are one document, with the
-    smallest of their texts. Texts are used whole. Other columns are ignored whatever their names; an empty table
+    smallest of their texts. Texts are used whole. Ids are integers, or cast to them. Other columns are ignored whatever their names; an empty table
     gives an empty result.
     """
     copies, pairs = _join(docs, n, threshold, id_col, text_col, False)
