@@ -49,7 +49,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestack-{uuid.uuid4().hex}"
     _made.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # texts take a third less than by default
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 BLOCK_DOCS = 64
-ROWS_A_BUCKET = 20_000
+ROWS_A_BUCKET = 5_000
 #: Target shares are proportional to documents ** TEMPERATURE unless weights are given.
 TEMPERATURE = 0.7
 _SCALE = 1_000_000
