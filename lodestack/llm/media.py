@@ -570,8 +570,9 @@ def detect_clips(media: DataFrame, *, id_col: str = "media_id", media_col: str =
     """One row a shot: media_id, clip (from 0), first_frame, last_frame, start_ms, end_ms, n_undecoded, width, height.
 
     Every frame of every file is decoded. Null or empty media, files that are no AVI, have no motion-JPEG stream or no
-    frames have no rows. A damaged frame counts as undecoded and looks like the one before. Null ids and repeated
-    rows are handled each. Other columns are ignored whatever their names; an empty table gives an empty result.
+    frames have no rows. A damaged frame counts as undecoded and looks like the one before. Memory is that of the file and
+    of one slice of frames, however long the film. Equal differences are cuts or not alike. Null ids and repeated rows are
+    handled each. Other columns are ignored whatever their names; an empty table gives an empty result.
     """
     kind = media.schema[id_col].dataType.simpleString()
 

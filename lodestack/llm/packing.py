@@ -100,11 +100,14 @@ def pack_documents(docs: DataFrame, *, window: int = WINDOW, docs_per_shard: int
 
     Documents arrive in ``order``, then by id and length; in order of id if none is given. A document of more than
     ``window`` tokens fills whole windows and its rest is placed as a document; one without tokens (null or empty
-    text) has one row with no window. Rows with a null id are packed as others; repeated rows are packed each. Other
-    columns are ignored whatever their names. An empty table gives an empty result.
+    text) has one row with no window. Of equally good fill levels the fullest is taken. Rows with a null id are packed as
+    others, spread by their text; repeated rows are packed each. Ids are integers, or cast to them. Other columns are
+    ignored whatever their names. An empty table gives an empty result.
     """
     shards = C.parts(docs.count(), docs_per_shard)
-    d = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).cast("long").alias("doc_id"), *(o.alias(f"__o{i}") for i, o in enumerate(order)))
+    text, own = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    # rows without an id are told apart by their text, so that they don't all meet in one shard
+    d = docs.select(text.alias("__text"), own.alias("doc_id"), F.when(own.isNull(), F.xxhash64(text)).alias("__salt"), *(o.alias(f"__o{i}") for i, o in enumerate(order)))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[1:])
-    n = d.mapInArrow(count_tokens(vocab), f"n_tokens long, {kinds}").withColumn("__shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)))
+    n = d.mapInArrow(count_tokens(vocab), f"n_tokens long, {kinds}").withColumn("__shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "__salt"), F.lit(shards))).drop("__salt")
     return n.groupBy("__shard").applyInArrow(_pack_shard(window), SCHEMA)

@@ -92,6 +92,20 @@ def test_deep_page_is_extracted():
     np.testing.assert_allclose(mu, H.sum_product(f, f.x @ m.w, m.pair)[0])
 
 
+def test_extraction_against_enumeration(spark):
+    """Text, counts and confidence of small pages, from marginals by enumeration of all labelings."""
+    small = ["<p>one, two.</p><ul><li><a>x</a><li>y</ul>", "<div><b>bold</b> plain<p>more text here.</p></div>", "bare", "<nav><a>home</a></nav><p>a<span>b</span>c</p>", "<table><tr><td>1<td>2</table>"]
+    m = H.train([H.parse(f"<nav><a href=x>link{i}</a></nav><article><p>some text, of a page {i}.</p></article>") for i in range(5)])
+    d = spark.createDataFrame([(i, h) for i, h in enumerate(small)], "page_id long, html string")
+    for r in H.extract_content(d, m).collect():
+        f = H.Forest([p := H.parse(small[r["page_id"]])])
+        mu = brute_marginals(f.parent.tolist(), f.x @ m.w, m.pair, f.edge)
+        own = [(e, t) for e, t in p.seg if mu[e] >= 0.5]
+        assert (r["n_elements"], r["n_content"]) == (len(p.tag) - 1, len({e for e, _ in own}))
+        assert r["confidence"] == pytest.approx(sum(mu[e] * len(t) for e, t in own) / max(1, sum(len(t) for _, t in own)), abs=1e-6)
+        assert re.sub(r"\s", "", r["text"]) == re.sub(r"\s", "", "".join(t for _, t in own))
+
+
 def test_extraction_held_out(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet")
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").collect()}
@@ -144,6 +158,12 @@ def brute_pack(lengths, size):
     return where, len(level)
 
 
+def test_rows_without_id_spread_over_shards(spark):
+    d = frame(spark, 300).selectExpr("cast(null as long) as doc_id", "concat(text, ' ', doc_id) as text")
+    rows = packing.pack_documents(d, window=64, docs_per_shard=30).collect()
+    assert len(rows) >= 300 and len({r["window_id"] >> 40 for r in rows}) >= 5
+
+
 def test_placement_against_brute_force():
     rng = np.random.default_rng(2)
     for size in (7, 16, 40):
