@@ -13,7 +13,8 @@ cover every document and every n-gram; there are no caps.
 Postings and candidates of one group of copies meet in one bucket; where a bucket has too much work for a task, its
 documents are divided into r parts, and each pair of parts is a task of its own. For groups alone, documents are first
 linked to one likely partner each; what these links connect isn't compared again, so that a large group costs in
-proportion to its size.
+proportion to its size. All links of a document lie within its group, so their number is counted there, by overlaps of
+blocks of documents as matrix products, without a row for any pair.
 """
 
 from __future__ import annotations
@@ -41,6 +42,13 @@ PAIRS_A_TASK = 96_000
 TOKENS_A_TASK = 1_500_000
 #: Tokens of partners that one document is compared with at a time.
 TOKENS_AT_ONCE = 500_000
+#: Documents of a group that are counted against each other at a time, n-grams that one matrix product spans, and for an
+#: n-gram the share of its blocks' pairs, as one in so many, from which it enters that product.
+DOCS_A_BLOCK = 2_000
+NGRAMS_A_PRODUCT = 2_048
+DENSE = 128
+#: Rows of a block whose similarities are held at a time.
+ROWS_A_BLOCK = 256
 #: Cost of verifying one candidate against scanning one posting.
 VERIFY_COST = 20.0
 
@@ -348,6 +356,77 @@ def _verify(t: float, spanning: bool):
     return run
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of ``a`` shares with each of ``b``: frequent ones by matrix products, the rest one by one."""
+    na, nb = len(a), len(b)
+    over = np.zeros((na, nb), np.int32)
+    flat = over.ravel()
+    inv = np.unique(np.concatenate(a + b), return_inverse=True)[1]
+    cut = sum(map(len, a))
+    tok_a, tok_b = inv[:cut], inv[cut:]
+    row_a, row_b = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (a, b))
+    df_a, df_b = (np.bincount(x, minlength=int(inv.max(initial=0)) + 1) for x in (tok_a, tok_b))
+    work = df_a * df_b
+    heavy = work * DENSE > na * nb
+    col = np.cumsum(heavy) - 1
+    sides = []
+    for tok, row in ((tok_a, row_a), (tok_b, row_b)):
+        at = np.flatnonzero(heavy[tok])
+        at = at[np.argsort(col[tok[at]], kind="stable")]
+        sides.append((col[tok[at]], row[at]))
+    for first in range(0, int(heavy.sum()), NGRAMS_A_PRODUCT):
+        width = min(NGRAMS_A_PRODUCT, int(heavy.sum()) - first)
+        m = []
+        for (c, row), rows in zip(sides, (na, nb)):
+            i, j = np.searchsorted(c, (first, first + width))
+            m.append(np.zeros((rows, width), np.float32))
+            m[-1][row[i:j], c[i:j] - first] = 1
+        over += (m[0] @ m[1].T).astype(np.int32)
+    at = np.flatnonzero((work > 0)[tok_a] & ~heavy[tok_a])
+    slots, base = df_b[tok_a[at]], row_a[at] * nb
+    start = (np.cumsum(df_b) - df_b)[tok_a[at]]
+    row_b = row_b[np.argsort(tok_b, kind="stable")]
+    total = np.cumsum(slots)
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + SLOTS_AT_ONCE, "right")))
+        own = slots[i:j]
+        np.add.at(flat, np.repeat(base[i:j], own) + row_b[np.arange(int(own.sum())) + np.repeat(start[i:j] - (np.cumsum(own) - own), own)], 1)
+        i = j
+    return over
+
+
+def _degrees(t: float):
+    """Of some groups, or of two parts of one: for each document the weight of those that are its partners."""
+
+    def run(tb: pa.Table) -> pa.Table:
+        C.trim()
+        ids, root, n, w, side = (tb.column(c).to_numpy() for c in ("doc_id", "root", "n", "w", "side"))
+        toks = [np.frombuffer(x.as_buffer(), U) for x in tb.column("toks")]
+        two = tb.column("lo")[0].as_py() != tb.column("hi")[0].as_py()
+        links = np.zeros(len(ids), np.int64)
+        order = np.argsort(root, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], root[order][1:] != root[order][:-1], [True])))
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            a = b = order[s:e]
+            if two:
+                a, b = a[side[a] == 0], b[side[b] > 0]
+            if not len(a) or not len(b):
+                continue
+            over = _overlaps([toks[i] for i in a], [toks[i] for i in b])
+            for i in range(0, len(a), ROWS_A_BLOCK):
+                own, o = a[i : i + ROWS_A_BLOCK], over[i : i + ROWS_A_BLOCK]
+                hit = o / (n[own][:, None].astype(np.int64) + n[b] - o) >= t - 1e-12
+                if two:
+                    links[b] += w[own] @ hit
+                else:
+                    hit[np.arange(len(own)), np.arange(i, i + len(own))] = False
+                links[own] += hit @ w[b]
+        return pa.table({"doc_id": ids, "links": links})
+
+    return run
+
+
 def _one_row_an_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     again = d.groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -357,8 +436,8 @@ def _one_row_an_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.join(again, "doc_id", "left_anti").unionByName(d.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
-def _join(docs: DataFrame, n: int, t: float, id_col: str, text_col: str, spanning: bool) -> tuple[DataFrame, DataFrame]:
-    """(copies: doc_id, rep of equal sets; pairs of reps: a < b, jaccard)."""
+def _join(docs: DataFrame, n: int, t: float, id_col: str, text_col: str, spanning: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """(copies: doc_id, rep of equal sets; pairs of reps: a < b, jaccard; all documents; reps with their prefixes; buckets of postings)."""
     if not 0 < t <= 1 or n < 1:
         raise ValueError("threshold must be in (0, 1] and n at least 1")
     size = C.measured(docs.select(F.col(text_col).cast("string").alias("text")))[1]
@@ -375,15 +454,16 @@ def _join(docs: DataFrame, n: int, t: float, id_col: str, text_col: str, spannin
     extra = C.maybe_broadcast(copies.where("doc_id != rep").select("doc_id"))
     own = table.select("doc_id", "n", "m", "mh", "prefix", "firsts", "costs").join(extra, "doc_id", "left_anti")
     k = C.parts(own.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0], POSTINGS_A_BUCKET)
+    reps = own
     if not spanning:
-        return copies, _compared(_candidates(own.withColumn("label", F.col("doc_id")), k, t), table, t, False)
+        return copies, _compared(_candidates(own.withColumn("label", F.col("doc_id")), k, t), table, t, False), table, reps, k
     post = _exploded(own.withColumn("label", F.col("doc_id")), k).withColumn("side", F.lit(0))
     links = post.repartition(min(k, C.MAX_PARTS), "bucket").groupBy("bucket").applyInArrow(_links(t), _PAIR)
     links = links.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb", "h"), F.struct("shared", -F.col("a"))).alias("x")).select("x.a", "b", "x.na", "x.nb", "x.h")
     links = C.materialize(_compared(links, table, t, True))
     known = C.maybe_broadcast(C.materialize(components(links.select("a", "b"))))
     own = own.join(known, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id"))
-    return copies, links.unionByName(_compared(_candidates(own, k, t), table, t, True))
+    return copies, links.unionByName(_compared(_candidates(own, k, t), table, t, True)), table, reps, k
 
 
 def _exploded(own: DataFrame, k: int) -> DataFrame:
@@ -435,7 +515,7 @@ def jaccard_pairs(docs: DataFrame, *, n: int = 3, threshold: float = 0.5, id_col
     smallest of their texts. Texts are used whole. Ids are integers, or cast to them. Other columns are ignored whatever their names; an empty table
     gives an empty result.
     """
-    copies, pairs = _join(docs, n, threshold, id_col, text_col, False)
+    copies, pairs, *_ = _join(docs, n, threshold, id_col, text_col, False)
     pairs = C.materialize(pairs)
     many = copies.groupBy("rep").agg(F.collect_list("doc_id").alias("ids")).where("size(ids) > 1")
     same = many.select(F.explode("ids").alias("doc_a"), "ids").select("doc_a", F.explode("ids").alias("doc_b")).where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
@@ -448,6 +528,8 @@ def jaccard_pairs(docs: DataFrame, *, n: int = 3, threshold: float = 0.5, id_col
 
 #: Groups of equal sets that are broadcast when pairs are expanded; beyond it the join shuffles.
 BROADCAST_GROUPS = 20_000
+#: A group of several blocks is sparse where its postings meet fewer others than its documents squared, as one in so many.
+SPARSE = 4
 #: Edges that one task joins in memory; beyond it components are found by distributed star contraction.
 LOCAL_EDGES = 1_000_000
 
@@ -487,13 +569,64 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     return e.select(F.col("a").alias("doc_id"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("doc_id"), F.col("b").alias("root")).distinct())
 
 
+def _linked(group: DataFrame, table: DataFrame, own: DataFrame, k: int, t: float) -> DataFrame:
+    """Of reps in groups (doc_id, root, n, w, slots): (doc_id, links), the weight w of each one's partners.
+
+    In a group of two each is the other's partner. Others are compared all with all in blocks; a group of more than a block in
+    which few pairs share a prefix token goes by candidates instead.
+    """
+    size = group.groupBy("root").agg(F.count("*").alias("g"), F.sum("w").alias("all"), F.sum("n").alias("t"), F.sum("slots").alias("s"))
+    r = F.greatest(F.ceil(F.col("g") / DOCS_A_BLOCK), F.when(F.col("t") > TOKENS_A_TASK, F.ceil(2 * F.col("t") / TOKENS_A_TASK)).otherwise(1)).cast("int")
+    sparse = (F.col("r") > 1) & (F.col("s") < F.col("g") * F.col("g") / SPARSE)
+    size = C.materialize(size.withColumn("r", r).withColumn("way", F.when(F.col("g") == 2, "two").when(sparse, "sparse").otherwise("blocks")))
+    group = C.materialize(group.join(C.maybe_broadcast(size.select("root", "all", "r", "way")), "root"))
+    two = group.where("way = 'two'").select("doc_id", (F.col("all") - F.col("w")).alias("links"))
+    whole, parts = size.where("way = 'blocks'").agg(F.coalesce(F.sum(F.when(F.col("r") == 1, F.col("t"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("r") > 1, F.col("r") * (F.col("r") + 1) / 2)), F.lit(0)).cast("long")).first()
+    buckets = C.parts(whole, TOKENS_A_TASK // 3)
+    x = table.select("doc_id", "toks").join(C.maybe_broadcast(group.where("way = 'blocks'").select("doc_id", "root", "n", "w", "r")), "doc_id")
+    # whole groups share a bucket; the parts of a divided one, from 1, meet each other in pairs
+    hot = F.col("r") > 1
+    x = x.withColumn("g", F.when(hot, F.pmod(F.xxhash64("doc_id"), F.col("r")) + 1).otherwise(0).cast("int"))
+    x = x.withColumn("o", F.explode(F.when(hot, F.sequence(F.lit(1), F.col("r"))).otherwise(F.array(F.lit(0)))))
+    x = x.withColumns({"key": F.when(hot, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(buckets))), "lo": F.least("g", "o"), "hi": F.greatest("g", "o")})
+    x = x.withColumn("side", ((F.col("lo") != F.col("hi")) & (F.col("g") == F.col("hi"))).cast("int")).drop("r", "g", "o")
+    blocks = x.repartition(min(C.MAX_PARTS, buckets + parts), "key", "lo", "hi").groupBy("key", "lo", "hi").applyInArrow(_degrees(t), "doc_id long, links long")
+    few = group.where("way = 'sparse'")
+    if not few.isEmpty():
+        pairs = _compared(_candidates(own.join(C.maybe_broadcast(few.select("doc_id")), "doc_id", "left_semi").withColumn("label", F.col("doc_id")), k, t), table, t, False)
+        ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        blocks = blocks.unionByName(ends.join(C.maybe_broadcast(few.select(F.col("doc_id").alias("b"), "w")), "b").select(F.col("a").alias("doc_id"), F.col("w").alias("links")))
+    return two.unionByName(blocks.groupBy("doc_id").agg(F.sum("links").alias("links")))
+
+
+def jaccard_classes(docs: DataFrame, *, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, links) of every document: links is the number of pairs of ``jaccard_pairs`` that it is in, copies
+    included, and class_id the smallest id of those that links connect with it, directly or not; without a link, its own.
+
+    One row an id. Rows of null id have none; documents whose text is null or has no word have no links. Other edge cases are
+    those of ``jaccard_pairs``.
+    """
+    copies, pairs, table, own, k = _join(docs, n, threshold, id_col, text_col, True)
+    root = C.materialize(components(pairs.select("a", "b")))
+    many = C.materialize(copies.groupBy(F.col("rep").alias("doc_id")).agg(F.count("*").alias("w")).where("w > 1"))
+    facts = own.select("doc_id", "n", F.expr("aggregate(costs, 0L, (s, x) -> s + x - 1)").alias("slots"))
+    group = facts.join(C.maybe_broadcast(root), "doc_id").join(C.maybe_broadcast(many), "doc_id", "left").withColumn("w", F.coalesce("w", F.lit(1)))
+    linked = C.materialize(_linked(group, table, own, k, threshold))
+    reps = root.join(linked, "doc_id").join(many, "doc_id", "full")
+    reps = C.materialize(reps.select(F.col("doc_id").alias("rep"), F.coalesce("root", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("w", F.lit(1)) - 1).alias("links")))
+    more = copies.where("doc_id != rep").join(C.maybe_broadcast(reps), "rep").select("doc_id", "class_id", "links")
+    found = C.maybe_broadcast(C.materialize(reps.withColumnRenamed("rep", "doc_id").unionByName(more)))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def near_duplicates(docs: DataFrame, *, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, root) of every document with a partner; root is the smallest id of its group.
 
     Groups are the connected components of ``jaccard_pairs``. Pairs within what is already connected aren't compared,
     so that a group of g documents costs about g comparisons here. Edge cases are those of ``jaccard_pairs``.
     """
-    copies, pairs = _join(docs, n, threshold, id_col, text_col, True)
+    copies, pairs, *_ = _join(docs, n, threshold, id_col, text_col, True)
     return components(pairs.select("a", "b").unionByName(copies.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
 
 
@@ -515,3 +648,14 @@ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT doc_a, doc_b, round(k / (x.n + y.n - k)::double, 6) AS jaccard FROM p JOIN n x ON doc_a = x.doc_id JOIN n y ON doc_b = y.doc_id WHERE k / (x.n + y.n - k)::double >= 0.5
 """
+
+#: jaccard_classes with its default parameters over documents: the pairs of ORACLE_SQL, counted and connected.
+CLASSES_SQL = rf"""
+WITH RECURSIVE pairs AS MATERIALIZED ({ORACLE_SQL}),
+e AS MATERIALIZED (SELECT doc_a AS a, doc_b AS b FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs),
+d AS MATERIALIZED (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL),
+r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON r.doc_id = e.a AND r.root < e.b),
+c AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id),
+l AS (SELECT a AS doc_id, count(*) AS links FROM e GROUP BY a)
+SELECT doc_id, class_id, coalesce(links, 0) AS links FROM c LEFT JOIN l USING (doc_id)
+"""

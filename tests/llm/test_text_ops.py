@@ -112,6 +112,71 @@ def test_groups_against_brute_force(spark, monkeypatch, divided):
     assert {r["doc_id"]: r["root"] for r in J.near_duplicates(d).collect()} == groups_of(want)
 
 
+def classes_of(rows, pairs):
+    root, links = groups_of(pairs), {}
+    for v in itertools.chain(*pairs):
+        links[v] = links.get(v, 0) + 1
+    return sorted((i, root.get(i, i), links.get(i, 0)) for i in {i for i, _ in rows if i is not None})
+
+
+@pytest.mark.parametrize("way", ["whole", "blocks", "sparse"])
+def test_classes_against_brute_force(spark, monkeypatch, way):
+    """Every link of every document is counted, copies' too, in whole groups, in blocks and by candidates, and no pair has a row."""
+    if way != "whole":
+        monkeypatch.setattr(J, "DOCS_A_BLOCK", 5)
+        monkeypatch.setattr(J, "TOKENS_A_TASK", 400)
+        monkeypatch.setattr(J, "NGRAMS_A_PRODUCT", 7)
+        monkeypatch.setattr(J, "DENSE", 2)
+        monkeypatch.setattr(J, "SLOTS_AT_ONCE", 50)
+        monkeypatch.setattr(J, "ROWS_A_BLOCK", 3)
+        monkeypatch.setattr(J, "SPARSE", 1e-9 if way == "sparse" else 1e9)
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(900)]
+    rows = []
+    for size in (1, 2, 2, 3, 14, 40):
+        base = rng.choice(words, 50).tolist()
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rng.integers(0, 6)):
+                own[int(rng.integers(0, 50))] = words[int(rng.integers(0, 900))]
+            rows.append((len(rows) - 20, " ".join(own)))
+    text = rng.choice(words, 60).tolist()
+    for _ in range(25):  # a chain, whose ends share little
+        at = int(rng.integers(0, 56))
+        text[at : at + 4] = rng.choice(words, 4).tolist()
+        rows.append((len(rows) - 20, " ".join(text)))
+    rows += [(500 + i, t) for i, t in rows[::3]] + [(900 + i, rows[0][1]) for i in range(4)] + [(950, "alone in the world"), (951, None), (952, "?!"), (None, rows[5][1]), (953, "one two three"), (954, "One, two three.")]
+    found = J.jaccard_classes(frame(spark, rows)).collect()
+    pairs = brute_pairs([r for r in rows if r[0] is not None and r[1]], 0.5)
+    assert sorted(map(tuple, found)) == classes_of(rows, pairs) and sum(r["links"] for r in found) == 2 * len(pairs) > 2000
+    assert J.jaccard_classes(frame(spark, [])).count() == 0
+
+
+def test_overlaps_of_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    a, b = ([rng.choice(np.arange(1000, 1000 + int(k), dtype=np.uint64), 20, replace=False) for k in rng.choice([25, 60, 4000], size)] for size in (30, 17))
+    want = [[len({*x.tolist()} & {*y.tolist()}) for y in b] for x in a]
+    for dense, width, slots in ((128, 2048, 10**6), (0, 2048, 3), (10**6, 5, 3), (4, 3, 7)):
+        monkeypatch.setattr(J, "DENSE", dense)
+        monkeypatch.setattr(J, "NGRAMS_A_PRODUCT", width)
+        monkeypatch.setattr(J, "SLOTS_AT_ONCE", slots)
+        assert J._overlaps(a, b).tolist() == want
+
+
+def test_rows_of_the_join_grow_with_documents(spark, tmp_path):
+    """A group of near copies twice as large gives twice the rows of op3, not four times."""
+    from lodestack.llm.queries import QUERIES
+
+    words = [f"w{i}" for i in range(60)]
+    counts = []
+    for size in (40, 80):
+        frame(spark, [(i, " ".join([*words, f"own{i}"])) for i in range(size)]).write.parquet(f"{tmp_path}/{size}/documents.parquet")
+        got = QUERIES["op3_ngram_jaccard_join"](spark, f"{tmp_path}/{size}").collect()
+        assert {(r["class_id"], r["links"]) for r in got} == {(0, size - 1)}
+        counts.append(len(got))
+    assert counts == [40, 80]
+
+
 def test_buckets_share_partitions_beyond_the_limit(spark):
     d = spark.range(1000).selectExpr("cast(id % 37 as int) as b", "id")
     fn = lambda t: pa.table({"b": t.column("b").slice(0, 1), "n": pa.array([t.num_rows], pa.int64()), "s": pa.array([sum(t.column("id").to_pylist())], pa.int64())}).to_batches()
@@ -483,6 +548,10 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert rows_of(QUERIES[name](spark, sf_dir)) == rows_of_sql(ORACLES[name], sf_dir)
 
 
+def test_pairs_equal_sql(spark, sf_dir):
+    assert rows_of(J.jaccard_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))) == rows_of_sql(J.ORACLE_SQL, sf_dir)
+
+
 def test_reputation_edges(spark):
     urls = [(1, "http://a.x.com/1"), (2, "http://a.x.com/2"), (3, "https://b.x.com:8080/"), (4, "HTTP://U:p@B.X.COM./q"), (5, None), (6, "no url"), (7, "http://10.0.0.1/z"), (8, "http://w.co.uk/"), (9, "http://co.uk/"), (None, "http://a.x.com/"), (1, "http://a.x.com/1"), (10, "http://localhost/")]
     p = spark.createDataFrame([(i, u, "s", 0) for i, u in urls], "page_id long, url string, host string, n int")
