@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +26,23 @@ def sorted_finite(volume: Column) -> Column:
     return F.array_sort(F.filter(volume, lambda x: x.isNotNull() & finite(x)))
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once a row. A column that is used once in a lambda is moved into it by the
+    optimiser, which drops the projection before it, and is then computed for each element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def percentile_of(sorted_values: Column, q: float) -> Column:
     """Linear interpolation in a sorted array; null if empty."""
-    pos = (F.size(sorted_values) - 1) * F.lit(q)
-    lo = F.floor(pos).cast("int")
-    a = F.try_element_at(sorted_values, lo + 1)
-    b = F.coalesce(F.try_element_at(sorted_values, lo + 2), a)
-    return F.when(F.size(sorted_values) > 0, a + (b - a) * (pos - lo))
+
+    def at(s: Column) -> Column:
+        pos = (F.size(s) - 1) * F.lit(q)
+        lo = F.floor(pos).cast("int")
+        a = F.try_element_at(s, lo + 1)
+        b = F.coalesce(F.try_element_at(s, lo + 2), a)
+        return F.when(F.size(s) > 0, a + (b - a) * (pos - lo))
+
+    return let(sorted_values, at)
 
 
 def mean_of(values: Column) -> Column:
@@ -109,14 +121,13 @@ def with_continuity(df: DataFrame, diffs: str, out: str) -> DataFrame:
     each jump (8 median absolute deviations from the median).
     """
     x = F.col(diffs)
-    d = df.withColumn("__med", percentile_of(F.array_sort(x), 0.5))
-    d = d.withColumns({"__dev": F.transform(x, lambda v: F.abs(v - F.col("__med"))), "__mid": F.col("__med")})
-    d = d.withColumn("__mad", percentile_of(F.array_sort("__dev"), 0.5) + EPS).withColumn("__far", 8 * F.col("__mad"))
-    d = d.withColumns({"__jumps": F.size(F.filter("__dev", lambda v: v > F.col("__far"))), "__lim": F.col("__far")})
+    median = lambda v: percentile_of(F.array_sort(v), 0.5)
+    far = lambda dev: let(8 * (median(dev) + EPS), lambda most: F.size(F.filter(dev, lambda v: v > most)))
+    jumps = let(median(x), lambda m: let(F.transform(x, lambda v: F.abs(v - m)), far))
     dups = F.size(F.filter(x, lambda v: v < 1e-6))
     bad = F.exists(x, lambda v: ~finite(v)) | (mean_of(x) == 0)
-    r = F.when(x.isNull() | (F.size(x) < 2), 1.0).when(bad, 0.0).otherwise(clip01(1 - (0.15 * dups + 0.10 * F.col("__jumps"))))
-    return d.withColumn(out, r).drop("__med", "__mid", "__dev", "__mad", "__far", "__lim", "__jumps")
+    r = F.when(x.isNull() | (F.size(x) < 2), 1.0).when(bad, 0.0).otherwise(clip01(1 - (0.15 * dups + 0.10 * jumps)))
+    return df.withColumn(out, r)
 
 
 def slice_differences(slices: DataFrame, volume_id: str, index: str, values: str) -> DataFrame:
