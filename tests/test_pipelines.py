@@ -215,3 +215,31 @@ def test_streaming(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     got = [r[0] for r in spark.read.parquet(f"{tmp_path}/out2").collect()]
     assert len(got) == len(set(got)) == spark.read.parquet(f"{tmp_path}/in").select("user_id").distinct().count()
+
+
+def test_scan_is_that_of_spark_in_few_tasks(spark, tmp_path):
+    """A task for 32 files made most of the time of a scan of many small ones."""
+    for i in range(1000):
+        put(f"{tmp_path}/in/p{i % 300}/s{i}/a.dcm", b"x" * (i % 7))
+    for name in ("top.dcm", "p1/.hidden.dcm", "_dir/x.dcm", "_k=v/x.dcm", ".dir/x.dcm", "p 2/ä b.dcm", "p3/X.DCM", "p4/x.txt", "_metadata.dcm", "p5/_x.dcm", "a/b/c/d/e/deep.dcm"):
+        put(f"{tmp_path}/in/{name}", name.encode())
+    os.makedirs(f"{tmp_path}/in/empty")
+    os.symlink(f"{tmp_path}/nowhere", f"{tmp_path}/in/p6/broken.dcm")
+    os.symlink(f"{tmp_path}/in/top.dcm", f"{tmp_path}/in/p7/link.dcm")
+    for patterns in (("*.dcm",), ("*.dcm", "*.txt"), ("*",)):
+        got, plain = files.scan(spark, f"{tmp_path}/in", patterns), files._binary(spark, f"file://{tmp_path}/in", patterns)
+        assert got.schema == plain.schema
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+        assert got.rdd.getNumPartitions() <= 16 < plain.rdd.getNumPartitions()
+    flat = files.listing(spark, f"{tmp_path}/in/a/b/c/d/e")
+    assert [r["length"] for r in flat.collect()] == [18] and files.listing(spark, f"{tmp_path}/in/empty").count() == 0
+    gone = flat.withColumn("path", F.concat("path", F.lit("x"))).union(flat)
+    assert [bytes(r["content"]) for r in files.with_content(gone, missing="drop").collect()] == [b"a/b/c/d/e/deep.dcm"]
+
+
+def test_content_comes_in_bounded_batches(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        put(f"{tmp_path}/in/f{i}", bytes([i]) * (1 << 20))
+    monkeypatch.setattr(files, "BATCH_BYTES", 2 << 20)
+    sizes = files.scan(spark, f"{tmp_path}/in").coalesce(1).mapInArrow(lambda bs: bs, "path string, modificationTime timestamp, length long, content binary")
+    assert sorted(r["content"][0] for r in sizes.select("content").collect()) == list(range(40))
