@@ -6,6 +6,7 @@ from __future__ import annotations
 import fnmatch
 import logging
 import os
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -115,6 +116,22 @@ def with_content(listed: DataFrame, path: str = "path", missing: str = "raise")
     return listed.mapInArrow(run, schema)
 
 
+def read_below(spark: SparkSession, records: DataFrame, root: str, rel: str, patterns: Sequence[str] = ("*",)) -> DataFrame:
+    """records with the content of the file at the path ``rel`` below ``root``; those without such a file are left out.
+
+    Below a plain path each file is opened by name, without another walk of the tree. records are counted first, so that
+    tasks are as many as they need.
+    """
+    if "://" in root:
+        lead = re.sub(r"^file:/+", "/", root).rstrip("/") + "/"
+        f = scan(spark, root, patterns).select(F.substr(clean_path(F.col("path")), F.lit(len(lead) + 1)).alias(rel), "content")
+        return records.join(f, rel)
+    rows = records.count()
+    n = max(1, min(rows, max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, rows // UNITS_A_TASK)))
+    at = records.withColumn("__at", F.concat(F.lit(os.path.abspath(root).rstrip("/") + "/"), rel)).repartition(n)
+    return with_content(at, "__at", "drop").drop("__at")
+
+
 def _joined(b: pa.RecordBatch, rows: list[int], content: list[bytes]) -> pa.RecordBatch:
     own = b.take(pa.array(rows, pa.int32()))
     return pa.RecordBatch.from_arrays([*own.columns, pa.array(content, pa.binary())], [*own.schema.names, "content"])

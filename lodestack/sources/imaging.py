@@ -20,12 +20,14 @@ def scan_mri(spark: SparkSession, root: str) -> DataFrame:
     Images and masks are decoded once each; a mask's volume uses the image's spacing and is left out where the image
     can't be read.
     """
-    f = files.scan(spark, root, ("*.nii", "*.nii.gz")).withColumn("path", files.clean_path(F.col("path")))
+    far = "://" in root
+    f = (files.scan if far else files.listing)(spark, root, ("*.nii", "*.nii.gz")).withColumn("path", files.clean_path(F.col("path")))
+    read = (lambda d: d) if far else files.with_content
     lead = os.path.abspath(root).rstrip("/") + "/"
     f = f.withColumns({"patient_id": files.part(F.col("path"), 2), "modality": file_modality(files.part(F.col("path"), 1)), "filepath": F.when(F.col("path").startswith(lead), F.substr("path", F.lit(len(lead) + 1))).otherwise(F.col("path"))}).where("modality is not null")
     keys = ("patient_id", "modality", "filepath", "length")
-    image = nifti.probe(f.where(F.col("modality").isin(*MODALITIES)), keys)
-    mask = nifti.probe_masks(f.where("modality = 'seg'"), ("patient_id", "filepath")).withColumnRenamed("filepath", "mask_path")
+    image = nifti.probe(read(f.where(F.col("modality").isin(*MODALITIES))), keys)
+    mask = nifti.probe_masks(read(f.where("modality = 'seg'")), ("patient_id", "filepath")).withColumnRenamed("filepath", "mask_path")
     d = image.join(mask, "patient_id", "left")
     ok = F.col("readable") & F.col("mask_path").isNotNull()
     voxel = F.when(F.size("voxel_spacing") > 0, voxel_volume(F.col("voxel_spacing"))).otherwise(1.0)
@@ -71,9 +73,10 @@ def clinical_table(spark: SparkSession, csv: str, root: str, tumour_label: int =
 def channel_table(manifest: DataFrame, split: str, channels: tuple[str, ...] = MODALITIES) -> DataFrame:
     """One row a subject of a split (extra.split): a path a channel, in order, and the mask's. A subject that lacks a
     channel raises KeyError."""
-    d = manifest.where(F.col("extra")["split"] == split).groupBy("patient_id").pivot("modality", list(channels)).agg(F.first("filepath"))
-    m = manifest.groupBy("patient_id").agg(F.max("mask_path").alias("mask_path"))
-    d = d.join(m, "patient_id")
+    own = F.col("extra")["split"] == split
+    path = lambda c: F.first(F.when(own & (F.col("modality") == c), F.col("filepath")), ignorenulls=True).alias(c)
+    d = manifest.where("patient_id is not null").groupBy("patient_id").agg(*map(path, channels), F.max("mask_path").alias("mask_path"), F.max(own).alias("__own")).where("__own").drop("__own")
+    d = d.persist()  # the manifest may be a scan, which the check and the result would each repeat
     missing = d.where(" or ".join(f"`{c}` is null" for c in channels)).select("patient_id").limit(5).collect()
     if missing:
         raise KeyError(f"subjects without all channels: {[r[0] for r in missing]}")
@@ -87,8 +90,6 @@ def training_set(spark: SparkSession, manifest: DataFrame, root: str, split: str
     ``channel_table``. Each file is decoded once, by the tasks that read it.
     """
     t = channel_table(manifest, split, channels)
-    lead = os.path.abspath(root).rstrip("/") + "/"
-    f = files.scan(spark, root, ("*.nii", "*.nii.gz")).select(F.substr(files.clean_path(F.col("path")), F.lit(len(lead) + 1)).alias("rel"), "content")
     want = t.select("patient_id", F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.col(f"`{c}`").alias("rel")) for i, c in enumerate((*channels, "mask_path"))))).alias("x")).select("patient_id", "x.*").where("rel is not null")
 
     def decode(batches):
@@ -96,7 +97,7 @@ def training_set(spark: SparkSession, manifest: DataFrame, root: str, split: str
             data = [nifti.read(bytes(c))[0] for c in b["content"]]
             yield b[["patient_id", "at"]].assign(shape=[list(x.shape) for x in data], v=[x.ravel().astype("f4") for x in data])
 
-    one = want.join(f, "rel").select("patient_id", "at", "content").mapInPandas(decode, "patient_id string, at int, shape array<int>, v array<float>")
+    one = files.read_below(spark, want, root, "rel", ("*.nii", "*.nii.gz")).select("patient_id", "at", "content").mapInPandas(decode, "patient_id string, at int, shape array<int>, v array<float>")
     n = len(channels)
     g = one.groupBy("patient_id").agg(F.max_by("shape", -F.col("at")).alias("shape"), F.array_sort(F.collect_list(F.struct("at", "v"))).alias("x"))
     mask = F.get(F.filter("x", lambda e: e["at"] == n), 0)["v"]

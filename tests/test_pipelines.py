@@ -243,3 +243,27 @@ def test_content_comes_in_bounded_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "BATCH_BYTES", 2 << 20)
     sizes = files.scan(spark, f"{tmp_path}/in").coalesce(1).mapInArrow(lambda bs: bs, "path string, modificationTime timestamp, length long, content binary")
     assert sorted(r["content"][0] for r in sizes.select("content").collect()) == list(range(40))
+
+
+def test_training_set_computes_the_manifest_once(spark, tmp_path):
+    """The check of channels and the result each computed it twice, and with it the scan that it came from."""
+    for i in range(3):
+        for c in ("t1", "t2", *["seg"] * (i > 0)):
+            put(f"{tmp_path}/in/s{i}/s{i}_{c}.nii.gz", nifti.write(np.full((2, 2, 1), i + 1 if c != "seg" else 4, np.int16), np.eye(4)))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    m = imaging.scan_mri(spark, f"{tmp_path}/in").select("patient_id", "modality", "filepath", "mask_path")
+    m = m.mapInPandas(count, m.schema).withColumn("extra", F.create_map(F.lit("split"), F.when(F.col("patient_id") != "s2", "train").otherwise("test")))
+    got = {r["patient_id"]: r for r in imaging.training_set(spark, m, f"{tmp_path}/in", "train", ("t1", "t2")).collect()}
+    assert seen.value == 6
+    assert {k: (r["shape"], r["image"], r["mask"]) for k, r in got.items()} == {"s0": ([2, 2, 1], [[1.0] * 4] * 2, [0] * 4), "s1": ([2, 2, 1], [[2.0] * 4] * 2, [4] * 4)}
+    with pytest.raises(KeyError):
+        imaging.training_set(spark, m, f"{tmp_path}/in", "train", ("t1", "flair"))
+    os.remove(f"{tmp_path}/in/s0/s0_t1.nii.gz")
+    os.remove(f"{tmp_path}/in/s0/s0_t2.nii.gz")
+    assert [r["patient_id"] for r in imaging.training_set(spark, m, f"{tmp_path}/in", "train", ("t1", "t2")).collect()] == ["s1"]
